@@ -1,0 +1 @@
+"""Streaming: see README (the modelled library has no streaming code)."""
