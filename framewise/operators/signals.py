@@ -76,10 +76,19 @@ def return_rate_analysis(sales: DataFrame, returns: DataFrame,
     return out
 
 
-def _minmax_norm(df: DataFrame, c: str) -> F.Column:
-    lo = df.select(F.min(c)).scalar()
-    hi = df.select(F.max(c)).scalar()
-    return F.when(hi == lo, F.lit(0.0)).otherwise((F.col(c) - lo).cast("double") / (hi - lo))
+def _with_minmax_norms(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Attach ``_n_<c>`` = min-max normalised ``c`` (0 when constant).  All
+    bounds come from one aggregate row attached by broadcast, so the input is
+    aggregated once, not once per bound."""
+    aggs = []
+    for c in cols:
+        aggs += [F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}")]
+    out = df.crossJoin(F.broadcast(df.agg(*aggs)))
+    for c in cols:
+        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        out = out.withColumn(f"_n_{c}", F.when(hi == lo, F.lit(0.0))
+                                         .otherwise((F.col(c) - lo).cast("double") / (hi - lo)))
+    return out.drop(*[f"_lo_{c}" for c in cols], *[f"_hi_{c}" for c in cols])
 
 
 def recent_social(social: DataFrame, weeks: int = 4) -> DataFrame:
@@ -100,11 +109,14 @@ def trending_scores(social: DataFrame, sales: DataFrame) -> DataFrame:
     vel = sales_velocity(sales).select("sku_id", "velocity_change_pct")
     merged = (agg.join(vel, "sku_id", "left")
                  .withColumn("velocity_change_pct", F.coalesce("velocity_change_pct", F.lit(0.0))))
-    score = (F.lit(0.40) * _minmax_norm(merged, "mention_count_4wk_avg")
-             + F.lit(0.30) * _minmax_norm(merged, "sentiment_score")
-             + F.lit(0.20) * _minmax_norm(merged, "velocity_change_pct")
-             + F.lit(0.10) * _minmax_norm(merged, "influencer_mentions"))
-    return merged.withColumn("trend_score", round_half_even(score, 4))
+    cols = ["mention_count_4wk_avg", "sentiment_score", "velocity_change_pct", "influencer_mentions"]
+    merged = _with_minmax_norms(merged, cols)
+    score = (F.lit(0.40) * F.col("_n_mention_count_4wk_avg")
+             + F.lit(0.30) * F.col("_n_sentiment_score")
+             + F.lit(0.20) * F.col("_n_velocity_change_pct")
+             + F.lit(0.10) * F.col("_n_influencer_mentions"))
+    return (merged.withColumn("trend_score", round_half_even(score, 4))
+                  .drop(*[f"_n_{c}" for c in cols]))
 
 
 def platform_breakdown(social: DataFrame) -> DataFrame:
