@@ -23,7 +23,7 @@ for _w in (30, 365):
     )(_velocity(_w))
 
 
-@register("return_rate_analysis", floats=["quality_issue_pct", "return_rate_pct"], extra=[
+RR_CTES = [
     ("sold", "SELECT sku_id, CAST(sum(quantity_sold) AS BIGINT) AS total_sold FROM sales GROUP BY sku_id"),
     ("ret", """SELECT sku_id, count(*) AS total_returned,
                       avg(CASE WHEN return_reason = 'quality_issue' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
@@ -41,14 +41,19 @@ for _w in (30, 365):
                            "NULLIF(CAST(coalesce(total_sold, 0) AS DOUBLE), 0.0) * 100.0::DOUBLE, 0.0::DOUBLE)", 2)}
                         AS return_rate_pct
                FROM sold FULL OUTER JOIN ret ON sold.sku_id = ret.sku_id"""),
-], sql="""
+]
+RR_SQL = """
 SELECT rr.sku_id, total_sold, total_returned, top_return_reason, quality_issue_pct, return_rate_pct,
        return_rate_pct > 15 AS is_problematic,
        coalesce(quality_issue_pct > 0.40::DOUBLE, false) AS quality_flag,
        p.supplier_id
 FROM rr LEFT JOIN top_reason t ON rr.sku_id = t.sku_id
 LEFT JOIN products p ON rr.sku_id = p.sku_id
-""")
+"""
+RR_FLOATS = ["quality_issue_pct", "return_rate_pct"]
+
+
+@register("return_rate_analysis", floats=RR_FLOATS, extra=RR_CTES, sql=RR_SQL)
 def _return_rate(a):
     return S.return_rate_analysis(a.sales_lines, a.returns, a.products)
 
@@ -145,3 +150,38 @@ def _wishlist(a):
 
 
 __all__ = ["F"]
+
+
+@register("top_return_rates", floats=RR_FLOATS, extra=RR_CTES + [("rr_full", RR_SQL)],
+          sql="SELECT * FROM rr_full ORDER BY return_rate_pct DESC, sku_id LIMIT 20")
+def _top_returns(a):
+    from framewise.operators import reports as RP
+    return RP.top_return_rates(S.return_rate_analysis(a.sales_lines, a.returns, a.products), 20)
+
+
+@register("social_bubble", floats=["mention_count_4wk_avg", "sentiment_score", "velocity_change_pct",
+                                   "trend_score"],
+          extra=TRENDING_CTES + [("vel_b", velocity_full_sql(30))], sql="""
+SELECT t.*, pmap.platform_breakdown, v.current_velocity, v.momentum
+FROM (SELECT * FROM scored ORDER BY trend_score DESC, sku_id LIMIT 15) t
+LEFT JOIN pmap ON t.sku_id = pmap.sku_id
+LEFT JOIN vel_b v ON t.sku_id = v.sku_id
+""")
+def _bubble(a):
+    from framewise.operators import reports as RP
+    return RP.social_bubble(S.trending_skus(a.social_signals, a.sales_lines, 15), S.sales_velocity(a.sales_lines))
+
+
+@register("signal_counts", floats=["top_trend_score"],
+          extra=TRENDING_CTES + RR_CTES + [("rr_full", RR_SQL), ("vel_b", velocity_full_sql(30))], sql="""
+SELECT v.accelerating_skus, v.decelerating_skus, t.sku_id AS top_trending_sku, t.trend_score AS top_trend_score,
+       p.problematic_skus
+FROM (SELECT count_if(momentum = 'accelerating') AS accelerating_skus,
+             count_if(momentum = 'decelerating') AS decelerating_skus FROM vel_b) v,
+     (SELECT sku_id, trend_score FROM scored ORDER BY trend_score DESC, sku_id LIMIT 1) t,
+     (SELECT count_if(is_problematic) AS problematic_skus FROM rr_full) p
+""")
+def _signal_counts(a):
+    from framewise.operators import reports as RP
+    return RP.signal_counts(a.sales_lines, S.trending_skus(a.social_signals, a.sales_lines, 15),
+                            S.return_rate_analysis(a.sales_lines, a.returns, a.products))
