@@ -1 +1,103 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: product similarity.
+
+The oracle compares every pair of SKUs with the closed-form cosine (DuckDB
+handles the 4 M pairs of the check scale); the Spark side never forms all
+pairs (see ``framewise.operators.similarity``)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from framewise.operators import recommend as R
+from framewise.operators import reports as RP
+from framewise.operators import similarity as SIM
+from framewise.plans.registry import register
+
+_ATTRS = SIM.ATTRS
+PROFILE_CTES = [
+    ("ords", """SELECT sku_id, frame_shape, material, color, gender, category,
+                       CASE price_point WHEN 'budget' THEN 1.0::DOUBLE WHEN 'mid' THEN 2.0::DOUBLE
+                            WHEN 'premium' THEN 3.0::DOUBLE WHEN 'luxury' THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END AS o
+                FROM products"""),
+    ("st", "SELECT min(o) AS omin, max(o) AS omax, count(*) AS n, "
+           + ", ".join(f"count(DISTINCT {a}) AS d_{a}, count({a}) AS c_{a}" for a in _ATTRS) + " FROM ords"),
+    ("prof0", "SELECT sku_id, CASE WHEN omax = omin THEN 0.0::DOUBLE ELSE (o - omin) / (omax - omin) END AS p, "
+              + ", ".join(f"CASE WHEN d_{a} = 1 AND c_{a} = n THEN NULL ELSE {a} END AS {a}" for a in _ATTRS)
+              + " FROM ords, st"),
+    ("prof", "SELECT *, " + " + ".join(f"CAST({a} IS NOT NULL AS INTEGER)" for a in _ATTRS) + " AS k FROM prof0"),
+]
+_M = " + ".join(f"coalesce(CAST(a.{a} = b.{a} AS INTEGER), 0)" for a in _ATTRS)
+_SCORE = ("CASE WHEN sqrt((CAST(a.k AS DOUBLE) + a.p * a.p) * (CAST(b.k AS DOUBLE) + b.p * b.p)) = 0 THEN 0.0::DOUBLE "
+          f"ELSE (CAST({_M} AS DOUBLE) + a.p * b.p) / sqrt((CAST(a.k AS DOUBLE) + a.p * a.p) * "
+          "(CAST(b.k AS DOUBLE) + b.p * b.p)) END")
+TOP_CTES = PROFILE_CTES + [
+    ("allpairs", f"""SELECT a.sku_id, b.sku_id AS similar_sku_id, {_SCORE} AS similarity_score
+                     FROM prof a JOIN prof b ON a.sku_id <> b.sku_id"""),
+    ("ranked", """SELECT * FROM (
+                    SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY similarity_score DESC, similar_sku_id)
+                      AS rank FROM allpairs) r WHERE rank <= 5"""),
+    ("top", """SELECT r.sku_id, CAST(r.rank AS INTEGER) AS rank, r.similar_sku_id, r.similarity_score,
+                      p.frame_shape, p.material, p.color, p.price_point
+               FROM ranked r LEFT JOIN products p ON r.similar_sku_id = p.sku_id"""),
+]
+
+
+@register("similarity_features", floats=["value"], extra=PROFILE_CTES, sql=(
+    "SELECT sku_id, 'price_point_enc' AS feature, p AS value FROM prof WHERE p <> 0 "
+    + " ".join(f"UNION ALL SELECT sku_id, '{a}_' || {a} AS feature, 1.0::DOUBLE AS value FROM prof "
+               f"WHERE {a} IS NOT NULL" for a in _ATTRS)))
+def _features(a):
+    return SIM.similarity_features(a.products)
+
+
+@register("similar_skus_all", floats=["similarity_score"], extra=TOP_CTES, sql="SELECT * FROM top")
+def _top_all(a):
+    return SIM.similar_skus_all(a.products, 5)
+
+
+_TOP_SELLER = ("(SELECT sku_id FROM (SELECT sku_id, sum(quantity_sold) AS q FROM sales GROUP BY sku_id) s "
+               "ORDER BY q DESC, sku_id LIMIT 1)")
+
+
+@register("similar_skus", floats=["similarity_score"], extra=TOP_CTES,
+          sql=f"SELECT * FROM top WHERE sku_id = {_TOP_SELLER}")
+def _top_one(a):
+    top_seller = (a.sales_lines.groupBy("sku_id").agg(F.sum("quantity_sold").alias("q"))
+                  .orderBy(F.col("q").desc(), "sku_id").limit(1).select("sku_id").scalar())
+    return SIM.similar_skus(a.products, top_seller, 5)
+
+
+@register("similar_alternatives", extra=TOP_CTES, sql="""
+SELECT sku_id, string_agg(similar_sku_id, ',' ORDER BY rank) AS similar_alternatives
+FROM top WHERE rank <= 3 GROUP BY sku_id""")
+def _alternatives(a):
+    return R.similar_alternatives(SIM.similar_skus_all(a.products, 3), 3)
+
+
+@register("demand_spillover", floats=["similarity_score", "days_of_supply"], extra=PROFILE_CTES + [
+    ("crit", "SELECT sku_id FROM inventory GROUP BY sku_id HAVING avg(days_of_supply) < 7"),
+], sql=f"""
+SELECT a.sku_id AS query_sku_id, b.sku_id AS similar_sku_id, {_SCORE} AS similarity_score,
+       i.store_id, i.days_of_supply, i.quantity_on_hand
+FROM prof a JOIN prof b ON a.sku_id <> b.sku_id
+JOIN inventory i ON i.sku_id = b.sku_id AND i.days_of_supply > 30
+WHERE a.sku_id IN (SELECT sku_id FROM crit) AND {_SCORE} >= 0.7
+""")
+def _spillover(a):
+    return SIM.demand_spillover(a.products, a.inventory, RP.critical_stock_skus(a.inventory), 0.70)
+
+
+@register("cluster_products", note="KMeans; rows-only check")
+def _clusters(a):
+    return SIM.cluster_products(a.products).select("sku_id", "cluster_id", "cluster_label", "price_point",
+                                                   "material", "frame_shape")
+
+
+@register("cluster_summary", note="KMeans; rows-only check")
+def _cluster_summary(a):
+    return SIM.cluster_summary(SIM.cluster_products(a.products))
+
+
+@register("pca_map", note="PCA; rows-only check")
+def _pca(a):
+    return SIM.pca_map(a.products)
