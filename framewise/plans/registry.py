@@ -35,26 +35,27 @@ class QuerySpec:
     floats: list[str] = field(default_factory=list)   # double columns (for the SQL wrap)
     extra: list[tuple[str, str]] = field(default_factory=list)
     note: str = ""
+    digits: int = 10                         # significant digits kept by the comparison projection
 
 
 REGISTRY: dict[str, QuerySpec] = {}
 
 
 def register(name: str, sql: str | None = None, floats: list[str] | None = None,
-             extra: list[tuple[str, str]] | None = None, note: str = ""):
+             extra: list[tuple[str, str]] | None = None, note: str = "", digits: int = 10):
     def deco(fn: Callable[[Adapters], DataFrame]):
-        REGISTRY[name] = QuerySpec(name, fn, sql, list(floats or []), list(extra or []), note)
+        REGISTRY[name] = QuerySpec(name, fn, sql, list(floats or []), list(extra or []), note, digits)
         return fn
     return deco
 
 
-def finalize(df: DataFrame) -> DataFrame:
+def finalize(df: DataFrame, digits: int = 10) -> DataFrame:
     """Comparison projection (see module docstring)."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = sig_round(c)
+            c = sig_round(c, digits)
         elif isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), ",")
         elif isinstance(f.dataType, T.MapType):
@@ -78,5 +79,5 @@ def oracle_text(spec: QuerySpec) -> str:
     body = with_views(spec.sql, spec.extra)
     if not spec.floats:
         return body
-    repl = ", ".join(f'{sql_sig_round(c)} AS "{c}"' for c in spec.floats)
+    repl = ", ".join(f'{sql_sig_round(c, spec.digits)} AS "{c}"' for c in spec.floats)
     return f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) oracle_q"
