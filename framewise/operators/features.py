@@ -47,17 +47,27 @@ def _w(order: str = "date") -> Window:
 def weekly_demand(sales: DataFrame) -> DataFrame:
     """Dense SKU x week grid of demand (A07): Monday of each sale, units
     summed per (sku, week); every Monday between the global first and last
-    week for every SKU that sold, missing weeks 0.  The grid is a per-SKU
-    ``explode(sequence(...))`` (narrow), bounded by the calendar span."""
-    raw = (sales.select("sku_id", week_monday("date").alias("date"), "quantity_sold")
+    week for every SKU that sold, missing weeks 0.
+
+    Lines are summed per (sku, week) with map-side combine, then gathered per
+    SKU into a week -> demand map (at most one entry per calendar week, so a
+    SKU holding a third of all lines is still one small row) and the grid is
+    exploded from that map.  The result is hash-partitioned by ``sku_id``,
+    which every later per-SKU window and SKU-grain join reuses."""
+    wk = week_monday("date")
+    bounds = sales.agg(F.min(wk).alias("lo"), F.max(wk).alias("hi")).first()
+    lo, hi = bounds["lo"], bounds["hi"]
+    raw = (sales.select("sku_id", wk.alias("date"), "quantity_sold")
                 .groupBy("sku_id", "date").agg(F.sum("quantity_sold").alias("demand")))
-    lo = raw.select(F.min("date")).scalar()
-    hi = raw.select(F.max("date")).scalar()
-    grid = (raw.select("sku_id").distinct()
-               .select("sku_id", F.explode(F.sequence(lo, hi, F.expr("INTERVAL 7 DAYS"))).alias("date")))
-    return (grid.join(raw, ["sku_id", "date"], "left")
-                .select("sku_id", "date", F.coalesce("demand", F.lit(0)).cast("bigint").alias("demand"))
-                .repartition("sku_id"))
+    series = raw.groupBy("sku_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("date", "demand"))).alias("_m"))
+    if lo is None:
+        return series.select("sku_id", F.lit(None).cast("date").alias("date"),
+                             F.lit(0).cast("bigint").alias("demand")).limit(0)
+    return (series.select("sku_id", "_m", F.explode(F.sequence(F.lit(lo), F.lit(hi),
+                                                               F.expr("INTERVAL 7 DAYS"))).alias("date"))
+                  .select("sku_id", "date", F.coalesce(F.col("_m")[F.col("date")], F.lit(0))
+                          .cast("bigint").alias("demand")))
 
 
 def calendar_features(weekly: DataFrame) -> DataFrame:
@@ -178,22 +188,29 @@ def interaction_features(df: DataFrame) -> DataFrame:
 
 def social_weekly_lag(df: DataFrame, social: DataFrame | None) -> DataFrame:
     """Social rows moved to their Monday, averaged / summed per (sku, week),
-    keyed one week later and left-joined; gaps 50 / 0.6 / 100 (A18)."""
+    keyed one week later and left-joined; gaps 50 / 0.6 / 100 (A18).
+
+    The weekly social values are gathered per SKU into a week -> values map
+    (bounded by the calendar) and joined on ``sku_id`` alone, so the join
+    keeps the frame's SKU partitioning instead of re-shuffling it by
+    (sku, week)."""
     if social is None:
         return (df.withColumn("trend_index_lag1w", F.lit(50.0)).withColumn("sentiment_lag1w", F.lit(0.6))
                   .withColumn("mention_lag1w", F.lit(100.0)))
     agg = (social.select("sku_id", week_monday("week_start").alias("_wk"), "trend_index", "sentiment_score",
                          "mention_count")
                  .groupBy("sku_id", "_wk")
-                 .agg(F.avg("trend_index").alias("trend_index_lag1w"),
-                      F.avg("sentiment_score").alias("sentiment_lag1w"),
-                      F.sum("mention_count").cast("double").alias("mention_lag1w"))
-                 .select("sku_id", F.date_add("_wk", 7).alias("date"), "trend_index_lag1w", "sentiment_lag1w",
-                         "mention_lag1w"))
-    return (df.join(agg, ["sku_id", "date"], "left")
-              .withColumn("trend_index_lag1w", F.coalesce("trend_index_lag1w", F.lit(50.0)))
-              .withColumn("sentiment_lag1w", F.coalesce("sentiment_lag1w", F.lit(0.6)))
-              .withColumn("mention_lag1w", F.coalesce("mention_lag1w", F.lit(100.0))))
+                 .agg(F.avg("trend_index").alias("t"), F.avg("sentiment_score").alias("s"),
+                      F.sum("mention_count").cast("double").alias("m"))
+                 .groupBy("sku_id")
+                 .agg(F.map_from_entries(F.collect_list(F.struct(F.date_add("_wk", 7), F.struct("t", "s", "m"))))
+                      .alias("_soc")))
+    v = F.col("_soc")[F.col("date")]
+    return (df.join(agg, "sku_id", "left")
+              .withColumn("trend_index_lag1w", F.coalesce(v["t"], F.lit(50.0)))
+              .withColumn("sentiment_lag1w", F.coalesce(v["s"], F.lit(0.6)))
+              .withColumn("mention_lag1w", F.coalesce(v["m"], F.lit(100.0)))
+              .drop("_soc"))
 
 
 def category_codes(df: DataFrame, products: DataFrame) -> DataFrame:
@@ -231,9 +248,14 @@ def feature_matrix(sales: DataFrame, products: DataFrame, social: DataFrame | No
     """The 49-feature weekly matrix (A21): ``sku_id, date, demand`` and
     :data:`FEATURE_COLUMNS`, remaining NULLs -> 0."""
     w = weekly_demand(sales)
+    # SKU-grain joins first, on the grid (not on the windowed frame), so each
+    # joins on sku_id over the grid's partitioning and nothing is recomputed
+    w = weeks_since_launch(w, products)
+    w = category_codes(w, products)
+    w = inventory_features(w, inventory)
+    w = social_weekly_lag(w, social)
     w = calendar_features(w)
     w = holiday_week_flag(w)
-    w = weeks_since_launch(w, products)
     w = lag_features(w)
     w = rolling_stats(w)
     w = ewm_features(w)
@@ -241,7 +263,4 @@ def feature_matrix(sales: DataFrame, products: DataFrame, social: DataFrame | No
     w = sku_month_prior(w)
     w = sku_woy_prior(w)
     w = interaction_features(w)
-    w = social_weekly_lag(w, social)
-    w = category_codes(w, products)
-    w = inventory_features(w, inventory)
     return w.select("sku_id", "date", "demand", *FEATURE_COLUMNS).fillna(0)
