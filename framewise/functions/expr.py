@@ -130,3 +130,47 @@ def sig_round(c: ColumnOrName, digits: int = 10) -> Column:
              .when(col == 0, F.lit(0.0))
              .when(m >= 0, pos)
              .otherwise(neg))
+
+
+def global_row_number(df: DataFrame, order: Sequence[Column], out: str, buckets: int | None = None) -> DataFrame:
+    """``row_number()`` over a global order without moving every row to one
+    task: rows are range-partitioned on ``order`` (one sort, spread over all
+    executors), each range's row count (one row per range) gives its offset,
+    and a window inside each range numbers the rows locally.  ``order`` must
+    be a total order (end it with a unique key) for the numbers to be
+    deterministic."""
+    spark = df.sparkSession
+    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(nb, *order).withColumn("_gr_b", F.spark_partition_id())
+    counts = ranged.groupBy("_gr_b").agg(F.count(F.lit(1)).alias("_gr_n"))
+    offsets = counts.select("_gr_b", F.coalesce(F.sum("_gr_n").over(
+        Window.orderBy("_gr_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_gr_off"))
+    local = F.row_number().over(Window.partitionBy("_gr_b").orderBy(*order))
+    return (ranged.join(F.broadcast(offsets), "_gr_b", "left")
+                  .withColumn(out, F.col("_gr_off") + local)
+                  .drop("_gr_b", "_gr_off"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], tiebreak: str | None = None) -> DataFrame:
+    """Linear-interpolation quantiles (numpy / pandas default) of ``value``
+    as one row ``q_<p*100>``, computed from global row numbers so no single
+    aggregation buffer holds every distinct value.  NULLs are ignored."""
+    order = [F.col(value).asc()] + ([F.col(tiebreak).asc()] if tiebreak else [])
+    vals = df.where(F.col(value).isNotNull()).select(value, *([tiebreak] if tiebreak else []))
+    ranked = global_row_number(vals, order, "_q_rn")
+    n = vals.agg(F.count(F.lit(1)).alias("_q_n"))
+    j = ranked.crossJoin(F.broadcast(n))          # one-row frame
+    cols = []
+    for p in probs:
+        pos = (F.col("_q_n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
+        frac = pos - F.floor(pos)
+        v_lo = F.max(F.when(F.col("_q_rn") == lo, F.col(value)))
+        v_hi = F.max(F.when(F.col("_q_rn") == hi, F.col(value)))
+        cols.append((v_lo + (v_hi - v_lo) * F.max(frac)).cast("double").alias(f"q_{int(round(p * 100))}"))
+    needed = None
+    for p in probs:
+        pos = (F.col("_q_n") - 1) * F.lit(float(p))
+        c = (F.col("_q_rn") == F.floor(pos) + 1) | (F.col("_q_rn") == F.ceil(pos) + 1)
+        needed = c if needed is None else needed | c
+    return j.where(needed).agg(*cols)
