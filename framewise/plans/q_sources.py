@@ -1 +1,60 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: loading and data quality."""
+
+from __future__ import annotations
+
+from framewise.plans.registry import register
+from framewise.sources.io import data_quality_nulls, data_quality_summary, json_records, load_dataset
+
+DATASETS = ["products", "sales", "inventory", "suppliers", "returns", "social_signals"]
+# first date-typed column whose name contains "date" or "week" (None: no range)
+DATE_COLUMNS = {"products": "launch_date", "sales": "date", "inventory": "last_restocked_date",
+                "suppliers": None, "returns": "return_date", "social_signals": "week_start"}
+SALES_RANGE = ("1995-01-01", "1996-06-30")
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity"]
+
+
+def _views(a):
+    return {n: getattr(a, n) for n in DATASETS}
+
+
+@register("load_sales_range", sql=f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity FROM lineitem
+WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '{SALES_RANGE[0]}' AND DATE '{SALES_RANGE[1]}'""")
+def _load(a):
+    df = load_dataset(a.t.spark, f"{a.t.sf_dir}/lineitem.parquet", "lineitem", required=LINE_COLUMNS,
+                      date_col="l_shipdate", start=SALES_RANGE[0], end=SALES_RANGE[1])
+    return df.select(*LINE_COLUMNS)
+
+
+def _summary_sql() -> str:
+    parts = []
+    for n in DATASETS:
+        d = DATE_COLUMNS[n]
+        rng = (f"min(CAST({d} AS DATE)) AS date_min, max(CAST({d} AS DATE)) AS date_max" if d
+               else "CAST(NULL AS DATE) AS date_min, CAST(NULL AS DATE) AS date_max")
+        dc = f"'{d}'" if d else "CAST(NULL AS VARCHAR)"
+        parts.append(f"""SELECT '{n}' AS dataset, count(*) AS row_count,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {n}) x) AS duplicate_count,
+       {dc} AS date_column, {rng} FROM {n}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("data_quality_report", sql=_summary_sql())
+def _dq(a):
+    return data_quality_summary(_views(a))
+
+
+@register("data_quality_nulls", floats=["null_pct"], sql="\nUNION ALL\n".join(
+    f"""SELECT '{n}' AS dataset, "column", null_pct FROM (UNPIVOT (
+          SELECT round_even(100.0::DOUBLE * (count(*) - count(COLUMNS(*))) / count(*), 2) FROM {n})
+        ON COLUMNS(*) INTO NAME "column" VALUE null_pct) u""" for n in DATASETS))
+def _dq_nulls(a):
+    return data_quality_nulls(_views(a))
+
+
+@register("json_records", sql="""
+SELECT CAST(to_json(struct_pack(sku_id := sku_id, name := name, is_active := is_active,
+                                launch_date := strftime(launch_date, '%Y-%m-%d'))) AS VARCHAR) AS record
+FROM products""")
+def _json(a):
+    return json_records(a.products.select("sku_id", "name", "is_active", "launch_date"))
