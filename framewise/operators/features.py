@@ -142,8 +142,10 @@ def ewm_features(weekly: DataFrame, spans=EWM_SPANS, block: int = EWM_BLOCK_WEEK
                  .withColumn("_idx", (F.datediff(F.col("date"), lo) / 7).cast("int"))
                  .withColumn("_blk", (F.col("_idx") / block).cast("int"))
                  .withColumn("_off", (F.col("_idx") - F.col("_blk") * block).cast("double")))
-    w_blk = Window.partitionBy("sku_id", "_blk").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
-    w_prev = Window.partitionBy("sku_id").orderBy("_idx").rowsBetween(Window.unboundedPreceding, -1)
+    # ordered by date (the same order as _idx) so the carry window shares the
+    # lag / rolling windows' sort
+    w_blk = Window.partitionBy("sku_id", "_blk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    w_prev = Window.partitionBy("sku_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     for span in spans:
         a = 2.0 / (span + 1.0)
         lg = math.log(1.0 - a)
@@ -213,12 +215,12 @@ def social_weekly_lag(df: DataFrame, social: DataFrame | None) -> DataFrame:
               .drop("_soc"))
 
 
-def category_codes(df: DataFrame, products: DataFrame) -> DataFrame:
+def category_codes(df: DataFrame, products: DataFrame, skus: DataFrame | None = None) -> DataFrame:
     """Label codes by sorted label (NULL -> ``unknown``) for the five
     categorical columns, fitted on the SKUs of the weekly frame (A19).
     Each code table is built from the distinct labels (a bounded domain) and
     joined back by broadcast."""
-    skus = df.select("sku_id").distinct()
+    skus = skus if skus is not None else df.select("sku_id").distinct()
     meta = products.select("sku_id", *[F.coalesce(F.col(c), F.lit("unknown")).alias(c) for c in CAT_COLS])
     fitted = skus.join(meta, "sku_id", "left").select(
         "sku_id", *[F.coalesce(F.col(c), F.lit("unknown")).alias(c) for c in CAT_COLS])
@@ -247,14 +249,11 @@ def feature_matrix(sales: DataFrame, products: DataFrame, social: DataFrame | No
                    inventory: DataFrame | None) -> DataFrame:
     """The 49-feature weekly matrix (A21): ``sku_id, date, demand`` and
     :data:`FEATURE_COLUMNS`, remaining NULLs -> 0."""
-    w = weekly_demand(sales)
-    # SKU-grain joins first, on the grid (not on the windowed frame), so each
-    # joins on sku_id over the grid's partitioning and nothing is recomputed
-    w = weeks_since_launch(w, products)
-    w = category_codes(w, products)
-    w = inventory_features(w, inventory)
-    w = social_weekly_lag(w, social)
-    w = calendar_features(w)
+    grid = weekly_demand(sales)
+    # windows first, on the narrow grid (its sku_id partitioning serves all
+    # of them); the SKU-grain joins come last and reuse that partitioning
+    # and the sku_id ordering the windows leave behind
+    w = calendar_features(grid)
     w = holiday_week_flag(w)
     w = lag_features(w)
     w = rolling_stats(w)
@@ -263,4 +262,8 @@ def feature_matrix(sales: DataFrame, products: DataFrame, social: DataFrame | No
     w = sku_month_prior(w)
     w = sku_woy_prior(w)
     w = interaction_features(w)
+    w = weeks_since_launch(w, products)
+    w = category_codes(w, products, skus=grid.select("sku_id").distinct())
+    w = inventory_features(w, inventory)
+    w = social_weekly_lag(w, social)
     return w.select("sku_id", "date", "demand", *FEATURE_COLUMNS).fillna(0)
