@@ -40,3 +40,29 @@ def test_small_forecaster_fit(spark, small_dir):
     f = M.forecast(fc, feats, 14)
     assert f.count() == 2 * feats.select("sku_id").distinct().count()
     assert f.where("lower_bound < 0 OR upper_bound < forecast_units").count() == 0
+
+
+def test_write_outputs_csv_and_parquet(spark, tmp_path):
+    from framewise.sources.io import write_outputs
+    df = spark.createDataFrame([("A", ["x", "y"]), ("B", [])], "sku_id string, drivers array<string>")
+    write_outputs(df, str(tmp_path / "p"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    write_outputs(df, str(tmp_path / "c"), "csv")
+    back = {r.sku_id: r.drivers for r in spark.read.option("header", "true").csv(str(tmp_path / "c")).collect()}
+    assert back == {"A": '["x","y"]', "B": "[]"}
+
+
+def test_forecaster_save_load(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from framewise.operators.model import Forecaster
+    df = spark.createDataFrame([(float(i), float(i % 3), float(i)) for i in range(40)], "a double, b double, label double")
+    pm = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"),
+                          GBTRegressor(maxIter=2, maxDepth=2)]).fit(df)
+    fc = Forecaster(pm, ["a", "b"])
+    fc.save(str(tmp_path / "m"))
+    again = Forecaster.load(str(tmp_path / "m"), ["a", "b"])
+    p1 = [r.predicted for r in fc.predict(df).orderBy("a").collect()]
+    p2 = [r.predicted for r in again.predict(df).orderBy("a").collect()]
+    assert p1 == p2
