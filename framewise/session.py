@@ -41,18 +41,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder.
+    """The shared checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a fresh scratch folder is made.
+    Only a local master may run without that setting (tests): a scratch
+    folder is made then.  On a cluster a missing setting is an error, because
+    a machine-local folder would not be seen by the other executors.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    local = tempfile.mkdtemp(prefix="framewise-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    current = conf or spark.sparkContext.getCheckpointDir()
+    if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="framewise-ckpt-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
+    return current
