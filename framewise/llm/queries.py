@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 from framewise.llm.common import documents
 from framewise.llm.decontaminate import contamination
 from framewise.llm.mixing import mixed_counts
+from framewise.llm.topk import quantised, top_k
+from framewise.llm.warc import round_trip
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, h, sha1(h) AS hx, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(((CAST('0x' || substr(hx, CAST(floor(x / 4) AS BIGINT) * 5 + 1, 5) AS INTEGER) >> (15 - 5 * CAST(x % 4 AS INTEGER))) & 31) + 1 AS BIGINT), 1)
+           for x in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM s
+"""
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +63,30 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN pos ON pos.doc_id = w.doc_id LEFT JOIN its ON its.doc_id = w.doc_id
 """
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("q")) \
+        .where("vec_id is not null and q is not null")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op8_topk": op8_topk,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
     "op4_decontamination": OP4_SQL,
+    "op8_topk": OP8_SQL,
 }
