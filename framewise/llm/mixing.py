@@ -114,7 +114,7 @@ def schedule_slots(spark, quotas: Sequence[int]) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
-                block: int = 1024, per_bucket: int = 4096, seed: int = 17, max_sources: int = 100_000) -> Mix:
+                block: int = 1024, per_bucket: int = 1024, seed: int = 17, max_sources: int = 100_000) -> Mix:
     """Plan the mix.  ``max_sources`` bounds the one table that reaches the
     driver (a row per source); more sources raise instead of being cut."""
     spark = docs.sparkSession
@@ -162,7 +162,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
                   .select("sid", "rank", "doc_id", "size", "copy", "epoch",
                           F.expr(f"greatest(lo, rank * {block}L) - lo").alias("doc_start"),
                           F.expr(f"least(hi, (rank + 1) * {block}L) - greatest(lo, rank * {block}L)").alias("n_words")))
-    schedule = schedule_slots(spark, quotas).join(pieces, ["sid", "rank"])
+    schedule = schedule_slots(spark, quotas).hint("merge").join(pieces, ["sid", "rank"])
     return Mix(keyed, sources, schedule)
 
 

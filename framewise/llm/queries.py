@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewise.llm.common import documents
 from framewise.llm.decontaminate import contamination
 from framewise.llm.mixing import mixed_counts
+from framewise.llm.secrets import find_secrets
 from framewise.llm.topk import quantised, top_k
 from framewise.llm.warc import round_trip
 
@@ -79,11 +80,19 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir)).select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join("spans", ",").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op8_topk": op8_topk,
+    "op9_secrets": op9_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
