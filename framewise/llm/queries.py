@@ -12,6 +12,7 @@ from framewise.llm.decontaminate import contamination
 from framewise.llm.mixing import mixed_counts
 from framewise.llm.secrets import find_secrets
 from framewise.llm.topk import quantised, top_k
+from framewise.llm.toxicity import score_column, train as train_toxicity
 from framewise.llm.warc import round_trip
 
 
@@ -64,6 +65,19 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN pos ON pos.doc_id = w.doc_id LEFT JOIN its ON its.doc_id = w.doc_id
 """
 
+def remainder(doc_id, n: int):
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    scorer = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return docs.select("doc_id", held.alias("held_out"), score_column(scorer, F.col("text")).alias("score")) \
+        .withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("q")) \
@@ -91,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
 }
