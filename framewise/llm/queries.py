@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewise.llm.common import documents
 from framewise.llm.decontaminate import contamination
+from framewise.llm.jaccard import jaccard_components
 from framewise.llm.mixing import mixed_counts
 from framewise.llm.secrets import find_secrets
 from framewise.llm.topk import quantised, top_k
@@ -78,6 +79,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
+OP7_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s
+       FROM w, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+sym AS MATERIALIZED (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, b.y FROM reach r JOIN sym b ON b.x = r.y)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("q")) \
@@ -106,11 +126,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op7_jaccard": op7_jaccard,
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op4_decontamination": OP4_SQL,
+    "op7_jaccard": OP7_SQL,
     "op8_topk": OP8_SQL,
 }
