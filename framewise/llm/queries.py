@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewise.llm.common import documents
 from framewise.llm.decontaminate import contamination
 from framewise.llm.jaccard import jaccard_components
+from framewise.llm.lm import lm_scores
 from framewise.llm.mixing import mixed_counts
 from framewise.llm.secrets import find_secrets
 from framewise.llm.topk import quantised, top_k
@@ -79,6 +80,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.coalesce(remainder(F.col("doc_id"), 10), F.lit(1))
+    return lm_scores(documents(spark, sf_dir), fold == 0, fold == 9)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_lm": op6_lm,
     "op7_jaccard": op7_jaccard,
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
