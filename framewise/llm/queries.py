@@ -12,12 +12,17 @@ from framewise.llm.decontaminate import contamination
 from framewise.llm.jaccard import jaccard_components
 from framewise.llm.lm import lm_scores
 from framewise.llm.mixing import mixed_counts
+from framewise.llm.repeats import remove_repeats
 from framewise.llm.secrets import find_secrets
 from framewise.llm.topk import quantised, top_k
 from framewise.llm.toxicity import score_column, train as train_toxicity
 from framewise.llm.warc import round_trip
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -128,6 +133,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
