@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame, which ``run`` writes as Parquet in the shared folder
-and rereads as the next stage's documents.
+and rereads as the next stage's documents.  All but the last keep the columns
+of ``documents``; rows whose doc_id is NULL pass the stages that work by id.
 """
 
 from __future__ import annotations
@@ -10,9 +11,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewise.llm.common import documents, stage
+from framewise.llm.decontaminate import contaminated_ids
+from framewise.llm.jaccard import jaccard_components
 from framewise.llm.mixing import mixed_counts
+from framewise.llm.queries import remainder
+from framewise.llm.secrets import redacted, train as train_secrets
+from framewise.llm.toxicity import score_column, train as train_toxicity
+
+TOXIC = 0.3
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose toxicity score is at least ``TOXIC``."""
+    allowed = F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(True))
+    scorer = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), allowed)
+    return docs.withColumn("_score", score_column(scorer, F.col("text"))).where(F.col("_score") < TOXIC).drop("_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least doc_id of each component of similar ones."""
+    found = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a run of benchmark words."""
+    found = contaminated_ids(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret by a mark; texts stay otherwise as they are."""
+    out = docs.withColumn("text", redacted(F.col("text"), train_secrets(docs)))
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +55,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
     ("mixing", mixing),
 ]
+# A trained score decides the first stage, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 

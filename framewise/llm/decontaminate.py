@@ -177,3 +177,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
         F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]).cast("long")), F.lit(0)).alias("n_hit"),
         F.coalesce("spans", F.lit([]).cast("array<struct<start:int,stop:int>>")).alias("spans"),
         F.coalesce("items", F.lit([]).cast("array<string>")).alias("items"))
+
+
+def contaminated_ids(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """Distinct doc_ids with a hit."""
+    return contamination(docs, items, window, k).where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()

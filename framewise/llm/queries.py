@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewise.llm.common import documents
 from framewise.llm.decontaminate import contamination
 from framewise.llm.jaccard import jaccard_components
+from framewise.llm.licenses import TEMPLATES, license_matches, template_rows
 from framewise.llm.lm import lm_scores
 from framewise.llm.mixing import mixed_counts
 from framewise.llm.repeats import remove_repeats
@@ -132,6 +133,36 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("spans", ",").alias("spans"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_matches(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_units", F.size(F.array_distinct(F.transform("matches", lambda m: m["unit"]))).cast("long").alias("n_matched"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        F.array_max(F.transform("matches", lambda m: m["dice"])).alias("best_dice"))
+
+
+def _template_values() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({i}, {quote(t['id'])}, {quote(g)}, {t['n']})" for i, t in enumerate(template_rows(TEMPLATES, 0.8)) for g in t["grams"])
+
+
+OP10_SQL = f"""
+WITH t(template, license, gram, n) AS (VALUES {_template_values()}),
+u AS (SELECT DISTINCT doc_id, unit FROM documents, unnest(list_concat([coalesce(text, '')],
+        regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n'), string_split(coalesce(text, ''), chr(10)))) x(unit)),
+w AS (SELECT doc_id, unit, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM u),
+g AS (SELECT DISTINCT doc_id, unit, ws[i] || ' ' || ws[i + 1] AS gram FROM w, unnest(range(1, len(ws))) x(i) WHERE len(ws) > 1),
+sizes AS (SELECT doc_id, unit, count(*) AS size FROM g GROUP BY ALL),
+c AS (SELECT doc_id, unit, template, license, n, count(*) AS hits FROM g JOIN t USING (gram) GROUP BY ALL),
+m AS (SELECT doc_id, unit, license, 2.0::DOUBLE * hits / (size + n) AS dice FROM c JOIN sizes USING (doc_id, unit) WHERE 2.0::DOUBLE * hits / (size + n) >= 0.8),
+d AS (SELECT doc_id, count(DISTINCT unit) AS n_matched, max(dice) AS best FROM m GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT DISTINCT doc_id, license FROM m) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id)
+SELECT n.doc_id, CAST(n_units AS BIGINT) AS n_units, CAST(coalesce(n_matched, 0) AS BIGINT) AS n_matched, coalesce(licenses, '') AS licenses, best AS best_dice
+FROM n LEFT JOIN d ON d.doc_id = n.doc_id LEFT JOIN l ON l.doc_id = n.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_warc": op2_warc,
@@ -142,10 +173,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard": op7_jaccard,
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
+    "op10_licenses": op10_licenses,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op4_decontamination": OP4_SQL,
     "op7_jaccard": OP7_SQL,
     "op8_topk": OP8_SQL,
+    "op10_licenses": OP10_SQL,
 }

@@ -20,7 +20,6 @@ that adds nothing.  Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +27,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewise.llm.common import doc_texts
 from framewise.llm.tokens import LOWER, U, slices, word_hashes, words
@@ -269,44 +269,68 @@ def _chain_spans(tags: np.ndarray, w, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
+def _all_spans(column: pa.Array, chain: Chain) -> Iterator[tuple[list, list]]:
+    """Per row of a text column: base spans and the chain's additions, each as
+    (start, kind, end) in code points."""
+    for s in slices(column):
+        w, f = features(s.data, s.offsets)
+        tags = chain.decode(chain.scores(f), w.bounds)
+        for r in range(s.last - s.first):
+            base, more = base_spans(column[s.first + r].as_py() or ""), []
+            a, b = int(w.bounds[r]), int(w.bounds[r + 1])
+            if tags[a:b].any():
+                raw = s.data[s.offsets[r]:s.offsets[r + 1]]
+                point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                for lo, hi in _chain_spans(tags, w, a, b):
+                    # the code point that holds the byte
+                    lo, hi = int(point[lo - s.offsets[r]]), int(point[hi - s.offsets[r]])
+                    if not any(x < hi and lo < y for x, _, y in base):
+                        more.append((lo, 3, hi))
+            yield base, more
+
+
 def scan(docs: DataFrame, chain: Chain) -> DataFrame:
     """Per document: base counts, base spans and all spans as
     ``kind:start:end`` in code points.  A chain span that overlaps a base span
     adds nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        say = lambda found: [f"{KINDS[k]}:{x}:{y}" for x, k, y in sorted(found)]
         for batch in batches:
-            column = batch.column(1)
-            for s in slices(column):
-                w, f = features(s.data, s.offsets)
-                tags = chain.decode(chain.scores(f), w.bounds)
-                rows = []
-                for r in range(s.last - s.first):
-                    text = column[s.first + r].as_py() or ""
-                    base = base_spans(text)
-                    more = []
-                    a, b = int(w.bounds[r]), int(w.bounds[r + 1])
-                    if tags[a:b].any():
-                        raw = s.data[s.offsets[r]:s.offsets[r + 1]]
-                        point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                        for lo, hi in _chain_spans(tags, w, a, b):
-                            lo, hi = int(point[lo - s.offsets[r]]), int(point[hi - s.offsets[r]])
-                            if not any(x < hi and lo < y for x, _, y in base):
-                                more.append((lo, 3, hi))
-                    kinds = [k for _, k, _ in base]
-                    say = lambda found: [f"{KINDS[k]}:{x}:{y}" for x, k, y in sorted(found)]
-                    rows.append((kinds.count(0), kinds.count(1), kinds.count(2), say(base), say(base + more)))
-                types = [pa.int64()] * 3 + [pa.list_(pa.string())] * 2
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[s.first:s.last], *(pa.array(c, t) for c, t in zip(zip(*rows), types))],
-                    names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
+            rows = []
+            for base, more in _all_spans(batch.column(1), chain):
+                kinds = [k for _, k, _ in base]
+                rows.append((kinds.count(0), kinds.count(1), kinds.count(2), say(base), say(base + more)))
+            types = [pa.int64()] * 3 + [pa.list_(pa.string())] * 2
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
     return doc_texts(docs).mapInArrow(run, SCAN_SCHEMA)
 
 
-def digest(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
-
-
 def find_secrets(docs: DataFrame, **options) -> DataFrame:
     return scan(docs, train(docs, **options))
+
+
+def redacted(text: Column, chain: Chain, mark: str = "[SECRET]") -> Column:
+    """The text with every span, base or chain, replaced by ``mark``; of
+    overlapping spans the union is replaced once.  NULL stays NULL."""
+
+    @F.pandas_udf(T.StringType())
+    def run(column: pd.Series) -> pd.Series:
+        found = iter(_all_spans(pa.array(column, pa.string(), from_pandas=True), chain))
+        out = []
+        for text, (base, more) in zip(column, found):
+            if text is None:
+                out.append(None)
+                continue
+            at, parts = 0, []
+            for lo, _, hi in sorted(base + more):
+                if lo >= at:
+                    parts += [text[at:lo], mark]
+                at = max(at, hi)
+            out.append("".join([*parts, text[at:]]))
+        return pd.Series(out, dtype=object)
+
+    return run(text.cast("string"))
