@@ -169,7 +169,7 @@ def demand_concentration(sales: DataFrame, pcts=CONCENTRATION_PCTS, bottom_n: in
     SKUs are ordered by units desc, then sku_id; the rank is a distributed
     row number (one row per SKU, no single-task window)."""
     tot = sales.groupBy("sku_id").agg(F.sum("quantity_sold").alias("units"))
-    ranked = global_row_number(tot, [F.col("units").desc(), F.col("sku_id").asc()], "rn")
+    ranked = global_row_number(tot, ["-units", "sku_id"], "rn")
     n = tot.agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("all_units"))
     j = ranked.crossJoin(F.broadcast(n))
     cols = [F.first("n").alias("n_skus")]

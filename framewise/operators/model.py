@@ -65,7 +65,7 @@ def _with_validation_flag(train: DataFrame) -> DataFrame:
         return train.withColumn("is_val", F.lit(False))
     k = max(EARLY_STOP_VALIDATION_MIN_ROWS, int(w * s * EARLY_STOP_VALIDATION_SHARE))
     whole, part = k // w, k % w
-    ranks = global_row_number(train.select("sku_id").distinct(), [F.col("sku_id").desc()], "_r")
+    ranks = global_row_number(train.select("sku_id").distinct(), ["-sku_id"], "_r")
     week = (F.datediff(F.col("date"), F.lit(lo)) / 7).cast("int")
     flag = (F.col("_r") <= whole) | ((F.col("_r") == whole + 1) & (week >= w - part))
     return train.join(ranks, "sku_id", "left").withColumn("is_val", flag).drop("_r")

@@ -101,7 +101,7 @@ def test_global_ranks_and_quantiles(spark):
     rng = np.random.default_rng(4)
     vals = rng.integers(0, 30, 500).tolist()
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, v double")
-    rn = global_row_number(df, [F.col("v").desc(), F.col("id").asc()], "rn", buckets=7).toPandas()
+    rn = global_row_number(df, ["-v", "id"], "rn", buckets=7).toPandas()
     exp = pd.DataFrame({"id": range(500), "v": vals}).sort_values(["v", "id"], ascending=[False, True])
     assert rn.sort_values("rn")["id"].tolist() == exp["id"].tolist()
     q = exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.9], tiebreak="id").first()
@@ -109,3 +109,25 @@ def test_global_ranks_and_quantiles(spark):
         assert q[f"q_{int(p * 100)}"] == pytest.approx(np.quantile(vals, p))
     pr = avg_tie_pct_rank(df, "v", "pr", buckets=5).toPandas().sort_values("id")
     np.testing.assert_allclose(pr["pr"], pd.Series(vals, dtype=float).rank(pct=True))
+
+
+@pytest.mark.parametrize("partitions", [2, 4, 16, 200])
+def test_global_ranks_at_any_partitioning(spark, partitions):
+    """More rows than any sampler takes whole, extra columns, NULLs, and one
+    value held by a third of the rows."""
+    n = 400_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        v = F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 11 == 0, F.lit(None)) \
+            .otherwise((F.xxhash64("id") % 5000).cast("double"))
+        df = spark.range(n).select("id", v.alias("v"), F.concat(F.lit("x"), F.col("id")).alias("extra"))
+        pdf = df.select("id", "v").toPandas().sort_values("id")
+        got = avg_tie_pct_rank(df, "v", "pr").toPandas().sort_values("id")
+        np.testing.assert_allclose(got["pr"], pdf["v"].rank(pct=True), rtol=1e-12)
+        rn = global_row_number(df.where("v is not null"), ["-v", "id"], "rn").toPandas().sort_values("rn")
+        exp = pdf[pdf.v.notna()].sort_values(["v", "id"], ascending=[False, True])
+        assert rn["rn"].tolist() == list(range(1, len(exp) + 1))
+        assert rn["id"].tolist() == exp["id"].tolist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
