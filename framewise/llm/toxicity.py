@@ -158,7 +158,7 @@ class Scorer:
             ids = self.cache.get(token)
             if ids is None:
                 ids = tuple(self.vocabulary[t] for t in self.terms(token) if t in self.vocabulary)
-                if len(self.cache) > 500_000:
+                if len(self.cache) > 200_000:
                     self.cache.clear()
                 self.cache[token] = ids
             for i in ids:
@@ -180,6 +180,13 @@ class Scorer:
         return self.__dict__ | {"cache": {}}
 
 
+def _few(batches: Iterator[pd.DataFrame], rows: int = 128) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of at most ``rows``: terms are many times a text."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.iloc[a:a + rows]
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = 24_000,
           terms: int = 3_000, min_docs: int = 5, min_z: float = 3.0) -> Scorer:
     """Fit on at most ``sample`` labelled doc_ids (least hash first) for which
@@ -196,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sam
         .withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             yield pd.DataFrame([(k, t, sorted({x for w in scorer.tokens(text) for x in scorer.terms(w)}))
                                 for k, t, text in zip(b["key"], b["toxic"], b["text"])], columns=["key", "toxic", "terms"])
 
@@ -221,13 +228,12 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sam
     width = 2 * len(scorer.vocabulary)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             found = [sorted(scorer.evidence(x).items()) for x in b["text"]]
             yield pd.DataFrame({"label": b["toxic"].astype(float), "i": [[k for k, _ in x] for x in found],
                                 "x": [[v for _, v in x] for x in found]})
 
     as_vector = F.udf(lambda i, x: SparseVector(width, i, x), VectorUDT())
-    # equal texts once: the copy with the least id speaks for the group
     train_rows = stage(rows.dropDuplicates(["key"]).mapInPandas(vectors, "label double, i array<int>, x array<double>"), "labelled-evidence")
     fitted = LogisticRegression(maxIter=60, regParam=0.002, elasticNetParam=0.5, standardization=True) \
         .fit(train_rows.select("label", as_vector("i", "x").alias("features")))
