@@ -49,7 +49,7 @@ GRAM_PARTS = 256
 PLACES = ORDERS + 1                          # bytes since the last space, at most ORDERS
 GATES = (ORDERS + 1) * PLACES
 BUCKETS = 33                                # of the adaptive map
-SLICE = 8 << 20
+SLICE = 3 << 20
 END = 10
 CHUNK_DOCS = 8192
 DOCS_PER_BUCKET = 32_000
@@ -180,7 +180,9 @@ class Model:
             z += w[gate, k] * inputs[k]
         return np.clip(z, -11.9, 11.9)
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
+    def log10(self, keys: np.ndarray, batch: int = 1 << 16) -> np.ndarray:
+        if len(keys) > batch:
+            return np.concatenate([self.log10(keys[a:a + batch]) for a in range(0, len(keys), batch)])
         out = np.zeros(len(keys))
         for rows, bit, inputs, gate in self.decisions(keys):
             z = self.mixed(inputs, gate)
@@ -329,10 +331,12 @@ def _learn_refinement(texts: DataFrame, model: Model) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, now = np.zeros(2 * cells), Model.of(shared.value)
-        for keys, counts in _unique(batches, 0):
-            for rows, bit, inputs, gate in now.decisions(keys):
-                at = gate * BUCKETS + _bucket(now.mixed(inputs, gate))
-                total += np.bincount(2 * at + bit, counts[rows], 2 * cells)
+        for all_keys, all_counts in _unique(batches, 0):
+            for a in range(0, len(all_keys), 1 << 16):
+                keys, counts = all_keys[a:a + (1 << 16)], all_counts[a:a + (1 << 16)]
+                for rows, bit, inputs, gate in now.decisions(keys):
+                    at = gate * BUCKETS + _bucket(now.mixed(inputs, gate))
+                    total += np.bincount(2 * at + bit, counts[rows], 2 * cells)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
