@@ -174,6 +174,8 @@ class Scorer:
         if self.weights is not None:
             for i, x in self.evidence(text).items():
                 z += self.weights[i] * x
+        if math.isinf(z):
+            return float(z > 0)
         return 1.0 / (1.0 + math.exp(-min(max(z, -500.0), 500.0)))
 
     def __getstate__(self):
@@ -212,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sam
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         share = toxic / max(toxic + clean, 1)
-        scorer.bias = math.log(share / (1 - share)) if 0 < share < 1 else 500.0 if share else -500.0
+        scorer.bias = math.log(share / (1 - share)) if 0 < share < 1 else math.inf if share else -math.inf
         return scorer
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     chosen = (seen.select("toxic", F.explode("terms").alias("term")).groupBy("term")
