@@ -15,12 +15,12 @@ Consequences used here:
 * SKUs collapse to **profiles** (p, five attributes): similarity depends on
   the profile only, and the number of profiles is bounded by the attribute
   domains, not by the number of SKUs.
-* For a fixed k the score bands by m do not overlap (every m-match pair
-  scores above every (m-1)-match pair), so the best partners are found by
-  **blocking**: equi-joins of profiles on every 4-attribute subset give all
-  pairs with m >= 4; profiles that still lack partners are widened to
-  3-, 2- and 1-attribute subsets.  No cross join is formed.
-* A threshold (spill-over, >= 0.70) translates into a minimum m the same way.
+* Partners are found by **blocking** on shared attribute values, from all
+  five down to none, and only for profiles whose partners could still improve
+  (see :func:`_top_partners`).  No pair of SKUs that shares nothing is formed
+  unless a partner with less in common can be among the best.
+* A threshold (spill-over, >= 0.70) translates into the least number of
+  shared attributes with which a profile can reach it.
 
 Each profile keeps at most ``n + 1`` SKUs (smallest ids) via a per-group
 row-number limit that Spark applies before the shuffle, so a profile
@@ -29,7 +29,6 @@ holding a third of all SKUs never moves whole.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from itertools import combinations
 
@@ -39,6 +38,7 @@ from pyspark.sql import functions as F
 from framewise.functions.expr import title_case
 from framewise.session import checkpoint_dir
 
+# The attributes that are compared.
 ATTRS = ["frame_shape", "material", "color", "gender", "category"]
 # Ordinal of the price band (NULL / unknown -> 2).
 PRICE_POINT_ORD = {"budget": 1, "mid": 2, "premium": 3, "luxury": 4}
@@ -101,74 +101,89 @@ def _score(m: F.Column, pa: F.Column, pb: F.Column, ka: F.Column, kb: F.Column)
     return F.when(den == 0, F.lit(0.0)).otherwise((m + pa * pb) / den)
 
 
-def _match_count(a: str = "a", b: str = "b") -> F.Column:
-    return reduce(lambda x, y: x + y, [F.coalesce((F.col(f"{a}.{c}") == F.col(f"{b}.{c}")).cast("int"), F.lit(0))
-                                       for c in ATTRS])
+def _cells(profiles: DataFrame) -> list[tuple[float, int]]:
+    """The (p, k) pairs that occur: at most one per price band, share of the
+    band range and attribute count, whatever the number of SKUs."""
+    return [(float(r["p"]), int(r["k"])) for r in profiles.select("p", "k").distinct().orderBy("p", "k").collect()]
 
 
-def _level_pairs(left: DataFrame, right: DataFrame, level: int) -> DataFrame:
-    """Profile pairs sharing at least ``level`` attributes: the union of the
-    equi-joins on every ``level``-subset of the attributes (no cross join)."""
+def _best_at(m: int, cells: list[tuple[float, int]]) -> F.Column:
+    """The best score a profile can reach with a partner that shares exactly
+    ``m`` attributes, over the (p, k) pairs that occur; -1 where none can."""
+    options = [_score(F.lit(float(m)), F.col("p"), F.lit(p), F.col("k").cast("double"), F.lit(float(k))) for p, k in cells if k >= m]
+    if not options:
+        return F.lit(-1.0)
+    best = options[0] if len(options) == 1 else F.greatest(*options)
+    return F.when(F.col("k") >= m, best).otherwise(F.lit(-1.0))
+
+
+def _shared_keys(df: DataFrame, level: int) -> DataFrame:
+    """A row per ``level``-subset of the attributes whose values are all
+    present: ``mask`` names the subset, ``vals`` holds the values."""
     parts = []
     for subset in combinations(ATTRS, level):
-        cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in subset]
-        parts.append(left.alias("a").join(right.alias("b"), cond).select(
-            F.col("a.pid").alias("pid_a"), F.col("b.pid").alias("pid_b")))
-    return reduce(DataFrame.union, parts).distinct()
-
-
-def _scored_profile_pairs(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
-    a, b = profiles.alias("a"), profiles.alias("b")
-    j = (pairs.join(a, F.col("pid_a") == F.col("a.pid")).join(b, F.col("pid_b") == F.col("b.pid")))
-    m = _match_count()
-    return j.select("pid_a", "pid_b", m.alias("m"),
-                    _score(m.cast("double"), F.col("a.p"), F.col("b.p"), F.col("a.k").cast("double"),
-                           F.col("b.k").cast("double")).alias("similarity_score"),
-                    F.col("b.n_skus").alias("n_b"))
-
-
-def similar_skus_all(products: DataFrame, top_n: int = 5, min_level: int = 1) -> DataFrame:
-    """Top-n most similar other SKUs for **every** SKU (A56), ties broken by
-    the smaller SKU id; columns ``sku_id, rank, similar_sku_id,
-    similarity_score`` plus the partner's frame_shape, material, colour and
-    price point.
-
-    Partners are searched level by level (m >= 4, then 3, 2, 1 for the
-    profiles still short of ``top_n + 1`` candidate SKUs).  SKUs sharing no
-    attribute with any other SKU (level 0) get fewer than n partners.
-    """
+        present = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in subset], F.lit(True))
+        key = F.concat_ws("\u0001", *[F.col(c) for c in subset]) if subset else F.lit("")
+        parts.append(F.when(present, F.struct(F.lit("".join(str(ATTRS.index(c)) for c in subset)).alias("mask"), key.alias("vals"))))
+    return df.withColumn("_key", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull()))) \
+        .select("*", F.col("_key.mask").alias("mask"), F.col("_key.vals").alias("vals")).drop("_key")
+
+
+def _top_partners(profiles: DataFrame, members: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` best SKUs for every query profile (itself included), ties
+    to the smaller id.
+
+    Level by level from all attributes shared down to none: SKUs are grouped
+    by the shared values and by (p, k), and the first ``keep`` ids of a group
+    are enough, because within it every SKU scores at least as much as one
+    that shares just these values.  A profile is finished once no partner with
+    fewer shared attributes can reach its ``keep``-th score; this bound is
+    taken over the (p, k) pairs that occur, so it also holds where attributes
+    are NULL or constant.  Level 0 groups all SKUs by (p, k), so partners that
+    share nothing are found too."""
+    cells = _cells(profiles)
+    known = members.join(profiles, "pid").select("sku_id", "p", "k", *ATTRS)
+    best, pending = None, queries
+    for level in range(len(ATTRS), -1, -1):
+        first = Window.partitionBy("mask", "vals", "p", "k").orderBy("sku_id")
+        group = (_shared_keys(known, level).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= keep)
+                 .select("mask", "vals", *[F.col(c).alias(f"b_{c}") for c in ("sku_id", "p", "k", *ATTRS)]))
+        if level == 0:
+            group = F.broadcast(group)          # at most ``keep`` rows for each (p, k)
+        shared = reduce(lambda x, y: x + y, [F.coalesce((F.col(c) == F.col(f"b_{c}")).cast("double"), F.lit(0.0)) for c in ATTRS])
+        found = (_shared_keys(pending, level).join(group, ["mask", "vals"])
+                 .select("pid", F.col("b_sku_id").alias("similar_sku_id"),
+                         _score(shared, F.col("p"), F.col("b_p"), F.col("k").cast("double"), F.col("b_k").cast("double"))
+                         .alias("similarity_score")).distinct())
+        every = found if best is None else best.unionByName(found).distinct()
+        order = Window.partitionBy("pid").orderBy(F.col("similarity_score").desc(), "similar_sku_id")
+        best = every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n").checkpoint()
+        if level == 0:
+            break
+        reached = best.groupBy("pid").agg(F.count(F.lit(1)).alias("_c"), F.min("similarity_score").alias("_t"))
+        possible = reduce(F.greatest, [_best_at(m, cells) for m in range(level)]) if level > 1 else _best_at(0, cells)
+        pending = (pending.join(reached, "pid", "left")
+                   .where((F.coalesce("_c", F.lit(0)) < keep) | (possible >= F.col("_t"))).drop("_c", "_t").checkpoint())
+        if pending.isEmpty():
+            break
+    return best
+
+
+def similar_skus_all(products: DataFrame, top_n: int = 5, only: F.Column | None = None) -> DataFrame:
+    """Top-n most similar other SKUs for **every** SKU (A56), or for the SKUs
+    for which ``only`` (over ``sku_id``) holds; ties broken by the smaller SKU
+    id; columns ``sku_id, rank, similar_sku_id, similarity_score`` plus the
+    partner's frame_shape, material, colour and price point.  There are always
+    n partners where the catalogue has n other SKUs."""
     keep = top_n + 1
     checkpoint_dir(products.sparkSession)
     prof = sku_profiles(products)
     skus, profiles, members = _profile_table(prof, keep)
-    # profile-grain tables are bounded by the attribute domains: cut their
-    # lineage so the level loop below plans against small leaves
-    profiles = profiles.checkpoint()
-    members = members.checkpoint()
-    parts = []
-    pending = profiles
-    for level in range(4, min_level - 1, -1):
-        pairs = _level_pairs(pending, profiles, level).checkpoint()
-        parts.append(pairs)
-        if level == min_level:
-            break
-        # profiles whose candidates at this level reach `keep` SKUs are done
-        have = (pairs.join(profiles.select(F.col("pid").alias("pid_b"), F.col("n_skus")), "pid_b")
-                     .groupBy("pid_a").agg(F.sum(F.least(F.col("n_skus"), F.lit(keep))).alias("c")))
-        pending = pending.join(have.where(F.col("c") >= keep).select(F.col("pid_a").alias("pid")),
-                               "pid", "left_anti").checkpoint()
-        if pending.isEmpty():
-            break
-    found = reduce(DataFrame.union, parts)
-    scored = _scored_profile_pairs(profiles, found.distinct())
-    # expand partner profiles to their first `keep` SKUs, keep the best `keep` per profile
-    cand = scored.join(members.select(F.col("pid").alias("pid_b"), F.col("sku_id").alias("similar_sku_id")),
-                       "pid_b")
-    w = Window.partitionBy("pid_a").orderBy(F.col("similarity_score").desc(), F.col("similar_sku_id"))
-    best = (cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep)
-                .select("pid_a", "similar_sku_id", "similarity_score"))
-    per_sku = (skus.select("sku_id", F.col("pid").alias("pid_a")).join(best, "pid_a")
-                   .where(F.col("sku_id") != F.col("similar_sku_id")))
+    profiles, members = profiles.checkpoint(), members.checkpoint()
+    asked = skus if only is None else skus.where(only)
+    queries = profiles if only is None else profiles.join(asked.select("pid").distinct(), "pid", "left_semi")
+    best = _top_partners(profiles, members, queries, keep)
+    per_sku = asked.select("sku_id", "pid").join(best, "pid").where(F.col("sku_id") != F.col("similar_sku_id"))
     w2 = Window.partitionBy("sku_id").orderBy(F.col("similarity_score").desc(), F.col("similar_sku_id"))
     top = (per_sku.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= top_n)
                   .select("sku_id", "rank", "similar_sku_id", "similarity_score"))
@@ -181,38 +196,46 @@ def similar_skus_all(products: DataFrame, top_n: int = 5, min_level: int = 1) ->
 
 def similar_skus(products: DataFrame, sku_id, top_n: int = 5) -> DataFrame:
     """Top-n similar SKUs of one SKU (A53); empty for an unknown SKU.
-    ``sku_id`` may be a literal or a scalar Column.  The filter is applied to
-    the query SKU's side before the partner search."""
+    ``sku_id`` may be a literal or a scalar Column.  Partners are searched for
+    the profile of this SKU alone."""
     target = sku_id if isinstance(sku_id, F.Column) else F.lit(sku_id)
-    return similar_skus_all(products, top_n).where(F.col("sku_id") == target)
-
-
-def min_match_level(threshold: float, n_attrs: int = len(ATTRS)) -> int:
-    """Smallest m whose best possible score (m + 1) / (k + 1) reaches the
-    threshold."""
-    return max(0, math.ceil(threshold * (n_attrs + 1) - 1 - 1e-12))
+    return similar_skus_all(products, top_n, only=F.col("sku_id") == target)
 
 
 def demand_spillover(products: DataFrame, inventory: DataFrame, query_skus: DataFrame,
                      min_similarity: float = 0.70) -> DataFrame:
-    """For each query SKU (e.g. the critically short ones): other SKUs with
-    similarity >= ``min_similarity`` joined to their store rows with more
-    than 30 days of supply (A58).  Candidate profiles come from the blocked
-    join at the minimum match level implied by the threshold."""
+    """For each of a short list of query SKUs: other SKUs with similarity >=
+    ``min_similarity`` joined to their store rows with more than 30 days of
+    supply (A58).
+
+    A query profile meets, per level, the profiles that share a subset of
+    that many attributes; the level is the least at which its best possible
+    score reaches the threshold (0 compares the short list with every
+    profile)."""
     prof = sku_profiles(products)
     skus, profiles, _ = _profile_table(prof, 1)
     checkpoint_dir(products.sparkSession)
     profiles = profiles.checkpoint()
+    cells = _cells(profiles)
     q = (query_skus.select("sku_id").distinct().join(skus.select("sku_id", "pid"), "sku_id")
                    .withColumnRenamed("sku_id", "query_sku_id"))
     q_prof = profiles.join(q.select("pid").distinct(), "pid", "left_semi")
-    level = min_match_level(min_similarity)
-    pairs = _level_pairs(q_prof, profiles, level) if level > 0 else None
-    if pairs is None:
-        raise ValueError("thresholds below the one-attribute level need a full comparison")
-    scored = _scored_profile_pairs(profiles, pairs).where(F.col("similarity_score") >= min_similarity)
-    cand = (q.join(scored, F.col("pid") == F.col("pid_a"))
-             .join(skus.select(F.col("pid").alias("pid_b"), F.col("sku_id").alias("similar_sku_id")), "pid_b")
+    need = reduce(lambda rest, m: F.when(_best_at(m, cells) >= min_similarity, F.lit(m)).otherwise(rest),
+                  range(len(ATTRS), -1, -1), F.lit(None).cast("int"))
+    q_prof = q_prof.withColumn("_need", need).where("_need is not null").checkpoint()
+    shared = reduce(lambda x, y: x + y, [F.coalesce((F.col(c) == F.col(f"b_{c}")).cast("double"), F.lit(0.0)) for c in ATTRS])
+    parts = []
+    for level in [r["_need"] for r in q_prof.select("_need").distinct().orderBy("_need").collect()]:
+        other = _shared_keys(profiles, level).select("mask", "vals", *[F.col(c).alias(f"b_{c}") for c in ("pid", "p", "k", *ATTRS)])
+        parts.append(_shared_keys(q_prof.where(F.col("_need") == level), level).join(other, ["mask", "vals"]).select(
+            "pid", "b_pid", _score(shared, F.col("p"), F.col("b_p"), F.col("k").cast("double"), F.col("b_k").cast("double"))
+            .alias("similarity_score")))
+    if not parts:
+        scored = q_prof.select("pid", F.col("pid").alias("b_pid"), F.lit(0.0).alias("similarity_score")).limit(0)
+    else:
+        scored = reduce(DataFrame.unionByName, parts).where(F.col("similarity_score") >= min_similarity).distinct()
+    cand = (q.join(scored, "pid")
+             .join(skus.select(F.col("pid").alias("b_pid"), F.col("sku_id").alias("similar_sku_id")), "b_pid")
              .where(F.col("similar_sku_id") != F.col("query_sku_id")))
     stocked = inventory.where(F.col("days_of_supply") > 30).select(
         F.col("sku_id").alias("similar_sku_id"), "store_id", "days_of_supply", "quantity_on_hand")
@@ -249,9 +272,9 @@ def cluster_products(products: DataFrame, n_clusters: int = 10, seed: int = 42)
     assigned = km.fit(vec).transform(vec).select("sku_id", "cluster_id")
     df = products.join(assigned, "sku_id")
     labels = df.groupBy("cluster_id").agg(
-        F.mode(F.coalesce("price_point", F.lit("mid")), deterministic=True).alias("_pp"),
-        F.mode(F.coalesce("material", F.lit("acetate")), deterministic=True).alias("_mat"),
-        F.mode(F.coalesce("frame_shape", F.lit("round")), deterministic=True).alias("_fs"),
+        F.coalesce(F.mode("price_point", deterministic=True), F.lit("mid")).alias("_pp"),
+        F.coalesce(F.mode("material", deterministic=True), F.lit("acetate")).alias("_mat"),
+        F.coalesce(F.mode("frame_shape", deterministic=True), F.lit("round")).alias("_fs"),
     ).select("cluster_id", F.concat_ws(" ", title_case("_pp"), title_case("_mat"),
                                        F.initcap(F.regexp_replace("_fs", "_", " "))).alias("cluster_label"))
     return df.join(F.broadcast(labels), "cluster_id")

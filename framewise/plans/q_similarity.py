@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewise.operators import recommend as R
-from framewise.operators import reports as RP
 from framewise.operators import similarity as SIM
 from framewise.plans.registry import register
 
@@ -75,7 +74,8 @@ def _alternatives(a):
 
 
 @register("demand_spillover", floats=["similarity_score", "days_of_supply"], extra=PROFILE_CTES + [
-    ("crit", "SELECT sku_id FROM inventory GROUP BY sku_id HAVING avg(days_of_supply) < 7"),
+    ("crit", """SELECT sku_id FROM (SELECT sku_id, avg(days_of_supply) AS d FROM inventory GROUP BY sku_id)
+                WHERE d < 7 ORDER BY d, sku_id LIMIT 5"""),
 ], sql=f"""
 SELECT a.sku_id AS query_sku_id, b.sku_id AS similar_sku_id, {_SCORE} AS similarity_score,
        i.store_id, i.days_of_supply, i.quantity_on_hand
@@ -84,7 +84,10 @@ JOIN inventory i ON i.sku_id = b.sku_id AND i.days_of_supply > 30
 WHERE a.sku_id IN (SELECT sku_id FROM crit) AND {_SCORE} >= 0.7
 """)
 def _spillover(a):
-    return SIM.demand_spillover(a.products, a.inventory, RP.critical_stock_skus(a.inventory), 0.70)
+    # the operator takes a short list of SKUs: the five that run out first
+    short = (a.inventory.groupBy("sku_id").agg(F.avg("days_of_supply").alias("d")).where("d < 7")
+             .orderBy("d", "sku_id").limit(5).select("sku_id"))
+    return SIM.demand_spillover(a.products, a.inventory, short, 0.70)
 
 
 @register("cluster_products", note="KMeans; rows-only check")
