@@ -20,7 +20,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     survives lost executors and is computed exactly once."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -138,7 +138,7 @@ def prefixes(texts: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
 
 def _entries(classes: DataFrame, keep: np.ndarray | None) -> DataFrame:
     """A row per class and prefix shingle; with ``keep``, only shingles whose
-    bit is set, and with everything the filters need."""
+    bit is set, with its place, class and set size."""
     shared = None if keep is None else classes.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,48 +150,52 @@ def _entries(classes: DataFrame, keep: np.ndarray | None) -> DataFrame:
             if shared is None:
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))], names=["token"])
                 continue
-            ok = bitmap.test(shared.value, (token >> U(64 - TOKEN_BITS)).astype(np.int64))
+            # the low bits: the high ones chose the prefix
+            ok = bitmap.test(shared.value, (token & U((1 << TOKEN_BITS) - 1)).astype(np.int64))
             at = pa.array(row[ok])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[ok].view(np.int64)), pa.array(pos[ok].astype(np.int32)), *(batch.column(i).take(at) for i in (1, 2, 3, 4))],
-                names=["token", "pos", "key", "rep", "n", "shape"])
+                [pa.array(token[ok].view(np.int64)), pa.array(pos[ok].astype(np.int32)), *(batch.column(i).take(at) for i in (1, 2, 3))],
+                names=["token", "pos", "key", "rep", "n"])
 
-    return classes.select("prefix", "key", "rep", "n", "shape").mapInArrow(
-        run, "token long" if keep is None else "token long, pos int, key binary, rep long, n long, shape binary")
+    return classes.select("prefix", "key", "rep", "n").mapInArrow(
+        run, "token long" if keep is None else "token long, pos int, key binary, rep long, n long")
 
 
-def _suffix_filter(rule: Rule):
+PAIR_SCHEMA = "a binary, b binary, a_rep long, b_rep long"
+
+
+def _suffix_filter(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs whose histograms leave room for the least intersection."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                shape = lambda i: np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), np.uint8).reshape(-1, HISTOGRAM).astype(np.int32)
+                shape = lambda i: np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16)
                 na, nb = batch.column(4).to_numpy(), batch.column(5).to_numpy()
                 apart = np.abs(shape(6) - shape(7)).sum(axis=1)
                 batch = batch.filter(pa.array(apart <= na + nb - 2 * rule.least(na, nb)))
             yield batch.select([0, 1, 2, 3])
-    return run
-
 
-PAIR_SCHEMA = "a binary, b binary, a_rep long, b_rep long"
+    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("shape").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_rep", "b_rep", "na", "nb", "sa", "sb") \
+        .mapInArrow(run, PAIR_SCHEMA)
 
 
-def _filtered(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs from rows with (key, rep, n, pos, shape) of both sides
-    as x_* and y_*, after the length, positional and suffix filters."""
+def _filtered(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct pairs from rows with (key, rep, n, pos) of both sides as x_*
+    and y_*, after the length, positional and suffix filters."""
     first = F.col("x_key") < F.col("y_key")
     pick = lambda lo, hi, name: F.when(first, F.col(lo)).otherwise(F.col(hi)).alias(name)
-    return (pairs.where("x_key <> y_key")
+    kept = (pairs.where("x_key <> y_key")
             .where(f"{rule.num}L * greatest(x_n, y_n) <= {rule.den}L * least(x_n, y_n)")
             .where(f"least(x_n - x_pos, y_n - y_pos) >= {rule.least_sql('x_n', 'y_n')}")
-            .select(pick("x_key", "y_key", "a"), pick("y_key", "x_key", "b"),
-                    pick("x_rep", "y_rep", "a_rep"), pick("y_rep", "x_rep", "b_rep"),
-                    pick("x_n", "y_n", "na"), pick("y_n", "x_n", "nb"),
-                    pick("x_shape", "y_shape", "sa"), pick("y_shape", "x_shape", "sb"))
-            .mapInArrow(_suffix_filter(rule), PAIR_SCHEMA).dropDuplicates(["a", "b"]))
+            .select(pick("x_key", "y_key", "a"), pick("y_key", "x_key", "b"), pick("x_rep", "y_rep", "a_rep"), pick("y_rep", "x_rep", "b_rep"))
+            .dropDuplicates(["a", "b"]))
+    return _suffix_filter(kept, classes, rule)
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
-    return df.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("pos", "key", "rep", "n", "shape")))
+    return df.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("pos", "key", "rep", "n")))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -249,23 +253,17 @@ def _between_components(entries: DataFrame, labels: DataFrame, centers: int, rul
         frame = frame.sort_values("key", ignore_index=True)
         left, right = frame[frame["mine"] == i], frame[frame["mine"] == j]
         rn, rp, rc = (right[c].to_numpy() for c in ("n", "pos", "component"))
-        shapes = np.frombuffer(b"".join(right["shape"]), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16)
         order = right.index.to_numpy()
         out = []
         for x in left.itertuples():
             ok = (rc != x.component) & ((order > x.Index) | (i != j)) & (rule.num * np.maximum(rn, x.n) <= rule.den * np.minimum(rn, x.n))
-            least = rule.least(rn, x.n)
-            ok &= np.minimum(rn - rp, x.n - x.pos) >= least
-            at = np.flatnonzero(ok)
-            if len(at):
-                mine = np.frombuffer(x.shape, np.uint8).astype(np.int16)
-                at = at[np.abs(shapes[at] - mine).sum(axis=1) <= rn[at] + x.n - 2 * least[at]]
-            for y in right.iloc[at].itertuples():
+            ok &= np.minimum(rn - rp, x.n - x.pos) >= rule.least(rn, x.n)
+            for y in right.iloc[np.flatnonzero(ok)].itertuples():
                 a, b = (x, y) if x.key < y.key else (y, x)
                 out.append((a.key, b.key, a.rep, b.rep))
         return pd.DataFrame(out, columns=["a", "b", "a_rep", "b_rep"])
 
-    return rest.select("token", "i", "j", "mine", "pos", "key", "rep", "n", "shape", "component") \
+    return rest.select("token", "i", "j", "mine", "pos", "key", "rep", "n", "component") \
         .groupBy("token", "i", "j").applyInPandas(cross, PAIR_SCHEMA).dropDuplicates(["a", "b"])
 
 
@@ -278,18 +276,18 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), centers: int = 16)
         .where("rep is not null"), "jaccard-classes")
     common = _entries(classes, None).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     common = stage(common, "jaccard-common")
-    keep = bitmap.build(common, F.shiftrightunsigned("token", 64 - TOKEN_BITS), TOKEN_BITS)
+    keep = bitmap.build(common, F.expr(f"token & {(1 << TOKEN_BITS) - 1}L"), TOKEN_BITS)
     order = Window.partitionBy("token").orderBy("key")
     kept = stage(_entries(classes, keep).join(common, "token", "left_semi"), "jaccard-entries")
     heads = stage(kept.select("token", "key").withColumn("r", F.row_number().over(order)).where(F.col("r") <= centers).drop("r"),
                   "jaccard-centers")
     entries = stage(kept.join(heads.withColumn("center", F.lit(True)), ["token", "key"], "left")
                     .withColumn("center", F.coalesce("center", F.lit(False))), "jaccard-entries")
-    pairs = stage(_filtered(_side(entries, "x").join(_side(entries.where("center"), "y"), "token"), rule), "jaccard-pairs")
+    pairs = stage(_filtered(_side(entries, "x").join(_side(entries.where("center"), "y"), "token"), classes, rule), "jaccard-pairs")
     links = verify(pairs, texts, rule)
     edge = lambda x: x.select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
     labels = stage(components(edge(links)), "jaccard-labels")
-    more = stage(_between_components(entries, labels, centers, rule), "jaccard-pairs")
+    more = stage(_suffix_filter(_between_components(entries, labels, centers, rule), classes, rule), "jaccard-pairs")
     if not more.isEmpty():
         links = links.unionByName(verify(more, texts, rule))
         labels = stage(components(edge(links)), "jaccard-labels")
