@@ -18,16 +18,16 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.functions.expr import global_row_number
+from framewise.functions.expr import global_row_number, round_half_even
 from framewise.operators import features as FT
 from framewise.session import checkpoint_dir
 
 # The modelled forecaster's settings.
 FORECAST_PARAMS = dict(max_iter=800, step_size=0.03, max_depth=8, min_instances=5, subsample=0.75,
-                       colsample=0.7, seed=42)
+                       colsample=0.7, seed=42, tolerance=0.0)
 EARLY_STOP_VALIDATION_MIN_ROWS = 200
 EARLY_STOP_VALIDATION_SHARE = 0.10
 TEST_MONTHS = 3
@@ -88,19 +88,30 @@ class Forecaster:
         return out.withColumn("predicted", F.greatest(F.expm1("prediction"), F.lit(0.0))).drop(
             "features", "prediction")
 
+    @property
+    def n_trees(self) -> int:
+        return self.model.stages[-1].getNumTrees
+
     def save(self, path: str) -> None:
-        """Persist the fitted pipeline."""
-        self.model.write().overwrite().save(path)
+        """Persist the fitted pipeline with its columns and test RMSE."""
+        self.model.write().overwrite().save(f"{path}/model")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(self.feature_cols, self.test_rmse)], "feature_cols array<string>, test_rmse double") \
+            .write.mode("overwrite").json(f"{path}/state")
 
     @classmethod
-    def load(cls, path: str, feature_cols: list[str] | None = None) -> "Forecaster":
-        return cls(PipelineModel.load(path), list(feature_cols or FT.FEATURE_COLUMNS))
+    def load(cls, path: str) -> "Forecaster":
+        state = SparkSession.getActiveSession().read.schema("feature_cols array<string>, test_rmse double").json(f"{path}/state").first()
+        return cls(PipelineModel.load(f"{path}/model"), list(state["feature_cols"]), state["test_rmse"])
 
 
 def train_forecaster(train: DataFrame, feature_cols: list[str] | None = None, **params) -> Forecaster:
     """Fit the boosted-tree forecaster on ``log1p(demand)`` (A23), all rows
     including zero weeks, early stopping on the last rows of the training
-    period."""
+    period.  Spark stops at the first round that gains no more than
+    ``tolerance`` on those rows (the modelled trainer waits 40 rounds without
+    gain, which Spark cannot); ``n_trees`` of the result tells how many were
+    kept."""
     p = {**FORECAST_PARAMS, **params}
     cols = list(feature_cols or FT.FEATURE_COLUMNS)
     checkpoint_dir(train.sparkSession)
@@ -110,7 +121,7 @@ def train_forecaster(train: DataFrame, feature_cols: list[str] | None = None, **
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=p["max_iter"], stepSize=p["step_size"],
                        maxDepth=p["max_depth"], minInstancesPerNode=p["min_instances"],
                        subsamplingRate=p["subsample"], featureSubsetStrategy=str(p["colsample"]),
-                       seed=p["seed"], validationIndicatorCol="is_val", checkpointInterval=10,
+                       seed=p["seed"], validationIndicatorCol="is_val", validationTol=p["tolerance"], checkpointInterval=10,
                        cacheNodeIds=True, maxBins=64)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"), gbt])
     model = pipe.fit(data)
@@ -133,7 +144,7 @@ def evaluate(df: DataFrame, y: str = "demand", pred: str = "predicted") -> DataF
     ss_tot = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("_n")
     r2 = F.when(ss_tot == 0, F.when(F.col("_ss_res") == 0, 1.0).otherwise(0.0)).otherwise(
         F.lit(1.0) - F.col("_ss_res") / ss_tot)
-    bias = F.when(F.col("_my") == 0, 0.0).otherwise(F.round(F.col("_bias") / F.col("_my") * 100.0, 4))
+    bias = F.when(F.col("_my") == 0, 0.0).otherwise(round_half_even(F.col("_bias") / F.col("_my") * F.lit(100.0), 4))
     return a.select((F.coalesce("_mape", F.lit(0.0)) * 100.0).alias("mape"), "rmse", "mae",
                     r2.alias("r2"), bias.alias("bias_pct"))
 
@@ -173,15 +184,14 @@ def feature_importance(fc: Forecaster, spark, top: int = 20) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def forecast(fc: Forecaster, feats: DataFrame, days: int = 90) -> DataFrame:
-    """Future weekly demand per SKU.
-
-    weeks = max(1, (days + 6) // 7) Mondays after the last week.  Each SKU's
-    last observed feature row is carried to every future week; calendar
-    features, month / week priors (the SKU mean where the SKU has no history
-    for that month or week) and the interactions that use them are
-    recomputed; ``weeks_since_launch`` advances by one.  Bounds are
-    +-1.28 test RMSE, the lower floored at 0, all rounded to 2 dp."""
+def future_rows(feats: DataFrame, days: int = 90) -> DataFrame:
+    """Feature rows of the weeks to forecast: weeks = max(1, (days + 6) // 7)
+    Mondays after the last week.
+
+    Each SKU's last observed feature row is carried to every future week;
+    calendar features, month / week priors (the SKU mean where the SKU has no
+    history for that month or week) and the interactions that use them are
+    recomputed; ``weeks_since_launch`` advances by one."""
     n_weeks = max(1, (days + 6) // 7)
     last = feats.groupBy("sku_id").agg(F.max_by(F.struct(*[c for c in feats.columns if c != "sku_id"]),
                                                 F.col("date")).alias("r")).select("sku_id", "r.*")
@@ -198,11 +208,33 @@ def forecast(fc: Forecaster, feats: DataFrame, days: int = 90) -> DataFrame:
                     .withColumn("sku_month_mean", F.coalesce("_mp", "sku_mean_demand"))
                     .withColumn("sku_woy_mean", F.coalesce("_wp", "sku_mean_demand"))
                     .drop("_mp", "_wp"))
-    future = FT.interaction_features(future)
-    pred = fc.predict(future.select("sku_id", "date", *fc.feature_cols))
-    band = INTERVAL_Z * (fc.test_rmse or 0.0)
-    p = F.col("predicted")
-    return pred.select("sku_id", "date",
-                       F.round(p, 2).alias("forecast_units"),
-                       F.round(F.greatest(p - F.lit(band), F.lit(0.0)), 2).alias("lower_bound"),
-                       F.round(p + F.lit(band), 2).alias("upper_bound"))
+    return FT.interaction_features(future)
+
+
+def _forecast_rows(pred: DataFrame, test_rmse: float) -> DataFrame:
+    """``sku_id``, ``date`` as ``yyyy-MM-dd``, ``forecasted_demand`` and the
+    +-1.28 test RMSE bounds, the lower floored at 0, rounded to 2 dp."""
+    band, p = INTERVAL_Z * test_rmse, F.col("predicted")
+    return pred.select("sku_id", F.date_format("date", "yyyy-MM-dd").alias("date"),
+                       round_half_even(p, 2).alias("forecasted_demand"),
+                       round_half_even(F.greatest(p - F.lit(band), F.lit(0.0)), 2).alias("lower_bound"),
+                       round_half_even(p + F.lit(band), 2).alias("upper_bound"))
+
+
+def forecast(fc: Forecaster, feats: DataFrame, days: int = 90) -> DataFrame:
+    """Future weekly demand per SKU (A27), see :func:`future_rows`."""
+    pred = fc.predict(future_rows(feats, days).select("sku_id", "date", *fc.feature_cols))
+    return _forecast_rows(pred, fc.test_rmse or 0.0)
+
+
+def week_prior_forecast(weekly: DataFrame, days: int = 90, test_rmse: float = 0.0) -> DataFrame:
+    """The same table without a model: each SKU's mean demand of the same ISO
+    week (its overall mean where it has no such week).  A baseline, and a
+    forecast that any engine can recompute."""
+    n_weeks = max(1, (days + 6) // 7)
+    hi = weekly.agg(F.max("date")).first()[0]
+    means = weekly.groupBy("sku_id").agg(F.avg("demand").alias("_m"))
+    prior = weekly.groupBy("sku_id", F.weekofyear("date").alias("_w")).agg(F.avg("demand").alias("_p"))
+    future = means.withColumn("date", F.explode(F.sequence(F.date_add(F.lit(hi), 7), F.date_add(F.lit(hi), 7 * n_weeks),
+                                                           F.expr("INTERVAL 7 DAYS")))).withColumn("_w", F.weekofyear("date"))
+    return _forecast_rows(future.join(prior, ["sku_id", "_w"], "left").withColumn("predicted", F.coalesce("_p", "_m")), test_rmse)

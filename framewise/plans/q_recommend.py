@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framewise.operators import features as FT
+from framewise.operators import model as M
 from framewise.operators import recommend as R
 from framewise.operators import reports as RP
 from framewise.operators import signals as S
-from framewise.plans.q_supply import SCORED_CTE
+from framewise.operators import similarity as SIM
+from framewise.operators import supply as SC
+from framewise.plans.q_features import FEATURE_CTES
+from framewise.plans.q_similarity import TOP_CTES
+from framewise.plans.q_supply import REORDER_CTES, REORDER_FLOATS, REORDER_SQL, SCORED_CTE
 from framewise.plans.registry import register
 from framewise.plans.sqlparts import clip, pct_rank_sql, rhe, velocity_full_sql
 
 
-def buy(a, similar=None):
+def buy(a, similar=None, forecast=None):
     return R.buy_recommendations(a.inventory, a.suppliers, a.product_supplier, a.products,
-                                 a.sales_lines, None, similar)
+                                 a.sales_lines, forecast, similar)
+
+
+def prior_forecast(a):
+    """A forecast without a model: each SKU's mean weekly demand of the same
+    ISO week, for the 13 weeks after the last one."""
+    return M.week_prior_forecast(FT.weekly_demand(a.sales_lines), 90)
 
 
 def clearance(a, window=30):
@@ -92,6 +104,30 @@ BUY_CTES = [
          {rhe(_CONF, 4)} AS confidence_score
   FROM b5"""),
 ]
+
+# The same buy list with the forecast of week priors and with alternatives.
+_WEEKLY_CTES = FEATURE_CTES[:[n for n, _ in FEATURE_CTES].index("weekly") + 1]
+PRIOR_CTES = _WEEKLY_CTES + [("pf", f"""
+  SELECT sku_id, strftime(date, '%Y-%m-%d') AS date, {rhe("x", 2)} AS forecasted_demand,
+         {rhe("greatest(x - 0.0::DOUBLE, 0.0::DOUBLE)", 2)} AS lower_bound, {rhe("x + 0.0::DOUBLE", 2)} AS upper_bound
+  FROM (SELECT s.sku_id, f.date, coalesce(w.p, s.m) AS x
+        FROM (SELECT sku_id, avg(demand) AS m FROM weekly GROUP BY 1) s
+        CROSS JOIN (SELECT CAST(unnest(generate_series(max(date) + 7, max(date) + 91, INTERVAL 7 DAY)) AS DATE) AS date FROM weekly) f
+        LEFT JOIN (SELECT sku_id, weekofyear(date) AS wk, avg(demand) AS p FROM weekly GROUP BY 1, 2) w
+          ON w.sku_id = s.sku_id AND w.wk = weekofyear(f.date)) y""")]
+
+
+def _with(ctes, **changed):
+    return [(n, changed.get(n, body)) for n, body in ctes]
+
+
+_BUY = dict(BUY_CTES)
+_ALTERNATIVES = _BUY["buy"].replace("'' AS similar_alternatives", "coalesce(alts, '') AS similar_alternatives").replace(
+    "FROM b5", """FROM b5 LEFT JOIN (SELECT sku_id AS alt_id, string_agg(similar_sku_id, ',' ORDER BY rank) AS alts
+                                    FROM top WHERE rank <= 3 GROUP BY sku_id) al ON al.alt_id = b5.sku_id""")
+_FORECAST_B2 = (_BUY["b2"].replace("d * 90.0::DOUBLE", "coalesce(proj, d * 90.0::DOUBLE)")
+                .replace("FROM b1", """FROM b1 LEFT JOIN (SELECT sku_id AS f_id, sum(forecasted_demand) AS proj FROM pf GROUP BY 1) fs
+                                       ON fs.f_id = b1.sku_id"""))
 BUY_FLOATS = ["projected_demand_90d", "gap", "urgency_score", "estimated_cost_usd", "estimated_margin_usd",
               "margin_pct", "lead_time_days", "confidence_score"]
 
@@ -268,7 +304,27 @@ def _assistant(a):
     return RP.assistant_context(portfolio(a), buy(a), S.trending_skus(a.social_signals, a.sales_lines, 15))
 
 
-@register("similar_alternatives_in_buy", note="buy list with similar alternatives; rows-only check")
+@register("similar_alternatives_in_buy", floats=BUY_FLOATS, extra=TOP_CTES + _with(BUY_CTES, buy=_ALTERNATIVES),
+          sql="SELECT * FROM buy")
 def _buy_alt(a):
-    from framewise.operators import similarity as SIM
     return buy(a, SIM.similar_skus_all(a.products, 3))
+
+
+@register("prior_forecast", floats=["forecasted_demand", "lower_bound", "upper_bound"], extra=PRIOR_CTES, sql="SELECT * FROM pf")
+def _prior(a):
+    return prior_forecast(a)
+
+
+@register("buy_with_forecast", floats=BUY_FLOATS,
+          extra=PRIOR_CTES + TOP_CTES + _with(BUY_CTES, b2=_FORECAST_B2, buy=_ALTERNATIVES),
+          sql="SELECT * FROM buy")
+def _buy_forecast(a):
+    return buy(a, SIM.similar_skus_all(a.products, 3), prior_forecast(a))
+
+
+@register("reorder_with_forecast", floats=REORDER_FLOATS, extra=PRIOR_CTES + _with(REORDER_CTES, k=dict(REORDER_CTES)["k"].replace(
+    "d * 90.0::DOUBLE AS projected", "coalesce(proj, d * 90.0::DOUBLE) AS projected").replace(
+    "FROM j", "FROM j LEFT JOIN (SELECT sku_id AS f_id, sum(forecasted_demand) AS proj FROM pf GROUP BY 1) fs ON fs.f_id = j.sku_id")),
+    sql=REORDER_SQL)
+def _reorder_forecast(a):
+    return SC.reorder_recommendations(a.inventory, a.sales_lines, a.suppliers, a.product_supplier, prior_forecast(a))

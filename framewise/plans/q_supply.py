@@ -83,15 +83,18 @@ REORDER_CTES = [
 ]
 
 
-@register("reorder_recommendations", floats=["days_until_stockout", "lead_time_days", "estimated_cost",
-                                             "urgency_score"], extra=REORDER_CTES, sql=f"""
+REORDER_FLOATS = ["days_until_stockout", "lead_time_days", "estimated_cost", "urgency_score"]
+REORDER_SQL = f"""
 SELECT sku_id, days_until_stockout, qty AS recommended_order_qty, supplier_id AS preferred_supplier,
        risk_band AS supplier_risk_band, lead_time_days, qty * unit_cost AS estimated_cost,
        {rhe(clip("(1.0::DOUBLE - " + clip("days_until_stockout / 90.0::DOUBLE", 0.0, 1.0) + ") * 0.5::DOUBLE"
                  " + (d / mx) * 0.3::DOUBLE + CAST(trig AS DOUBLE) * 0.2::DOUBLE", 0.0, 1.0), 4)} AS urgency_score,
        eoq
 FROM l WHERE trig
-""")
+"""
+
+
+@register("reorder_recommendations", floats=REORDER_FLOATS, extra=REORDER_CTES, sql=REORDER_SQL)
 def _reorder(a):
     return SC.reorder_recommendations(a.inventory, a.sales_lines, a.suppliers, a.product_supplier)
 

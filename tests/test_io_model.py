@@ -39,7 +39,7 @@ def test_small_forecaster_fit(spark, small_dir):
     assert len(fc.importances) == len(FT.FEATURE_COLUMNS)
     f = M.forecast(fc, feats, 14)
     assert f.count() == 2 * feats.select("sku_id").distinct().count()
-    assert f.where("lower_bound < 0 OR upper_bound < forecast_units").count() == 0
+    assert f.where("lower_bound < 0 OR upper_bound < forecasted_demand").count() == 0
 
 
 def test_write_outputs_csv_and_parquet(spark, tmp_path):
@@ -60,9 +60,10 @@ def test_forecaster_save_load(spark, tmp_path):
     df = spark.createDataFrame([(float(i), float(i % 3), float(i)) for i in range(40)], "a double, b double, label double")
     pm = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"),
                           GBTRegressor(maxIter=2, maxDepth=2)]).fit(df)
-    fc = Forecaster(pm, ["a", "b"])
+    fc = Forecaster(pm, ["a", "b"], 2.5)
     fc.save(str(tmp_path / "m"))
-    again = Forecaster.load(str(tmp_path / "m"), ["a", "b"])
+    again = Forecaster.load(str(tmp_path / "m"))
+    assert (again.feature_cols, again.test_rmse, again.n_trees) == (["a", "b"], 2.5, 2)
     p1 = [r.predicted for r in fc.predict(df).orderBy("a").collect()]
     p2 = [r.predicted for r in again.predict(df).orderBy("a").collect()]
     assert p1 == p2
