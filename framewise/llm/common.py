@@ -28,9 +28,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most ``rows`` rows to Python at once: the session's default
+    suits numbers, ten thousand whole texts would fill a task's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone (NULL text as empty), whatever else the
-    table carries."""
+    table carries; they go to Python in :func:`text_batches`."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import stage
+from framewise.llm import bitmap as bitmaps
+from framewise.llm.common import stage, text_batches
 from framewise.llm.tokens import ALNUM, U, gram_hashes, slices, word_hashes, words
 
 WINDOW = 10
 K = 5
 BITS = 24               # bitmap of 2**24 bits, 2 MB, whatever the benchmark's size
-_PAGE = 32768           # bits of one bitmap_construct_agg row
 
 RUN_SCHEMA = "item_id string, n int, run binary, slot long"
 DOC_SCHEMA = "row_id long, doc_id long, n_words long, runs array<struct<start:int,n:int,run:binary>>"
@@ -96,25 +96,15 @@ def benchmark_runs(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
         .mapInArrow(build, RUN_SCHEMA)
 
 
-def _bitmap(runs: DataFrame) -> np.ndarray:
-    pages = (runs.select((F.col("slot") + 1).alias("x"))
-                 .groupBy(F.expr("bitmap_bucket_number(x)").alias("page"))
-                 .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")).collect())
-    out = np.zeros((1 << BITS) // 8, np.uint8)
-    for p in pages:                                  # at most 2**BITS / 32768 rows of 4 KB
-        a = (p["page"] - 1) * _PAGE // 8
-        out[a:a + _PAGE // 8] = np.frombuffer(bytes(p["bits"]), np.uint8)
-    return out
-
-
 def candidate_runs(docs: DataFrame, bitmap: np.ndarray, short: list[int], window: int = WINDOW, k: int = K) -> DataFrame:
     """One row per document with its word count and the runs whose kept
     fingerprint and own hash are both in the bitmap."""
     spark = docs.sparkSession
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(bitmap)
 
     def known(at: np.ndarray) -> np.ndarray:
-        return (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return bitmaps.test(shared.value, at)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     hit, merged) and items (distinct item ids as sorted strings)."""
     bench = stage(benchmark_runs(items, window, k), "bench-runs")
     short = sorted(r["n"] for r in bench.where(F.col("n").between(1, window - 1)).select("n").distinct().collect())
-    found = stage(candidate_runs(docs, _bitmap(bench), short, window, k), "candidate-runs")
+    found = stage(candidate_runs(docs, bitmaps.build(bench, F.col("slot"), BITS), short, window, k), "candidate-runs")
     by_run = bench.where("run is not null").groupBy("run", "n") \
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     hits = found.select("row_id", F.explode("runs").alias("r")).select("row_id", "r.start", "r.n", "r.run")

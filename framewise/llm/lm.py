@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import stage
+from framewise.llm.common import stage, text_batches
 from framewise.llm.tokens import LOWER, SPACE_SEPARATED, U, Slice, mix, slices, word_hashes, words
 
 ORDERS = 5
@@ -51,7 +51,7 @@ GATES = (ORDERS + 1) * PLACES
 BUCKETS = 33                                # of the adaptive map
 SLICE = 3 << 20
 END = 10
-CHUNK_DOCS = 8192
+CHUNK_DOCS = 8192                           # a chunk is full with these; a last batch may add to them, below 2**16
 DOCS_PER_BUCKET = 32_000
 
 
@@ -365,52 +365,66 @@ SCAN_SCHEMA = "chunk long, bucket int, docs binary, held binary, tokens binary,
 BINARIES = ("docs", "held", "tokens", "score", "ids", "missing", "hash", "train", "posts", "times")
 
 
+class _Chunk:
+    """Scores and token hashes of consecutive documents, without their texts."""
+
+    def __init__(self):
+        self.n, self.parts = 0, []
+
+    def add(self, batch: pa.RecordBatch, model: Model) -> None:
+        ids, held = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+        for s in slices(batch.column(2), SLICE):
+            data, offsets = normalised(s)
+            keys, inverse = np.unique(grams(data, offsets), return_inverse=True)
+            score = np.add.reduceat(model.log10(keys)[inverse], offsets[:-1])
+            del keys, inverse
+            w = words(data, offsets, SPACE_SEPARATED)
+            own = ids.slice(s.first, s.last - s.first)
+            self.parts.append((own.fill_null(0).to_numpy().astype(np.int64), own.is_null().to_numpy(zero_copy_only=False).astype(np.uint8),
+                               held[s.first:s.last], np.diff(w.bounds) + 1, score, word_hashes(data, w), (w.row() + s.first + self.n).astype(np.uint16)))
+        self.n += batch.num_rows
+
+    def rows(self, serial: int, buckets: int) -> list[dict]:
+        ids, missing, out, tokens, score, h, row = (np.concatenate(x) for x in zip(*self.parts))
+        blank = dict.fromkeys(BINARIES, None)
+        rows = [blank | {"chunk": serial, "bucket": -1, "held": out.tobytes(), "tokens": tokens.astype(np.int64).tobytes(),
+                         "score": score.tobytes(), "ids": ids.tobytes(), "missing": missing.tobytes()}]
+        order = np.argsort(h, kind="stable")            # rows ascend within a hash: they came in order
+        ho, ro = h[order], row[order]
+        new = np.ones(len(ho), bool)
+        new[1:] = (ho[1:] != ho[:-1]) | (ro[1:] != ro[:-1])
+        post = np.flatnonzero(new)
+        times = np.diff(np.append(post, len(ho)))
+        ph, pd_ = ho[post], ro[post]
+        first = np.flatnonzero(np.concatenate([[True], ph[1:] != ph[:-1]])) if len(ph) else np.zeros(0, np.int64)
+        learned = np.add.reduceat(times * (out[pd_] == 0), first) if len(first) else first
+        n_posts = np.diff(np.append(first, len(ph)))
+        bucket = ((ph[first] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+        for b in np.unique(bucket):
+            lo, hi = np.searchsorted(bucket, [b, b + 1])
+            x, y = first[lo], first[hi] if hi < len(first) else len(ph)
+            rows.append(blank | {"chunk": serial, "bucket": int(b), "hash": ph[first[lo:hi]].tobytes(),
+                                 "train": learned[lo:hi].astype(np.uint32).tobytes(), "posts": n_posts[lo:hi].astype(np.uint32).tobytes(),
+                                 "docs": pd_[x:y].tobytes(), "times": times[x:y].astype(np.uint32).tobytes()})
+        return rows
+
+
 def scan(docs: DataFrame, model: Model, held: Column, buckets: int) -> DataFrame:
     """Per chunk of documents: one row (bucket -1) with ids, token counts and
     model scores, and one per token-hash bucket with the chunk's postings."""
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
-    def empty() -> dict:
-        return dict.fromkeys(BINARIES, None)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial, now = TaskContext.get().partitionId() << 32, Model.of(shared.value)
         schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in BINARIES)])
+        chunk = _Chunk()
         for batch in batches:
-            for a in range(0, batch.num_rows, CHUNK_DOCS):
-                part = batch.slice(a, CHUNK_DOCS)
-                for s in slices(part.column(2), SLICE):
-                    ids = part.column(0).slice(s.first, s.last - s.first)
-                    out = part.column(1).slice(s.first, s.last - s.first).to_numpy(zero_copy_only=False).astype(np.uint8)
-                    data, offsets = normalised(s)
-                    keys, inverse = np.unique(grams(data, offsets), return_inverse=True)
-                    score = np.add.reduceat(now.log10(keys)[inverse], offsets[:-1])
-                    w = words(data, offsets, SPACE_SEPARATED)
-                    h = word_hashes(data, w)
-                    rows = [{"chunk": serial, "bucket": -1, **empty(), "held": out.tobytes(),
-                             "tokens": (np.diff(w.bounds) + 1).astype(np.int64).tobytes(), "score": score.tobytes(),
-                             "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(),
-                             "missing": ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()}]
-                    row = w.row()
-                    order = np.lexsort((row, h))
-                    ho, ro = h[order], row[order]
-                    new = np.ones(len(ho), bool)
-                    new[1:] = (ho[1:] != ho[:-1]) | (ro[1:] != ro[:-1])
-                    post = np.flatnonzero(new)
-                    times = np.diff(np.append(post, len(ho)))
-                    ph, pd_ = ho[post], ro[post]
-                    first = np.flatnonzero(np.concatenate([[True], ph[1:] != ph[:-1]])) if len(ph) else np.zeros(0, np.int64)
-                    learned = np.add.reduceat(times * (out[pd_] == 0), first) if len(first) else first
-                    n_posts = np.diff(np.append(first, len(ph)))
-                    bucket = ((ph[first] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-                    for b in np.unique(bucket):
-                        lo, hi = np.searchsorted(bucket, [b, b + 1])
-                        x, y = first[lo], first[hi] if hi < len(first) else len(ph)
-                        rows.append({"chunk": serial, "bucket": int(b), **empty(), "hash": ph[first[lo:hi]].tobytes(),
-                                     "train": learned[lo:hi].astype(np.uint32).tobytes(), "posts": n_posts[lo:hi].astype(np.uint32).tobytes(),
-                                     "docs": pd_[x:y].astype(np.uint16).tobytes(), "times": times[x:y].astype(np.uint32).tobytes()})
-                    serial += 1
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            chunk.add(batch, now)
+            if chunk.n >= CHUNK_DOCS:
+                yield pa.RecordBatch.from_pylist(chunk.rows(serial, buckets), schema=schema)
+                serial, chunk = serial + 1, _Chunk()
+        if chunk.n:
+            yield pa.RecordBatch.from_pylist(chunk.rows(serial, buckets), schema=schema)
 
     return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
                  .mapInArrow(run, SCAN_SCHEMA), "lm-scan")
@@ -438,6 +452,7 @@ def lm_scores(docs: DataFrame, held: Column, weighing: Column) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score and score.  Rows with ``held`` teach nothing; of the others,
     those with ``weighing`` teach the mixer and the rest the predictors."""
+    text_batches(docs.sparkSession)
     seen = docs.where(~held)
     model = train(seen.where(~weighing), seen.where(weighing))
     n_docs = docs.count()

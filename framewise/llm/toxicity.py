@@ -32,11 +32,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import doc_texts, stage
+from framewise.llm.common import doc_texts, stage, text_batches
 from framewise.llm.tokens import slices
 
 # Look-alike characters and the letters they stand for (fixed values).
@@ -245,6 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sam
 
 def score_column(scorer: Scorer, text: Column) -> Column:
     """The score of a text column, one Arrow-batched call per batch."""
+    text_batches(SparkSession.getActiveSession())
 
     @F.pandas_udf(T.DoubleType())
     def run(column: pd.Series) -> pd.Series:

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import partitions_for, shared_path, stage
+from framewise.llm.common import partitions_for, shared_path, stage, text_batches
 
 INDEX_SCHEMA = ("page_id long, archive string, offset long, length long, url string, digest string, "
                 "record_type string, refers_to long")
@@ -104,6 +104,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archives(records: DataFrame, uri: str, max_bytes: int = 256 << 20, date: str = "2024-01-01T00:00:00Z",
                    level: int = 6) -> DataFrame:
     """Write ``records`` (see :func:`mark_revisits`) below ``uri``; the index."""
+    text_batches(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, path = open_folder(uri)
