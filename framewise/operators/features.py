@@ -21,7 +21,7 @@ LAGS = [1, 2, 3, 4, 8, 13, 26, 52]
 ROLL_MEANS = [4, 8, 13, 26]
 EWM_SPANS = [4, 13]
 # Fixed values: (month, day) pairs whose week is flagged as a holiday week.
-HOLIDAYS_MM_DD = ["01-01", "01-26", "05-27", "07-04", "08-15", "10-02", "11-25", "11-26", "12-25", "12-31"]
+HOLIDAYS = [(1, 1), (1, 26), (5, 27), (7, 4), (8, 15), (10, 2), (11, 25), (11, 26), (12, 25), (12, 31)]
 CAT_COLS = ["price_point", "frame_shape", "material", "category", "gender"]
 EWM_BLOCK_WEEKS = 512
 
@@ -50,24 +50,29 @@ def weekly_demand(sales: DataFrame) -> DataFrame:
     week for every SKU that sold, missing weeks 0.
 
     Lines are summed per (sku, week) with map-side combine, then gathered per
-    SKU into a week -> demand map (at most one entry per calendar week, so a
-    SKU holding a third of all lines is still one small row) and the grid is
-    exploded from that map.  The result is hash-partitioned by ``sku_id``,
-    which every later per-SKU window and SKU-grain join reuses."""
+    SKU (at most one entry per calendar week, so a SKU holding a third of all
+    lines is still one small row).  The entries, sorted by week, are spread
+    over an array with one cell per week, which is exploded by position.  The
+    result is hash-partitioned by ``sku_id``, which every later per-SKU window
+    and SKU-grain join reuses."""
     wk = week_monday("date")
     bounds = sales.agg(F.min(wk).alias("lo"), F.max(wk).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     raw = (sales.select("sku_id", wk.alias("date"), "quantity_sold")
                 .groupBy("sku_id", "date").agg(F.sum("quantity_sold").alias("demand")))
-    series = raw.groupBy("sku_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("date", "demand"))).alias("_m"))
     if lo is None:
-        return series.select("sku_id", F.lit(None).cast("date").alias("date"),
-                             F.lit(0).cast("bigint").alias("demand")).limit(0)
-    return (series.select("sku_id", "_m", F.explode(F.sequence(F.lit(lo), F.lit(hi),
-                                                               F.expr("INTERVAL 7 DAYS"))).alias("date"))
-                  .select("sku_id", "date", F.coalesce(F.col("_m")[F.col("date")], F.lit(0))
-                          .cast("bigint").alias("demand")))
+        return raw.select("sku_id", "date", F.col("demand").cast("bigint")).limit(0)
+    series = raw.where("date is not null").groupBy("sku_id").agg(F.array_sort(F.collect_list(F.struct(
+        (F.datediff("date", F.lit(lo)) / 7).cast("int").alias("w"), F.col("demand").cast("bigint").alias("q")))).alias("_s"))
+    n = (hi - lo).days // 7 + 1
+    # the gap before each entry as zeros, the entry, and the gap after the last one
+    cells = F.flatten(F.concat(
+        F.transform("_s", lambda x, i: F.concat(
+            F.array_repeat(F.lit(0).cast("bigint"), x["w"] - F.when(i > 0, F.try_element_at(F.col("_s"), i)["w"] + 1).otherwise(F.lit(0))),
+            F.array(x["q"]))),
+        F.array(F.array_repeat(F.lit(0).cast("bigint"), F.lit(n - 1) - F.element_at("_s", -1)["w"]))))
+    return (series.select("sku_id", F.posexplode(cells).alias("_w", "demand"))
+                  .select("sku_id", F.date_add(F.lit(lo), F.col("_w") * 7).alias("date"), "demand"))
 
 
 def calendar_features(weekly: DataFrame) -> DataFrame:
@@ -86,10 +91,16 @@ def calendar_features(weekly: DataFrame) -> DataFrame:
                   .withColumn("q_cos", F.cos(two_pi * F.col("quarter") / F.lit(4.0))))
 
 
+def calendar_weeks(weekly: DataFrame) -> DataFrame:
+    """Every Monday of the grid once, from its two bounds."""
+    b = weekly.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    return b.where("lo is not null").select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("date"))
+
+
 def holiday_week_flag(weekly: DataFrame) -> DataFrame:
     """1 when any of the 7 days from the Monday is a fixed holiday."""
     days = F.sequence(F.col("date"), F.date_add(F.col("date"), 6))
-    hit = F.exists(days, lambda d: F.date_format(d, "MM-dd").isin(HOLIDAYS_MM_DD))
+    hit = F.exists(days, lambda d: (F.month(d) * 100 + F.dayofmonth(d)).isin([100 * m + d_ for m, d_ in HOLIDAYS]))
     return weekly.withColumn("has_holiday_week", hit.cast("int"))
 
 
@@ -122,8 +133,10 @@ def rolling_stats(weekly: DataFrame) -> DataFrame:
     f13 = _w().rowsBetween(-12, 0)
     return (out.withColumn("rolling_std_13w", F.coalesce(F.stddev_samp("_sh").over(f13), F.lit(0.0)))
                .withColumn("rolling_max_13w", F.max("_sh").over(f13))
-               .withColumn("rolling_median_13w", F.percentile("_sh", 0.5).over(f13))
-               .drop("_sh"))
+               .withColumn("_f", F.array_sort(F.collect_list("_sh").over(f13)))
+               .withColumn("rolling_median_13w", (F.element_at("_f", F.floor((F.size("_f") + 1) / 2).cast("int"))
+                                                  + F.element_at("_f", F.floor(F.size("_f") / 2 + 1).cast("int"))) / F.lit(2.0))
+               .drop("_sh", "_f"))
 
 
 def ewm_features(weekly: DataFrame, spans=EWM_SPANS, block: int = EWM_BLOCK_WEEKS) -> DataFrame:
@@ -133,29 +146,34 @@ def ewm_features(weekly: DataFrame, spans=EWM_SPANS, block: int = EWM_BLOCK_WEEK
     Unrolled, y_t = a * sum_i (1 - a)^(t - i) x_i, a running sum once the
     weights are written relative to a block start:
         y_t = a e^{off_t L} sum_{i in block, i <= t} x_i e^{-off_i L}
-              + (1 - a)^(off_t + 1) * y(end of previous block),   L = ln(1 - a)
-    Blocks of 512 weeks keep the exponentials far from overflow; the carry
-    from two blocks back is below 1e-30 relative and is dropped.  Everything
-    is a window over the SKU partitioning (no collect, no Python)."""
+              + (1 - a)^(off_t + 1) * y(end of the previous block),   L = ln(1 - a)
+    Blocks are short enough (at most ``block`` weeks, fewer for small spans)
+    to keep the exponentials far from overflow.  y at a block's end needs the
+    ends of all blocks before it: each block's own sum, decayed over the
+    blocks between, so nothing is dropped for any span.  Everything is a
+    window over the SKU partitioning (no Python)."""
     lo = weekly.select(F.min("date")).scalar()
     out = (weekly.withColumn("_x", F.lag("demand", 1, 0).over(_w()).cast("double"))
-                 .withColumn("_idx", (F.datediff(F.col("date"), lo) / 7).cast("int"))
-                 .withColumn("_blk", (F.col("_idx") / block).cast("int"))
-                 .withColumn("_off", (F.col("_idx") - F.col("_blk") * block).cast("double")))
-    # ordered by date (the same order as _idx) so the carry window shares the
-    # lag / rolling windows' sort
-    w_blk = Window.partitionBy("sku_id", "_blk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    w_prev = Window.partitionBy("sku_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+                 .withColumn("_idx", (F.datediff(F.col("date"), lo) / 7).cast("int")))
+    so_far = Window.partitionBy("sku_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     for span in spans:
         a = 2.0 / (span + 1.0)
-        lg = math.log(1.0 - a)
+        lg = math.log1p(-a) if a < 1 else -math.inf
+        if a >= 1:
+            out = out.withColumn(f"ewm_{span}w", F.col("_x"))
+            continue
+        size = max(1, min(block, int(300 / -lg)))           # e^300 leaves room for the sums
+        out = out.withColumn("_blk", (F.col("_idx") / size).cast("int")) \
+                 .withColumn("_off", (F.col("_idx") - F.col("_blk") * size).cast("double"))
+        w_blk = Window.partitionBy("sku_id", "_blk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         part = (F.lit(a) * F.exp(F.col("_off") * F.lit(lg))
                 * F.sum(F.col("_x") * F.exp(-F.col("_off") * F.lit(lg))).over(w_blk))
-        out = out.withColumn(f"_part{span}", part)
-        carry = F.last(F.when(F.col("_off") == block - 1, F.col(f"_part{span}")), ignorenulls=True).over(w_prev)
-        out = out.withColumn(f"ewm_{span}w", F.col(f"_part{span}") + F.coalesce(
-            carry * F.exp((F.col("_off") + F.lit(1.0)) * F.lit(lg)), F.lit(0.0)))
-    return out.drop("_x", "_idx", "_blk", "_off", *[f"_part{s}" for s in spans])
+        out = out.withColumn("_part", part)
+        # the ends of earlier blocks, latest last; a fold over these few values gives the carry
+        ends = F.collect_list(F.when(F.col("_off") == size - 1, F.col("_part"))).over(so_far)
+        carry = F.aggregate(ends, F.lit(0.0), lambda y, e: y * F.lit(math.exp(size * lg)) + e)
+        out = out.withColumn(f"ewm_{span}w", F.col("_part") + carry * F.exp((F.col("_off") + F.lit(1.0)) * F.lit(lg)))
+    return out.drop("_x", "_idx", "_blk", "_off", "_part")
 
 
 def sku_demand_encoding(weekly: DataFrame) -> DataFrame:
@@ -253,12 +271,14 @@ def feature_matrix(sales: DataFrame, products: DataFrame, social: DataFrame | No
     # windows first, on the narrow grid (its sku_id partitioning serves all
     # of them); the SKU-grain joins come last and reuse that partitioning
     # and the sku_id ordering the windows leave behind
-    w = calendar_features(grid)
-    w = holiday_week_flag(w)
-    w = lag_features(w)
+    w = lag_features(grid)
     w = rolling_stats(w)
     w = ewm_features(w)
     w = sku_demand_encoding(w)
+    # the calendar depends on the week alone: one row per week, broadcast
+    # (some thousands of weeks at the very most)
+    weeks = holiday_week_flag(calendar_features(calendar_weeks(grid)))
+    w = w.join(F.broadcast(weeks), "date")
     w = sku_month_prior(w)
     w = sku_woy_prior(w)
     w = interaction_features(w)

@@ -49,15 +49,19 @@ def gmroi(sales: DataFrame, inventory: DataFrame, products: DataFrame) -> DataFr
     meets_target when >= 2.  Unit price falls back to retail, cost to 0 for
     the margin and to 50 for the inventory value."""
     meta = products.select("sku_id", "cost_price", "retail_price")
-    gm = (sales.select("sku_id", "quantity_sold", "unit_price").join(meta, "sku_id", "left")
-               .groupBy("sku_id")
-               .agg(F.sum(F.col("quantity_sold") * (F.coalesce("unit_price", "retail_price")
-                                                    - F.coalesce("cost_price", F.lit(0.0))))
-                    .alias("gross_margin")))
-    inv = (inventory.select("sku_id", "quantity_on_hand").join(meta.select("sku_id", "cost_price"), "sku_id", "left")
-                    .groupBy("sku_id")
-                    .agg(F.avg(F.col("quantity_on_hand") * F.coalesce("cost_price", F.lit(50.0)))
-                         .alias("avg_inv_cost")))
+    # lines and store rows are summed per SKU first; prices are constants of a SKU
+    # and distribute over the sums, so the joins are SKU-grain and no key is hot
+    q, u = F.col("quantity_sold"), F.col("unit_price")
+    sold = sales.groupBy("sku_id").agg(
+        F.sum(q * u).alias("_priced"), F.sum(F.when(u.isNotNull(), q)).alias("_q_priced"),
+        F.sum(F.when(u.isNull(), q)).alias("_q_unpriced"))
+    cost0 = F.coalesce("cost_price", F.lit(0.0))
+    priced = F.col("_priced") - F.col("_q_priced") * cost0
+    unpriced = F.col("_q_unpriced") * (F.col("retail_price") - cost0)
+    gm = sold.join(meta, "sku_id", "left").select("sku_id", F.when(
+        priced.isNotNull() | unpriced.isNotNull(), F.coalesce(priced, F.lit(0.0)) + F.coalesce(unpriced, F.lit(0.0))).alias("gross_margin"))
+    inv = (inventory.groupBy("sku_id").agg(F.avg("quantity_on_hand").alias("_oh")).join(meta.select("sku_id", "cost_price"), "sku_id", "left")
+                    .select("sku_id", (F.col("_oh") * F.coalesce("cost_price", F.lit(50.0))).alias("avg_inv_cost")))
     j = gm.join(inv, "sku_id").where(F.col("gross_margin").isNotNull() & F.col("avg_inv_cost").isNotNull())
     g = F.coalesce(F.try_divide(F.col("gross_margin"), F.when(F.col("avg_inv_cost") != 0, F.col("avg_inv_cost"))),
                    F.lit(0.0))

@@ -3,6 +3,8 @@ preferences, latent demand (A29-A38)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,17 @@ def sales_velocity(sales: DataFrame, window_days: int = 30) -> DataFrame:
     """Per-SKU units in the current window ``[m - w, m]`` (w + 1 days) and the
     prior window ``[m - 2w, m - w - 1]`` (w days), m = last sale date.
 
-    One filtered pass with two conditional sums replaces two aggregates and a
-    full outer join; only SKUs with a sale in either window are returned.
+    The last date is fetched first (one row), so the window's start is a
+    literal that reaches the scan as a pushed filter; one filtered pass with
+    two conditional sums then replaces two aggregates and a full outer join.
+    Only SKUs with a sale in either window are returned.
     momentum: change <= -20 decelerating, (-20, 20] stable, > 20 accelerating.
     """
-    m = sales.select(F.max("date")).scalar()
+    last = sales.agg(F.max("date")).first()[0]
+    m = F.lit(last).cast("date")
     age = F.datediff(m, F.col("date"))
-    recent = sales.where(F.col("date") >= F.date_sub(m, 2 * window_days))
+    start = last - dt.timedelta(days=2 * window_days) if last is not None else None
+    recent = sales.where(F.col("date") >= F.lit(start).cast("date"))
     agg = recent.groupBy("sku_id").agg(
         F.coalesce(F.sum(F.when(age <= window_days, F.col("quantity_sold"))), F.lit(0))
          .alias("current_velocity"),
@@ -169,11 +175,13 @@ def segment_preference(sales: DataFrame, products: DataFrame, row_col: str, col_
     """Long form of a row-normalised pivot: ``(row, col, quantity, share)``
     with share = cell / row total, 4 dp.  Rows or columns with a NULL label
     are dropped (as a pivot table drops them).  Cells absent from the data
-    are share 0 and are not listed; ``to_wide`` pivots when needed."""
-    merged = (sales.select("sku_id", row_col, "quantity_sold")
-                   .join(products.select("sku_id", col_col), "sku_id", "left"))
-    cells = (merged.where(F.col(row_col).isNotNull() & F.col(col_col).isNotNull())
-                   .groupBy(row_col, col_col).agg(F.sum("quantity_sold").alias("quantity")))
+    are share 0 and are not listed; ``to_wide`` pivots when needed.  Lines are
+    summed per SKU and segment before they meet the products, so a hot SKU is
+    a few rows by then."""
+    per_sku = (sales.where(F.col(row_col).isNotNull()).groupBy("sku_id", row_col)
+                    .agg(F.sum("quantity_sold").alias("_q")))
+    cells = (per_sku.join(products.select("sku_id", col_col), "sku_id").where(F.col(col_col).isNotNull())
+                    .groupBy(row_col, col_col).agg(F.sum("_q").alias("quantity")))
     row_tot = cells.groupBy(row_col).agg(F.sum("quantity").alias("_rt"))
     return (cells.join(row_tot, row_col)
                  .select(F.col(row_col).alias("row_value"), F.col(col_col).alias("col_value"),

@@ -1,17 +1,15 @@
 """Registered queries: weekly demand features.
 
-The oracle writes the EWM with the same block running sum as the Spark side
-(so both engines do the same arithmetic on 700 k values); the recursive
-definition itself is checked against a brute-force loop in the unit tests."""
+The oracle writes the EWM from its definition, as the weighted sum over all
+earlier weeks; the recursion is also checked against a loop in the unit
+tests."""
 
 from __future__ import annotations
 
-import math
-
 from framewise.operators import features as FT
 from framewise.plans.registry import register
 
-_HOL = ", ".join(f"'{h}'" for h in FT.HOLIDAYS_MM_DD)
+_HOL = ", ".join(f"'{m:02d}-{d:02d}'" for m, d in FT.HOLIDAYS)
 _HOLIDAY = " OR ".join(f"strftime(date + {i}, '%m-%d') IN ({_HOL})" for i in range(7))
 _LAGS = ", ".join(f"lag(demand, {n}, 0) OVER w AS lag_{n}w" for n in FT.LAGS)
 _ROLL = ", ".join(f"avg(sh) OVER (w ROWS BETWEEN {m - 1} PRECEDING AND CURRENT ROW) AS rolling_mean_{m}w"
@@ -22,10 +20,6 @@ def _a(span: int) -> str:
     return f"{2.0 / (span + 1.0)!r}::DOUBLE"
 
 
-def _lg(span: int) -> str:
-    return f"({math.log(1.0 - 2.0 / (span + 1.0))!r}::DOUBLE)"
-
-
 FEATURE_CTES = [
     ("wk_raw", """SELECT sku_id, CAST(date_trunc('week', date) AS DATE) AS date,
                          CAST(sum(quantity_sold) AS BIGINT) AS demand FROM sales GROUP BY 1, 2"""),
@@ -56,18 +50,11 @@ FEATURE_CTES = [
                       avg(demand) OVER (PARTITION BY sku_id, month) AS sku_month_mean,
                       avg(demand) OVER (PARTITION BY sku_id, week_of_year) AS sku_woy_mean
                FROM f1 WINDOW w AS (PARTITION BY sku_id ORDER BY date)"""),
-    ("ewm_in", f"""SELECT sku_id, date, idx, CAST(idx // {FT.EWM_BLOCK_WEEKS} AS INTEGER) AS blk,
-                          CAST(idx - (idx // {FT.EWM_BLOCK_WEEKS}) * {FT.EWM_BLOCK_WEEKS} AS DOUBLE) AS off,
-                          CAST(lag(demand, 1, 0) OVER (PARTITION BY sku_id ORDER BY date) AS DOUBLE) AS x
-                   FROM weekly"""),
-    ("ewm_p", "SELECT *, " + ", ".join(
-        f"{_a(s)} * exp(off * {_lg(s)}) * sum(x * exp(-off * {_lg(s)})) OVER "
-        f"(PARTITION BY sku_id, blk ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part{s}"
-        for s in FT.EWM_SPANS) + " FROM ewm_in"),
-    ("ewm", "SELECT sku_id, date, " + ", ".join(
-        f"part{s} + coalesce(last_value(CASE WHEN off = {FT.EWM_BLOCK_WEEKS - 1} THEN part{s} END IGNORE NULLS) "
-        f"OVER (PARTITION BY sku_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) "
-        f"* exp((off + 1.0::DOUBLE) * {_lg(s)}), 0.0::DOUBLE) AS ewm_{s}w" for s in FT.EWM_SPANS) + " FROM ewm_p"),
+    ("ewm_x", """SELECT sku_id, date, idx, CAST(lag(demand, 1, 0) OVER (PARTITION BY sku_id ORDER BY date) AS DOUBLE) AS x FROM weekly"""),
+    # the definition: y_t = sum over i <= t of a (1 - a)^(t - i) x_i, term by term
+    ("ewm", "SELECT t.sku_id, t.date, " + ", ".join(
+        f"coalesce(sum({_a(s)} * pow(1.0::DOUBLE - {_a(s)}, t.idx - i.idx) * i.x), 0.0::DOUBLE) AS ewm_{s}w" for s in FT.EWM_SPANS)
+        + " FROM ewm_x t LEFT JOIN (SELECT * FROM ewm_x WHERE x <> 0) i ON i.sku_id = t.sku_id AND i.idx <= t.idx GROUP BY t.sku_id, t.date"),
     ("launch", "SELECT sku_id, launch_date FROM products"),
     ("soc", """SELECT sku_id, CAST(date_trunc('week', week_start) AS DATE) + 7 AS date,
                       avg(trend_index) AS trend_index_lag1w, avg(sentiment_score) AS sentiment_lag1w,

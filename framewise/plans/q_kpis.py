@@ -25,7 +25,7 @@ SELECT coalesce(CAST(sum(stockout_risk) AS DOUBLE) / NULLIF(CAST(count(*) AS DOU
 FROM sales
 """)
 def _stockout(a):
-    return K.stockout_rate(a.inventory, a.sales)
+    return K.stockout_rate(a.inventory, a.sales_risk)
 
 
 @register("overstock_cost", floats=["overstock_cost"], sql="""

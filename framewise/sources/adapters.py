@@ -88,6 +88,13 @@ class Adapters:
             F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("unit_price"),
         )
 
+    @cached_property
+    def sales_risk(self) -> DataFrame:
+        """Sales rows with their stock-out flag alone: lines and orders."""
+        li, o = self.t.lineitem, self.t.orders
+        return li.select("l_orderkey").join(o.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"), "left") \
+            .select(F.when(F.col("o_orderstatus") == "P", F.lit(1)).otherwise(F.lit(0)).cast("int").alias("stockout_risk"))
+
     @cached_property
     def sales(self) -> DataFrame:
         li, o, c, n, r = self.t.lineitem, self.t.orders, self.t.customer, self.t.nation, self.t.region

@@ -24,11 +24,12 @@ def test_ewm_matches_recursion(spark):
     rng = np.random.default_rng(1)
     # 1,200 weeks cross two block boundaries of the default 512-week block
     series = {"A": rng.integers(0, 20, 1200).tolist(), "B": [0] * 10 + [5] * 30, "C": [3]}
-    out = FT.ewm_features(_weekly(spark, series)).toPandas()
+    spans = [1, 2, *FT.EWM_SPANS, 100, 300, 2000]
+    out = FT.ewm_features(_weekly(spark, series), spans).toPandas()
     for sku, vals in series.items():
         x = [0.0] + [float(v) for v in vals[:-1]]
         got = out[out.sku_id == sku].sort_values("date")
-        for span in FT.EWM_SPANS:
+        for span in spans:
             a = 2.0 / (span + 1.0)
             y, exp = 0.0, []
             for i, xi in enumerate(x):
