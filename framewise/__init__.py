@@ -1,7 +1,9 @@
 """framewise — retail buying analytics as Spark DataFrame functions.
 
-Every public operator is a pure function ``DataFrame... -> DataFrame`` that
-performs no action (no collect / count / toPandas); Catalyst plans the work.
+Every public operator is a function ``DataFrame... -> DataFrame``; Catalyst
+plans the work.  Some run small jobs while they build their plan: a bound or a
+last date that becomes a literal, cut points of a global order, staged tables
+of iterative steps.  No rows are collected beyond such bounded values.
 
 Sub-packages
 ------------
@@ -12,7 +14,8 @@ operators  the analytic operators (signals, supply, recommend, similarity,
            kpis, features, forecast, diagnostics, reports)
 plans      the query registry used by ``__spark_entry__`` and the equivalent
            DuckDB SQL used as an oracle
-streaming  notes on streaming (the modelled library has no streaming code)
+llm        training-data operators over text, pages and vectors (optional:
+           nothing else imports it)
 """
 
 from framewise.session import get_session, checkpoint_dir  # noqa: F401
