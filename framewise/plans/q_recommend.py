@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from framewise.operators import features as FT
@@ -12,9 +14,10 @@ from framewise.operators import signals as S
 from framewise.operators import similarity as SIM
 from framewise.operators import supply as SC
 from framewise.plans.q_features import FEATURE_CTES
+from framewise.plans import q_signals as _signals  # noqa: F401  (registers trending_skus)
 from framewise.plans.q_similarity import TOP_CTES
 from framewise.plans.q_supply import REORDER_CTES, REORDER_FLOATS, REORDER_SQL, SCORED_CTE
-from framewise.plans.registry import register
+from framewise.plans.registry import REGISTRY, register
 from framewise.plans.sqlparts import clip, pct_rank_sql, rhe, velocity_full_sql
 
 
@@ -301,9 +304,39 @@ def _detail(a):
 
 @register("assistant_context", note="JSON documents; rows-only check")
 def _assistant(a):
+    return _context(a)
+
+
+def _context(a):
     return RP.assistant_context(portfolio(a), buy(a), S.trending_skus(a.social_signals, a.sales_lines, 15))
 
 
+_TREND = REGISTRY["trending_skus"]
+
+
+def _own(sql: str) -> str:
+    """The trend query's names, told apart from those of the buy list."""
+    return re.sub(r"\b(" + "|".join(n for n, _ in _TREND.extra) + r")\b", r"trend_\1", sql)
+
+
+@register("assistant_context_values", floats=["value"], extra=PORTFOLIO_CTES
+          + [(_own(n), _own(x)) for n, x in _TREND.extra] + [("trend_q", _own(_TREND.sql))], sql="""
+SELECT 'portfolio' AS doc, 1 AS rank, CAST(NULL AS VARCHAR) AS sku_id, total_buy_budget_usd AS value FROM port
+UNION ALL SELECT 'recommendation', CAST(row_number() OVER (ORDER BY urgency_score DESC, sku_id) AS INTEGER), sku_id, urgency_score
+  FROM (SELECT * FROM buy ORDER BY urgency_score DESC, sku_id LIMIT 10) b
+UNION ALL SELECT 'trending', CAST(row_number() OVER (ORDER BY trend_score DESC, sku_id) AS INTEGER), sku_id, trend_score
+  FROM (SELECT * FROM trend_q ORDER BY trend_score DESC, sku_id LIMIT 5) t""")
+def _context_values(a):
+    """The three JSON documents read back, in their order."""
+    c = _context(a)
+    one = c.select(F.lit("portfolio").alias("doc"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("sku_id"),
+                   F.from_json("portfolio_summary", "total_buy_budget_usd double")["total_buy_budget_usd"].alias("value"))
+    parts = [c.select(F.posexplode(F.from_json(col, f"array<struct<sku_id:string,{key}:double>>")).alias("i", "r"))
+              .select(F.lit(doc).alias("doc"), (F.col("i") + 1).alias("rank"), "r.sku_id", F.col(f"r.{key}").alias("value"))
+             for doc, col, key in (("recommendation", "top_recommendations", "urgency_score"), ("trending", "trending_skus", "trend_score"))]
+    return one.unionByName(parts[0]).unionByName(parts[1])
+
+
 @register("similar_alternatives_in_buy", floats=BUY_FLOATS, extra=TOP_CTES + _with(BUY_CTES, buy=_ALTERNATIVES),
           sql="SELECT * FROM buy")
 def _buy_alt(a):
