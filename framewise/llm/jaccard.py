@@ -7,12 +7,13 @@ Pairs that share one pass a length, a positional and a suffix filter (a
 histogram of the whole set bounds the difference from below), and every
 surviving pair is verified once on the full sets.
 
-Near copies by the thousand share their prefixes, so pairs are made in two
-rounds.  First every class meets the ``centers`` least classes of each of its
-shingles.  What these links join is one component already; the second round
-makes the other pairs of a shingle only between different components, in
-blocks of bounded size.  Pairs inside a component cannot change the result,
-so no link between components is lost and no group is expanded into all pairs.
+Near copies by the thousand share their prefixes, so pairs are made in rounds.
+First every class meets the two least classes of each of its shingles, then
+the next ones up to 16, and last all the others, these in blocks of bounded
+size.  What a round links is one component, and later rounds make pairs only
+between different components.  Pairs inside a component cannot change the
+result, so no link between components is lost and no group is expanded into
+all pairs.
 
 Defined cases: NULL, empty and wordless texts have the empty set, link with
 nothing and are their own component; fewer words than a shingle make one
@@ -194,8 +195,29 @@ def _filtered(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return _suffix_filter(kept, classes, rule)
 
 
-def _side(df: DataFrame, side: str) -> DataFrame:
-    return df.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("pos", "key", "rep", "n")))
+def _open(marked: DataFrame) -> DataFrame:
+    """Shingles whose classes lie in more than one component, and how many
+    classes hold them."""
+    return marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")) \
+        .where("lo < hi").select("token", "m")
+
+
+def _marked(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries with the component known so far (their own class at first)."""
+    if labels is None:
+        return entries.withColumn("component", F.col("rep"))
+    return entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _with_centers(entries: DataFrame, labels: DataFrame | None, past: int, upto: int) -> DataFrame:
+    """Rows of both sides of the pairs of a shingle in which one class has a
+    rank beyond ``past`` and up to ``upto``, the other a rank beyond ``past``,
+    and whose components differ."""
+    marked = _marked(entries.where(F.col("rank") > past), labels)
+    if labels is not None:
+        marked = marked.join(_open(marked).select("token"), "token", "left_semi")
+    side = lambda df, x: df.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("pos", "key", "rep", "n", "component")))
+    return side(marked, "x").join(side(marked.where(F.col("rank") <= upto), "y"), "token").where("x_component <> y_component")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -239,11 +261,9 @@ def slot_of(column: str):
 def _between_components(entries: DataFrame, labels: DataFrame, centers: int, rule: Rule) -> DataFrame:
     """Pairs of a shingle that no center took part in and whose components
     differ, made block against block."""
-    marked = entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
-        .withColumn("component", F.coalesce("component", "rep"))
-    open_ = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")) \
-        .where(f"lo < hi and m > {centers + 1}").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rest = marked.where(~F.col("center")).join(open_, "token") \
+    marked = _marked(entries.where(F.col("rank") > centers), labels)
+    open_ = _open(marked).select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rest = marked.join(open_, "token") \
         .withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
@@ -267,30 +287,30 @@ def _between_components(entries: DataFrame, labels: DataFrame, centers: int, rul
         .groupBy("token", "i", "j").applyInPandas(cross, PAIR_SCHEMA).dropDuplicates(["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), centers: int = 16) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), centers: tuple[int, ...] = (2, 16)) -> DataFrame:
     """Per document row: doc_id, n_shingles and component_id."""
     texts = doc_texts(docs)
     rows = stage(prefixes(texts, shingle_sketch(texts, rule.n), rule), "jaccard-rows")
     classes = stage(rows.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shape").alias("shape"))
         .where("rep is not null"), "jaccard-classes")
-    common = _entries(classes, None).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    common = stage(common, "jaccard-common")
+    common = stage(_entries(classes, None).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "jaccard-common")
     keep = bitmap.build(common, F.expr(f"token & {(1 << TOKEN_BITS) - 1}L"), TOKEN_BITS)
-    order = Window.partitionBy("token").orderBy("key")
     kept = stage(_entries(classes, keep).join(common, "token", "left_semi"), "jaccard-entries")
-    heads = stage(kept.select("token", "key").withColumn("r", F.row_number().over(order)).where(F.col("r") <= centers).drop("r"),
-                  "jaccard-centers")
-    entries = stage(kept.join(heads.withColumn("center", F.lit(True)), ["token", "key"], "left")
-                    .withColumn("center", F.coalesce("center", F.lit(False))), "jaccard-entries")
-    pairs = stage(_filtered(_side(entries, "x").join(_side(entries.where("center"), "y"), "token"), classes, rule), "jaccard-pairs")
-    links = verify(pairs, texts, rule)
-    edge = lambda x: x.select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
-    labels = stage(components(edge(links)), "jaccard-labels")
-    more = stage(_suffix_filter(_between_components(entries, labels, centers, rule), classes, rule), "jaccard-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(verify(more, texts, rule))
-        labels = stage(components(edge(links)), "jaccard-labels")
+    # the rank of a shingle's first classes by key; a limited rank is cut before it shuffles
+    first = Window.partitionBy("token").orderBy("key")
+    ranked = kept.select("token", "key").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(centers))
+    entries = stage(kept.join(ranked, ["token", "key"], "left").withColumn("rank", F.coalesce("rank", F.lit(2 ** 31 - 1))), "jaccard-entries")
+    links, labels = None, None
+    for past, upto in zip((0, *centers), (*centers, None)):
+        found = _filtered(_with_centers(entries, labels, past, upto), classes, rule) if upto else \
+            _suffix_filter(_between_components(entries, labels, past, rule), classes, rule)
+        pairs = stage(found, "jaccard-pairs")
+        if labels is not None and pairs.isEmpty():
+            continue
+        new = verify(pairs, texts, rule).select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
+        links = new if links is None else links.unionByName(new)
+        labels = stage(components(links), "jaccard-labels")
     named = classes.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("key", F.coalesce("component", "rep").alias("component"))
     return rows.join(named, "key", "left").select(
