@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm import bitmap
-from framewise.llm.common import doc_texts, stage
+from framewise.llm.common import doc_texts, partitions_for, stage
 from framewise.llm.components import components
 from framewise.llm.tokens import SPACE_SEPARATED, U, gram_hashes, slices, word_hashes, words
 
@@ -258,12 +258,12 @@ def slot_of(column: str):
     return F.shiftrightunsigned(F.xxhash64(column), 64 - TOKEN_BITS)
 
 
-def _between_components(entries: DataFrame, labels: DataFrame, centers: int, rule: Rule) -> DataFrame:
+def _between_components(entries: DataFrame, labels: DataFrame, classes: DataFrame, centers: int, rule: Rule) -> DataFrame:
     """Pairs of a shingle that no center took part in and whose components
-    differ, made block against block."""
+    differ, made block against block, after all three filters."""
     marked = _marked(entries.where(F.col("rank") > centers), labels)
     open_ = _open(marked).select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rest = marked.join(open_, "token") \
+    rest = marked.join(open_, "token").join(classes.select("key", "shape"), "key") \
         .withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
@@ -273,18 +273,25 @@ def _between_components(entries: DataFrame, labels: DataFrame, centers: int, rul
         frame = frame.sort_values("key", ignore_index=True)
         left, right = frame[frame["mine"] == i], frame[frame["mine"] == j]
         rn, rp, rc = (right[c].to_numpy() for c in ("n", "pos", "component"))
+        shapes = np.frombuffer(b"".join(right["shape"]), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16)
         order = right.index.to_numpy()
         out = []
         for x in left.itertuples():
             ok = (rc != x.component) & ((order > x.Index) | (i != j)) & (rule.num * np.maximum(rn, x.n) <= rule.den * np.minimum(rn, x.n))
-            ok &= np.minimum(rn - rp, x.n - x.pos) >= rule.least(rn, x.n)
-            for y in right.iloc[np.flatnonzero(ok)].itertuples():
+            least = rule.least(rn, x.n)
+            at = np.flatnonzero(ok & (np.minimum(rn - rp, x.n - x.pos) >= least))
+            if len(at):
+                mine = np.frombuffer(x.shape, np.uint8).astype(np.int16)
+                at = at[np.abs(shapes[at] - mine).sum(axis=1) <= rn[at] + x.n - 2 * least[at]]
+            for y in right.iloc[at].itertuples():
                 a, b = (x, y) if x.key < y.key else (y, x)
                 out.append((a.key, b.key, a.rep, b.rep))
         return pd.DataFrame(out, columns=["a", "b", "a_rep", "b_rep"])
 
-    return rest.select("token", "i", "j", "mine", "pos", "key", "rep", "n", "component") \
-        .groupBy("token", "i", "j").applyInPandas(cross, PAIR_SCHEMA).dropDuplicates(["a", "b"])
+    # a fixed number of partitions: small rows, but much work for each
+    tasks = partitions_for(entries.sparkSession, 0, 1)
+    return rest.select("token", "i", "j", "mine", "pos", "key", "rep", "n", "shape", "component") \
+        .repartition(tasks, "token", "i", "j").groupBy("token", "i", "j").applyInPandas(cross, PAIR_SCHEMA).dropDuplicates(["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), centers: tuple[int, ...] = (2, 16)) -> DataFrame:
@@ -304,7 +311,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), centers: tuple[int,
     links, labels = None, None
     for past, upto in zip((0, *centers), (*centers, None)):
         found = _filtered(_with_centers(entries, labels, past, upto), classes, rule) if upto else \
-            _suffix_filter(_between_components(entries, labels, past, rule), classes, rule)
+            _between_components(entries, labels, classes, past, rule)
         pairs = stage(found, "jaccard-pairs")
         if labels is not None and pairs.isEmpty():
             continue
