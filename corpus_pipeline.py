@@ -28,7 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score is at least ``TOXIC``."""
     allowed = F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(True))
     scorer = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), allowed)
-    return docs.withColumn("_score", score_column(scorer, F.col("text"))).where(F.col("_score") < TOXIC).drop("_score")
+    score = "_" * (1 + max(map(len, docs.columns)))         # a name that no column has
+    return docs.withColumn(score, score_column(scorer, F.col("text"))).where(F.col(score) < TOXIC).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
