@@ -133,7 +133,7 @@ def rolling_stats(weekly: DataFrame) -> DataFrame:
     f13 = _w().rowsBetween(-12, 0)
     return (out.withColumn("rolling_std_13w", F.coalesce(F.stddev_samp("_sh").over(f13), F.lit(0.0)))
                .withColumn("rolling_max_13w", F.max("_sh").over(f13))
-               .withColumn("_f", F.array_sort(F.collect_list("_sh").over(f13)))
+               .withColumn("_f", F.sort_array(F.collect_list("_sh").over(f13)))
                .withColumn("rolling_median_13w", (F.element_at("_f", F.floor((F.size("_f") + 1) / 2).cast("int"))
                                                   + F.element_at("_f", F.floor(F.size("_f") / 2 + 1).cast("int"))) / F.lit(2.0))
                .drop("_sh", "_f"))
