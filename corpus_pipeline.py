@@ -3,7 +3,8 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame, which ``run`` writes as Parquet in the shared folder
 and rereads as the next stage's documents.  All but the last keep the columns
-of ``documents``; rows whose doc_id is NULL pass the stages that work by id.
+of ``documents``.  Rows are dropped one by one under a staged row number, so
+repeated and NULL doc_ids are decided like all others.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm.common import documents, stage
-from framewise.llm.decontaminate import contaminated_ids
+from framewise.llm.decontaminate import contaminated_rows
 from framewise.llm.jaccard import jaccard_components
 from framewise.llm.mixing import mixed_counts
 from framewise.llm.queries import remainder
@@ -32,16 +33,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn(score, score_column(scorer, F.col("text"))).where(F.col(score) < TOXIC).drop(score)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents staged with a number of each row, and its column's name."""
+    row = "_" * (1 + max(map(len, docs.columns)))           # a name that no column has
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least doc_id of each component of similar ones."""
-    found = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each component of similar ones: that of least doc_id
+    (NULL last)."""
+    rows, row = numbered(docs)
+    found = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    kept = found.join(rows.select(row, F.col("doc_id").cast("long").alias("doc_id")), row).groupBy("component_id") \
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", row)).alias("least")).select(F.col("least")[row].alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a run of benchmark words."""
-    found = contaminated_ids(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Drop rows that hold a run of benchmark words."""
+    rows, row = numbered(docs)
+    found = contaminated_rows(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row)
+    return rows.join(found, row, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

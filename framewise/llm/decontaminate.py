@@ -96,9 +96,11 @@ def benchmark_runs(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
         .mapInArrow(build, RUN_SCHEMA)
 
 
-def candidate_runs(docs: DataFrame, bitmap: np.ndarray, short: list[int], window: int = WINDOW, k: int = K) -> DataFrame:
+def candidate_runs(docs: DataFrame, bitmap: np.ndarray, short: list[int], window: int = WINDOW, k: int = K,
+                   row: str | None = None) -> DataFrame:
     """One row per document with its word count and the runs whose kept
-    fingerprint and own hash are both in the bitmap."""
+    fingerprint and own hash are both in the bitmap; ``row`` names a column
+    that numbers the rows."""
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(bitmap)
@@ -135,16 +137,16 @@ def candidate_runs(docs: DataFrame, bitmap: np.ndarray, short: list[int], window
                      pa.array(per, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("run", pa.binary())])))],
                     names=["row_id", "doc_id", "n_words", "runs"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
+    return docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text")).mapInArrow(scan, DOC_SCHEMA)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Per document row: row_id, doc_id, n_words, n_hit, spans (word intervals
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, row: str | None = None) -> DataFrame:
+    """Per document row: row_id (from ``row`` where given), doc_id, n_words, n_hit, spans (word intervals
     hit, merged) and items (distinct item ids as sorted strings)."""
     bench = stage(benchmark_runs(items, window, k), "bench-runs")
     short = sorted(r["n"] for r in bench.where(F.col("n").between(1, window - 1)).select("n").distinct().collect())
-    found = stage(candidate_runs(docs, bitmaps.build(bench, F.col("slot"), BITS), short, window, k), "candidate-runs")
+    found = stage(candidate_runs(docs, bitmaps.build(bench, F.col("slot"), BITS), short, window, k, row), "candidate-runs")
     by_run = bench.where("run is not null").groupBy("run", "n") \
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     hits = found.select("row_id", F.explode("runs").alias("r")).select("row_id", "r.start", "r.n", "r.run")
@@ -169,6 +171,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
         F.coalesce("items", F.lit([]).cast("array<string>")).alias("items"))
 
 
-def contaminated_ids(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Distinct doc_ids with a hit."""
-    return contamination(docs, items, window, k).where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
+def contaminated_rows(docs: DataFrame, items: DataFrame, row: str, window: int = WINDOW, k: int = K) -> DataFrame:
+    """The numbers in column ``row`` of the rows with a hit."""
+    return contamination(docs, items, window, k, row).where("n_hit > 0").select(F.col("row_id").alias(row))
