@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewise.llm import bpe
 from framewise.llm.common import documents
 from framewise.llm.decontaminate import contamination
+from framewise.llm.fim import fill_in_middle, restore
 from framewise.llm.jaccard import jaccard_components
 from framewise.llm.licenses import TEMPLATES, license_matches, template_rows
 from framewise.llm.lm import lm_scores
@@ -163,6 +165,42 @@ SELECT n.doc_id, CAST(n_units AS BIGINT) AS n_units, CAST(coalesce(n_matched, 0)
 FROM n LEFT JOIN d ON d.doc_id = n.doc_id LEFT JOIN l ON l.doc_id = n.doc_id
 """
 
+def vocabulary_path() -> str:
+    """The vocabulary of the registered query; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return bpe.decode(bpe.encode(documents(spark, sf_dir), path), path).select(
+        "doc_id", "n_tokens", sha("tokens").alias("ids_sha256"), sha("text").alias("decoded_sha256"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return fill_in_middle(documents(spark, sf_dir)).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH k AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS us,
+             list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(key, i, 8) AS BIGINT)) AS h FROM k),
+c AS (SELECT doc_id, t, us, len(us) AS n, least(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS a, greatest(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                  WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_warc": op2_warc,
@@ -174,6 +212,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
+    "op11_bpe": op11_bpe,
+    "op13_fim": op13_fim,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
@@ -181,4 +221,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_jaccard": OP7_SQL,
     "op8_topk": OP8_SQL,
     "op10_licenses": OP10_SQL,
+    "op13_fim": OP13_SQL,
 }
