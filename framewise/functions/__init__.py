@@ -1,7 +1,6 @@
 """Column-expression helpers shared by the operators."""
 
 from framewise.functions.expr import (  # noqa: F401
-    avg_tie_pct_rank,
     clip,
     conditional_list,
     right_closed_band,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -79,72 +79,6 @@ def conditional_list(conds: Sequence[tuple[Column, str]]) -> Column:
     return F.filter(arr, lambda x: x.isNotNull())
 
 
-def _beyond(key: Column, bound, desc: bool, or_equal: bool) -> Column:
-    """Does ``key`` come after ``bound`` in the key's order?  NULLs come first
-    in ascending order and last in descending order, as Spark sorts them."""
-    hit = (key < F.lit(bound)) if desc else (key > F.lit(bound))
-    hit = F.coalesce(hit, F.lit(desc))
-    return hit | key.eqNullSafe(F.lit(bound)) if or_equal else hit
-
-
-def order_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> Column:
-    """A bucket number that grows with ``order`` (names, ``-name`` descends).
-
-    The cut points are literals, taken once from a bounded number of distinct
-    keys (least hash first), so the bucket is a pure function of the row: every
-    use of it agrees, whatever the partitioning.  The keys taken decide how
-    even the buckets are, never which bucket is right."""
-    nb = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names, desc = [c.lstrip("-") for c in order], [c.startswith("-") for c in order]
-    keys = df.select(*names).dropna().distinct()
-    taken = keys.orderBy(F.xxhash64(*names), *names).limit(16 * nb) \
-        .orderBy(*[F.desc(c) if d else F.asc(c) for c, d in zip(names, desc)]).collect()
-    bounds = taken[16::16]
-
-    def after(bound) -> Column:
-        out = None
-        for c, d, v in reversed(list(zip(names, desc, bound))):
-            key = F.col(c)
-            out = _beyond(key, v, d, True) if out is None else _beyond(key, v, d, False) | (key.eqNullSafe(F.lit(v)) & out)
-        return out
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(after(bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return search(0, len(bounds))
-
-
-def avg_tie_pct_rank(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
-    """pandas ``rank(pct=True)`` (ties get the mean of their ranks) as a
-    distributed computation.
-
-    ``percent_rank``/``cume_dist`` differ from pandas on ties, and a window
-    without ``partitionBy`` moves every row to one task.  Instead the rows are
-    counted per distinct value (so a value held by many rows is one row), the
-    counts are summed below each value bucket by bucket (see
-    :func:`order_bucket`), and the rank joins back on the value:
-
-        pct = (rows below + (ties + 1) / 2) / n
-
-    NULL values get a NULL rank (pandas leaves NaN unranked) and do not count
-    in ``n``.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_rk_v")).agg(F.count(F.lit(1)).alias("_rk_n"))
-    placed = counts.withColumn("_rk_b", order_bucket(counts, ["_rk_v"], buckets))
-    before = Window.orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (placed.groupBy("_rk_b").agg(F.sum("_rk_n").alias("_rk_m"))           # a row per bucket
-                     .select("_rk_b", F.coalesce(F.sum("_rk_m").over(before), F.lit(0)).alias("_rk_off"),
-                             F.sum("_rk_m").over(Window.partitionBy(F.lit(1))).alias("_rk_tot")))
-    within = Window.partitionBy("_rk_b").orderBy("_rk_v").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("_rk_off") + F.coalesce(F.sum("_rk_n").over(within), F.lit(0))
-    ranks = (placed.join(F.broadcast(offsets), "_rk_b")
-                   .select("_rk_v", ((below + (F.col("_rk_n") + F.lit(1)) / F.lit(2.0)) / F.col("_rk_tot")).alias(out)))
-    return df.join(ranks, F.col(value) == F.col("_rk_v"), "left").drop("_rk_v")
-
-
 def sig_round(c: ColumnOrName, digits: int = 10) -> Column:
     """Round to ``digits`` significant digits (half-even) using only exactly
     rounded IEEE operations, so that two engines that differ in summation
@@ -159,46 +93,3 @@ def sig_round(c: ColumnOrName, digits: int = 10) -> Column:
              .when(col == 0, F.lit(0.0))
              .when(m >= 0, pos)
              .otherwise(neg))
-
-
-def global_row_number(df: DataFrame, order: Sequence[str], out: str, buckets: int | None = None) -> DataFrame:
-    """``row_number()`` over a global order without moving every row to one
-    task: rows fall into buckets that grow with ``order`` (names, ``-name``
-    descends; see :func:`order_bucket`), each bucket's row count (one row per
-    bucket) gives its offset, and a window inside each bucket numbers the rows.
-    ``order`` must be a total order (end it with a unique key) for the numbers
-    to be deterministic."""
-    placed = df.withColumn("_gr_b", order_bucket(df, order, buckets))
-    counts = placed.groupBy("_gr_b").agg(F.count(F.lit(1)).alias("_gr_n"))
-    offsets = counts.select("_gr_b", F.coalesce(F.sum("_gr_n").over(
-        Window.orderBy("_gr_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_gr_off"))
-    local = F.row_number().over(Window.partitionBy("_gr_b").orderBy(
-        *[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]))
-    return (placed.join(F.broadcast(offsets), "_gr_b")
-                  .withColumn(out, F.col("_gr_off") + local)
-                  .drop("_gr_b", "_gr_off"))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], tiebreak: str | None = None) -> DataFrame:
-    """Linear-interpolation quantiles (numpy / pandas default) of ``value``
-    as one row ``q_<p*100>``, computed from global row numbers so no single
-    aggregation buffer holds every distinct value.  NULLs are ignored."""
-    order = [value, *([tiebreak] if tiebreak else [])]
-    vals = df.where(F.col(value).isNotNull()).select(value, *([tiebreak] if tiebreak else []))
-    ranked = global_row_number(vals, order, "_q_rn")
-    n = vals.agg(F.count(F.lit(1)).alias("_q_n"))
-    j = ranked.crossJoin(F.broadcast(n))          # one-row frame
-    cols = []
-    for p in probs:
-        pos = (F.col("_q_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        frac = pos - F.floor(pos)
-        v_lo = F.max(F.when(F.col("_q_rn") == lo, F.col(value)))
-        v_hi = F.max(F.when(F.col("_q_rn") == hi, F.col(value)))
-        cols.append((v_lo + (v_hi - v_lo) * F.max(frac)).cast("double").alias(f"q_{int(round(p * 100))}"))
-    needed = None
-    for p in probs:
-        pos = (F.col("_q_n") - 1) * F.lit(float(p))
-        c = (F.col("_q_rn") == F.floor(pos) + 1) | (F.col("_q_rn") == F.ceil(pos) + 1)
-        needed = c if needed is None else needed | c
-    return j.where(needed).agg(*cols)

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.functions.expr import exact_quantiles, global_row_number, week_monday
+from framewise.functions.expr import week_monday
+from framewise.functions.ranks import exact_quantiles_by, global_row_number
 
 ACF_LAGS = [1, 2, 7, 14, 30, 90]
 SKU_ACF_LAG = 7
@@ -76,19 +77,13 @@ def sku_daily_stats_summary(sales: DataFrame) -> DataFrame:
     """``describe()`` of the per-SKU grid statistics (A80), long form: one
     row per statistic with count, mean, std, min, quartiles, max."""
     stats = sku_daily_stats(sales)
-    parts = []
-    for c in ["mean", "std", "max", "sum"]:
-        v = F.col(c).cast("double")
-        basic = stats.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                          F.min(v).alias("min"), F.max(v).alias("max"))
-        qs = exact_quantiles(stats.select("sku_id", v.alias("_v")), "_v", [0.25, 0.5, 0.75], tiebreak="sku_id")
-        parts.append(basic.crossJoin(qs).select(
-            F.lit(c).alias("stat"), "count", "mean", "std", "min",
-            F.col("q_25").alias("p25"), F.col("q_50").alias("p50"), F.col("q_75").alias("p75"), "max"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    names = ["mean", "std", "max", "sum"]
+    long = stats.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("v")) for c in names])))
+    basic = long.groupBy("stat").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+                                     F.min("v").alias("min"), F.max("v").alias("max"))
+    quartiles = exact_quantiles_by(long, "stat", "v", [0.25, 0.5, 0.75])
+    return basic.join(F.broadcast(quartiles), "stat", "left").select(          # a row per statistic
+        "stat", "count", "mean", "std", "min", F.col("q_25").alias("p25"), F.col("q_50").alias("p50"), F.col("q_75").alias("p75"), "max")
 
 
 def _daily_totals(sales: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.functions.expr import global_row_number, round_half_even
+from framewise.functions.expr import round_half_even
+from framewise.functions.ranks import global_row_number
 from framewise.operators import features as FT
 from framewise.session import checkpoint_dir
 

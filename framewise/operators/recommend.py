@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.expr import (
-    avg_tie_pct_rank, clip, conditional_list, right_closed_band, round_half_even,
+    clip, conditional_list, right_closed_band, round_half_even,
 )
+from framewise.functions.ranks import avg_tie_pct_rank
 from framewise.operators.supply import supplier_risk_scores
 
 URGENCY_EDGES = [0.25, 0.50, 0.75]

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.expr import (
-    avg_tie_pct_rank, clip, right_closed_band, round_half_even, safe_div,
+    clip, right_closed_band, round_half_even, safe_div,
 )
+from framewise.functions.ranks import avg_tie_pct_rank
 
 MOMENTUM_EDGES = [-20.0, 20.0]
 MOMENTUM_LABELS = ["decelerating", "stable", "accelerating"]

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from framewise.functions.expr import avg_tie_pct_rank, exact_quantiles, global_row_number
+from framewise.functions.ranks import avg_tie_pct_rank, exact_quantiles, exact_quantiles_by, global_row_number, place
 from framewise.operators import diagnostics as D
 from framewise.operators import features as FT
 
@@ -102,14 +102,49 @@ def test_global_ranks_and_quantiles(spark):
     rng = np.random.default_rng(4)
     vals = rng.integers(0, 30, 500).tolist()
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, v double")
-    rn = global_row_number(df, ["-v", "id"], "rn", buckets=7).toPandas()
+    rn = global_row_number(df, ["-v", "id"], "rn", buckets=7, cell_rows=20).toPandas()
     exp = pd.DataFrame({"id": range(500), "v": vals}).sort_values(["v", "id"], ascending=[False, True])
     assert rn.sort_values("rn")["id"].tolist() == exp["id"].tolist()
-    q = exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.9], tiebreak="id").first()
-    for p in [0.1, 0.25, 0.5, 0.9]:
-        assert q[f"q_{int(p * 100)}"] == pytest.approx(np.quantile(vals, p))
-    pr = avg_tie_pct_rank(df, "v", "pr", buckets=5).toPandas().sort_values("id")
-    np.testing.assert_allclose(pr["pr"], pd.Series(vals, dtype=float).rank(pct=True))
+    for rows in (3, 1 << 16):
+        q = exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.9], cell_rows=rows).first()
+        for p in [0.1, 0.25, 0.5, 0.9]:
+            assert q[f"q_{int(p * 100)}"] == pytest.approx(np.quantile(vals, p))
+        by = exact_quantiles_by(df.withColumn("g", F.col("id") % 3), "g", "v", [0.25, 0.5], cell_rows=rows).collect()
+        assert {(r["g"], r["q_25"], r["q_50"]) for r in by} == \
+            {(g, np.quantile(vals[g::3], 0.25), np.quantile(vals[g::3], 0.5)) for g in range(3)}
+        pr = avg_tie_pct_rank(df, "v", "pr", buckets=5, cell_rows=rows).toPandas().sort_values("id")
+        np.testing.assert_allclose(pr["pr"], pd.Series(vals, dtype=float).rank(pct=True))
+
+
+ORDERS = {
+    "double": ("double", [0.0, -1.5, 1e-300, 1e300, float("inf"), float("-inf"), float("nan"), 3.0, 3.0000000001, None] + [(i + 1) / 7 for i in range(60)]),
+    "string": ("string", ["", "SKU0000", "SKU0000001", None, "été", "é", "zz", "a"] + [f"SKU-LONG-COMMON-PREFIX-{i:04d}" for i in range(60)]),
+    "long": ("long", [-(1 << 63), (1 << 63) - 1, 0, -1, None] + [7 + i for i in range(60)]),
+    "date": ("date", [dt.date(1960, 1, 1), None] + [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)]),
+}
+
+
+@pytest.mark.parametrize("kind", ORDERS)
+@pytest.mark.parametrize("desc", [False, True])
+def test_cells_follow_the_order(spark, kind, desc):
+    """Row numbers equal one global sort, whatever the type of the key; cells
+    hold at most the wanted rows where keys differ early enough."""
+    dtype, values = ORDERS[kind]
+    df = spark.createDataFrame([(i, values[i % len(values)]) for i in range(3 * len(values))], f"id long, v {dtype}")
+    order = ["-v" if desc else "v", "id"]
+    got = [r["id"] for r in global_row_number(df, order, "rn", buckets=64, cell_rows=4).orderBy("rn").collect()]
+    assert got == [r["id"] for r in df.orderBy(F.desc("v") if desc else F.asc("v"), "id").collect()]
+    placed = place(df, order, buckets=64, cell_rows=4)
+    assert placed.rows.groupBy(*placed.cells).count().agg(F.max("count")).first()[0] <= 6
+
+
+def test_plan_does_not_grow_with_partitions(spark):
+    df = spark.range(50_000).select("id", (F.xxhash64("id") % 100_000).cast("double").alias("v"))
+    plans = []
+    for buckets in (16, 6000):
+        placed = place(df, ["v", "id"], buckets, cell_rows=8)
+        plans.append(len(placed.rows._jdf.queryExecution().analyzed().toString()))
+    assert plans[1] < 3 * plans[0]
 
 
 @pytest.mark.parametrize("partitions", [2, 4, 16, 200])
