@@ -11,6 +11,7 @@ from framewise.llm import bpe
 from framewise.llm.common import documents
 from framewise.llm.decontaminate import contamination
 from framewise.llm.fim import fill_in_middle, restore
+from framewise.llm.importance import resample
 from framewise.llm.jaccard import jaccard_components
 from framewise.llm.licenses import TEMPLATES, license_matches, template_rows
 from framewise.llm.lm import lm_scores
@@ -179,6 +180,11 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", sha("tokens").alias("ids_sha256"), sha("text").alias("decoded_sha256"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return fill_in_middle(documents(spark, sf_dir)).select(
@@ -213,6 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
     "op11_bpe": op11_bpe,
+    "op12_importance": op12_importance,
     "op13_fim": op13_fim,
 }
 ORACLE_SQL: dict[str, str] = {
