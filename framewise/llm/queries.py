@@ -185,6 +185,43 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_features", "weight", "score", "rank")
 
 
+def _crc_entries() -> str:
+    """The 256 entries of the CRC-32 table, from its polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(str(c))
+    return ", ".join(out)
+
+
+OP12_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+k(k) AS (VALUES (1), (2), (3)),
+f AS MATERIALIZED (SELECT r, array_to_string(ws[i:i + k - 1], ' ') AS f, count(*) AS n FROM w, k, unnest(range(1, greatest(len(ws) - k + 2, 1))) t(i) GROUP BY ALL),
+fb AS MATERIALIZED (SELECT array_to_string(ws[i:i + k - 1], ' ') AS f, count(*) AS n FROM b, k, unnest(range(1, greatest(len(ws) - k + 2, 1))) t(i) GROUP BY ALL),
+crc AS MATERIALIZED (SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+         list_transform(range(1, CAST(strlen(f) AS BIGINT) + 1), lambda i: CAST('0x' || substr(hex(f), 2 * i - 1, 2) AS BIGINT))),
+         lambda c, x: xor(c >> 8, CAST([{_crc_entries()}][(xor(c, x) & 255) + 1] AS BIGINT)))) % 10000 AS b
+        FROM (SELECT f FROM f UNION SELECT f FROM fb)),
+s AS (SELECT b, sum(n) AS s FROM f JOIN crc USING (f) GROUP BY b),
+t AS (SELECT b, sum(n) AS t FROM fb JOIN crc USING (f) GROUP BY b),
+g AS (SELECT x.b, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(s) FROM s), 0) + 10000.0::DOUBLE)
+             / ((coalesce(s, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(t) FROM t), 0) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+      FROM range(10000) x(b) LEFT JOIN s ON s.b = x.b LEFT JOIN t ON t.b = x.b),
+weights AS (SELECT r, sum(n) AS n, sum(n * gain) AS weight FROM f JOIN crc USING (f) JOIN g ON g.b = crc.b GROUP BY r),
+scored AS (SELECT doc_id, len(ws) >= 20 AS fit, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                    / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+           FROM w LEFT JOIN weights ON weights.r = w.r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS place, count(*) OVER (PARTITION BY fit) AS fits FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * fits // 100 THEN CAST(place AS BIGINT) END AS rank FROM ranked
+"""
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return fill_in_middle(documents(spark, sf_dir)).select(
@@ -228,5 +265,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_jaccard": OP7_SQL,
     "op8_topk": OP8_SQL,
     "op10_licenses": OP10_SQL,
+    "op12_importance": OP12_SQL,
     "op13_fim": OP13_SQL,
 }
