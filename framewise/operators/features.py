@@ -1,18 +1,20 @@
 """Weekly demand features for the forecaster.
 
-All per-SKU series work shares one partitioning: the weekly grid is
-hash-partitioned by ``sku_id`` once and every lag, rolling frame, EWM and
-SKU-level encoding runs as a window over that partitioning, so the whole
-feature matrix costs one exchange of the (already aggregated) weekly rows.
-Sales are pre-aggregated to (sku, week) with map-side combine before that,
-so a SKU holding a third of all lines still contributes one row per week.
+Sales are summed per (sku, week) with map-side combine and gathered into one
+array per SKU, so a SKU holding a third of all lines is still one small row.
+The feature matrix works on these arrays and explodes them once; the single
+operators (lags, rolling frames, EWM, encodings) are windows over the exploded
+grid, which shares one partitioning by ``sku_id``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.expr import week_monday
@@ -44,35 +46,46 @@ def _w(order: str = "date") -> Window:
     return Window.partitionBy("sku_id").orderBy(order)
 
 
-def weekly_demand(sales: DataFrame) -> DataFrame:
-    """Dense SKU x week grid of demand (A07): Monday of each sale, units
-    summed per (sku, week); every Monday between the global first and last
-    week for every SKU that sold, missing weeks 0.
+def _dense(entries: Column, n: int, empty: Column, value: str) -> Column:
+    """An array with one cell per week 0 .. n - 1 from ``entries`` (structs
+    with week ``w`` and ``value``, sorted, one a week); gaps hold ``empty``."""
+    after = lambda i: F.when(i > 0, F.try_element_at(entries, i)["w"] + 1).otherwise(F.lit(0))
+    return F.flatten(F.concat(
+        F.transform(entries, lambda x, i: F.concat(F.array_repeat(empty, x["w"] - after(i)), F.array(x[value]))),
+        F.array(F.array_repeat(empty, F.lit(n - 1) - F.element_at(entries, -1)["w"]))))
+
+
+def demand_series(sales: DataFrame) -> tuple[DataFrame, date | None, int]:
+    """``sku_id`` and ``q``, the units of every week as one array, with the
+    first Monday and the number of weeks (None, 0 without sales).
 
     Lines are summed per (sku, week) with map-side combine, then gathered per
     SKU (at most one entry per calendar week, so a SKU holding a third of all
-    lines is still one small row).  The entries, sorted by week, are spread
-    over an array with one cell per week, which is exploded by position.  The
-    result is hash-partitioned by ``sku_id``, which every later per-SKU window
-    and SKU-grain join reuses."""
+    lines is still one small row) and spread over the weeks."""
     wk = week_monday("date")
     bounds = sales.agg(F.min(wk).alias("lo"), F.max(wk).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     raw = (sales.select("sku_id", wk.alias("date"), "quantity_sold")
-                .groupBy("sku_id", "date").agg(F.sum("quantity_sold").alias("demand")))
+                .groupBy("sku_id", "date").agg(F.sum("quantity_sold").cast("bigint").alias("demand")))
+    # as many partitions as the session has: the few bytes here become many rows later
+    raw = raw.repartition(int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sku_id")
     if lo is None:
-        return raw.select("sku_id", "date", F.col("demand").cast("bigint")).limit(0)
-    series = raw.where("date is not null").groupBy("sku_id").agg(F.array_sort(F.collect_list(F.struct(
-        (F.datediff("date", F.lit(lo)) / 7).cast("int").alias("w"), F.col("demand").cast("bigint").alias("q")))).alias("_s"))
+        return raw.select("sku_id", F.array("demand").alias("q")).limit(0), None, 0
     n = (hi - lo).days // 7 + 1
-    # the gap before each entry as zeros, the entry, and the gap after the last one
-    cells = F.flatten(F.concat(
-        F.transform("_s", lambda x, i: F.concat(
-            F.array_repeat(F.lit(0).cast("bigint"), x["w"] - F.when(i > 0, F.try_element_at(F.col("_s"), i)["w"] + 1).otherwise(F.lit(0))),
-            F.array(x["q"]))),
-        F.array(F.array_repeat(F.lit(0).cast("bigint"), F.lit(n - 1) - F.element_at("_s", -1)["w"]))))
-    return (series.select("sku_id", F.posexplode(cells).alias("_w", "demand"))
-                  .select("sku_id", F.date_add(F.lit(lo), F.col("_w") * 7).alias("date"), "demand"))
+    series = raw.where("date is not null").groupBy("sku_id").agg(F.array_sort(F.collect_list(F.struct(
+        (F.datediff("date", F.lit(lo)) / 7).cast("int").alias("w"), F.col("demand").alias("q")))).alias("_s"))
+    return series.select("sku_id", _dense(F.col("_s"), n, F.lit(0).cast("bigint"), "q").alias("q")), lo, n
+
+
+def weekly_demand(sales: DataFrame) -> DataFrame:
+    """Dense SKU x week grid of demand (A07): Monday of each sale, units
+    summed per (sku, week); every Monday between the global first and last
+    week for every SKU that sold, missing weeks 0.  The series of
+    :func:`demand_series`, exploded by position; the result is hash-partitioned
+    by ``sku_id``, which every later per-SKU window and SKU-grain join reuses."""
+    series, lo, _ = demand_series(sales)
+    return (series.select("sku_id", F.posexplode("q").alias("_w", "demand"))
+                  .select("sku_id", F.date_add(F.lit(lo).cast("date"), F.col("_w") * 7).alias("date"), "demand"))
 
 
 def calendar_features(weekly: DataFrame) -> DataFrame:
@@ -233,21 +246,50 @@ def social_weekly_lag(df: DataFrame, social: DataFrame | None) -> DataFrame:
               .drop("_soc"))
 
 
-def category_codes(df: DataFrame, products: DataFrame, skus: DataFrame | None = None) -> DataFrame:
-    """Label codes by sorted label (NULL -> ``unknown``) for the five
-    categorical columns, fitted on the SKUs of the weekly frame (A19).
-    Each code table is built from the distinct labels (a bounded domain) and
-    joined back by broadcast."""
+@dataclass(frozen=True)
+class CategoryEncoder:
+    """Label codes of the categorical columns, fitted once and applied to any
+    catalogue (A19): code = place of the label among the sorted labels met at
+    fitting, NULL counts as ``unknown``, a label not met becomes -1."""
+
+    codes: DataFrame            # column, label, code: one row per distinct label
+    columns: tuple[str, ...]
+
+    @classmethod
+    def fit(cls, products: DataFrame, columns: Sequence[str] = tuple(CAT_COLS)) -> CategoryEncoder:
+        """All columns in one pass over ``products``: distinct (column, label)
+        pairs, numbered within the column."""
+        pairs = products.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("unknown")).alias("label")) for c in columns]))).distinct()
+        code = F.row_number().over(Window.partitionBy("column").orderBy("label")) - 1
+        return cls(pairs.select("column", "label", code.cast("int").alias("code")), tuple(columns))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Each categorical column ``c`` of ``df`` replaced by ``c_enc``; the
+        joins carry no hint, so a code table is broadcast only if it proves
+        small at run time."""
+        for c in self.columns:
+            own = self.codes.where(F.col("column") == c).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+            df = (df.join(own, F.coalesce(F.col(c), F.lit("unknown")) == F.col("_label"), "left")
+                    .withColumn(f"{c}_enc", F.coalesce("_code", F.lit(-1))).drop(c, "_label", "_code"))
+        return df
+
+    def save(self, path: str) -> None:
+        self.codes.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CategoryEncoder:
+        codes = spark.read.schema("column string, label string, code int").parquet(path)
+        return cls(codes, tuple(sorted(r["column"] for r in codes.select("column").distinct().collect())))
+
+
+def category_codes(df: DataFrame, products: DataFrame, skus: DataFrame | None = None, encoder: CategoryEncoder | None = None) -> DataFrame:
+    """The five label codes for each row (A19), by ``encoder`` or by one fitted
+    on the SKUs of the weekly frame; SKUs without a product are ``unknown``."""
     skus = skus if skus is not None else df.select("sku_id").distinct()
-    meta = products.select("sku_id", *[F.coalesce(F.col(c), F.lit("unknown")).alias(c) for c in CAT_COLS])
-    fitted = skus.join(meta, "sku_id", "left").select(
-        "sku_id", *[F.coalesce(F.col(c), F.lit("unknown")).alias(c) for c in CAT_COLS])
-    out = df.join(fitted, "sku_id", "left")
-    for c in CAT_COLS:
-        codes = (fitted.select(c).distinct()
-                       .withColumn(f"{c}_enc", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int")))
-        out = out.join(F.broadcast(codes), c, "left").drop(c)
-    return out
+    own = skus.join(products.select("sku_id", *CAT_COLS), "sku_id", "left")
+    encoder = encoder or CategoryEncoder.fit(own)
+    return df.join(encoder.transform(own), "sku_id", "left")
 
 
 def inventory_features(df: DataFrame, inventory: DataFrame | None) -> DataFrame:
@@ -263,27 +305,130 @@ def inventory_features(df: DataFrame, inventory: DataFrame | None) -> DataFrame:
               .withColumn("stockout_risk_flag", F.coalesce("stockout_risk_flag", F.lit(0))))
 
 
+def _scan(q: Column, first: Column, step, n: int) -> Column:
+    """``first``, step(first, q0), step(step(first, q0), q1), ...: the value
+    before each of the ``n`` elements.  Blocks of about sqrt(n) elements keep
+    the copies of growing arrays short."""
+    block = max(8, math.isqrt(n))
+    blocks = F.sequence(F.lit(0), F.lit((n - 1) // block))
+    held = lambda b: F.slice(q, b * block + 1, block)
+    starts = F.aggregate(blocks, F.array(first), lambda done, b: F.array_append(
+        done, F.aggregate(held(b), F.element_at(done, -1), step)))
+    inside = lambda start, b: F.slice(F.aggregate(held(b), F.array(start), lambda done, v: F.array_append(
+        done, step(F.element_at(done, -1), v))), 1, block)
+    # a lambda's variable is computed once; a column would be inlined into the loop
+    return F.element_at(F.transform(F.array(starts), lambda s: F.flatten(F.transform(blocks, lambda b: inside(F.get(s, b), b)))), 1)
+
+
+def _ewm(q: Column, span: int, n: int) -> Column:
+    a = 2.0 / (span + 1.0)
+    return _scan(q, F.lit(0.0), lambda y, units: F.lit(1.0 - a) * y + F.lit(a) * units.cast("double"), n)
+
+
+def _calendar(lo: date, n: int) -> tuple[list[int], list[int], list[list[int]], list[list[int]]]:
+    """Month and ISO week of each week from ``lo``, and the weeks that each
+    month (1 - 12) and ISO week (1 - 53) holds."""
+    days = [lo + timedelta(days=7 * i) for i in range(n)]
+    months, woys = [d.month for d in days], [d.isocalendar().week for d in days]
+    return (months, woys, [[i for i, m in enumerate(months) if m == k] for k in range(1, 13)],
+            [[i for i, w in enumerate(woys) if w == k] for k in range(1, 54)])
+
+
+def series_features(series: DataFrame, lo: date, n: int) -> DataFrame:
+    """Lags, rolling statistics, EWM, SKU encoding and priors (A11 - A16) of
+    every week from the array of the SKU, without a window: ``sku_id`` and
+    ``_rows``, an array with one struct per week.  Each SKU's work touches its
+    own row alone, so nothing is shuffled."""
+    spark = series.sparkSession
+    calendar = spark.createDataFrame([_calendar(lo, n)], "_months array<int>, _woys array<int>, _in_month array<array<int>>, _in_woy array<array<int>>")
+    q = F.col("q")
+    middle = lambda s: (F.element_at(s, F.floor((F.size(s) + 1) / 2).cast("int"))           # noqa: E731
+                        + F.element_at(s, F.floor(F.size(s) / 2 + 1).cast("int"))) / F.lit(2.0)
+    mean_of = lambda weeks: F.try_divide(F.aggregate(weeks, F.lit(0).cast("bigint"), lambda s, i: s + F.get(q, i)).cast("double"),
+                                         F.size(weeks).cast("double"))
+    once = F.struct(q.alias("q"), _scan(q, F.lit(0).cast("bigint"), lambda t, units: t + units, n).alias("total"),
+                    *[_ewm(q, s, n).alias(f"ewm_{s}w") for s in EWM_SPANS], F.col("_months").alias("months"), F.col("_woys").alias("woys"),
+                    F.slice(F.concat(F.array(F.lit(0).cast("bigint")), q), 1, n).cast("array<double>").alias("shifted"),
+                    F.transform("_in_month", mean_of).alias("month_mean"), F.transform("_in_woy", mean_of).alias("woy_mean"))
+
+    def week(own: Column, i: Column) -> Column:
+        held = lambda w: F.least(i + 1, F.lit(w))
+        total = lambda at: F.get(own["total"], at)
+        fields = [F.get(own["q"], i).alias("demand")]
+        fields += [F.coalesce(F.get(own["q"], i - k), F.lit(0).cast("bigint")).alias(f"lag_{k}w") for k in LAGS]
+        for w in ROLL_MEANS:
+            fields.append(((total(i) - total(F.greatest(i - w, F.lit(0)))) / held(w)).alias(f"rolling_mean_{w}w"))
+
+        def spread(s: Column) -> Column:
+            mean = F.aggregate(s, F.lit(0.0), lambda t, v: t + v) / F.size(s)
+            squares = F.element_at(F.transform(F.array(mean), lambda m: F.aggregate(s, F.lit(0.0), lambda t, v: t + (v - m) * (v - m))), 1)
+            return F.struct(F.when(F.size(s) > 1, F.sqrt(squares / (F.size(s) - 1))).otherwise(0.0).alias("rolling_std_13w"),
+                            F.element_at(s, -1).alias("rolling_max_13w"), middle(s).alias("rolling_median_13w"))
+
+        fields.append(F.element_at(F.transform(F.array(F.sort_array(F.slice(own["shifted"], i - held(13) + 2, held(13)))), spread), 1).alias("_last13"))
+        fields += [F.get(own[f"ewm_{s}w"], i).alias(f"ewm_{s}w") for s in EWM_SPANS]
+        fields += [F.get(own["month_mean"], F.get(own["months"], i) - 1).alias("sku_month_mean"),
+                   F.get(own["woy_mean"], F.get(own["woys"], i) - 1).alias("sku_woy_mean")]
+        return F.struct(i.alias("_w"), *fields)
+
+    rows = F.element_at(F.transform(F.array(once), lambda own: F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: week(own, i))), 1)
+    mean = F.aggregate(q, F.lit(0).cast("bigint"), lambda s, v: s + v) / F.lit(float(n))
+    return (series.join(F.broadcast(calendar))              # one row, as long as the calendar
+            .select("sku_id", mean.alias("sku_mean_demand"), F.log1p(mean).alias("sku_log_mean"),
+                    F.coalesce(mean / (middle(F.sort_array(q.cast("array<double>"))) + F.lit(1e-6)), F.lit(1.0)).alias("sku_cv"),
+                    rows.alias("_rows")))
+
+
+def social_series(social: DataFrame, lo: date, n: int) -> DataFrame:
+    """``sku_id`` and ``_soc``, the social values (A18) of the week before each
+    week as one array."""
+    values = (social.select("sku_id", week_monday("week_start").alias("_wk"), "trend_index", "sentiment_score", "mention_count")
+              .groupBy("sku_id", "_wk").agg(F.avg("trend_index").alias("t"), F.avg("sentiment_score").alias("s"),
+                                            F.sum("mention_count").cast("double").alias("m"))
+              .select("sku_id", (F.datediff(F.date_add("_wk", 7), F.lit(lo)) / 7).cast("int").alias("w"), F.struct("t", "s", "m").alias("v"))
+              .where(F.col("w").between(0, n - 1)))
+    kept = values.groupBy("sku_id").agg(F.array_sort(F.collect_list(F.struct("w", "v")), lambda x, y: x["w"] - y["w"]).alias("_s"))
+    return kept.select("sku_id", _dense(F.col("_s"), n, F.lit(None).cast("struct<t:double,s:double,m:double>"), "v").alias("_soc"))
+
+
 def feature_matrix(sales: DataFrame, products: DataFrame, social: DataFrame | None,
-                   inventory: DataFrame | None) -> DataFrame:
+                   inventory: DataFrame | None, encoder: CategoryEncoder | None = None) -> DataFrame:
     """The 49-feature weekly matrix (A21): ``sku_id, date, demand`` and
-    :data:`FEATURE_COLUMNS`, remaining NULLs -> 0."""
-    grid = weekly_demand(sales)
-    # windows first, on the narrow grid (its sku_id partitioning serves all
-    # of them); the SKU-grain joins come last and reuse that partitioning
-    # and the sku_id ordering the windows leave behind
-    w = lag_features(grid)
-    w = rolling_stats(w)
-    w = ewm_features(w)
-    w = sku_demand_encoding(w)
-    # the calendar depends on the week alone: one row per week, broadcast
-    # (some thousands of weeks at the very most)
-    weeks = holiday_week_flag(calendar_features(calendar_weeks(grid)))
-    w = w.join(F.broadcast(weeks), "date")
-    w = sku_month_prior(w)
-    w = sku_woy_prior(w)
-    w = interaction_features(w)
-    w = weeks_since_launch(w, products)
-    w = category_codes(w, products, skus=grid.select("sku_id").distinct())
+    :data:`FEATURE_COLUMNS`, remaining NULLs -> 0.
+
+    Everything per SKU is joined to the SKU's one row, all series features come
+    from its array, and a single explode makes the weeks; the calendar depends
+    on the week alone and is joined by broadcast (some thousands of weeks at
+    the very most).  No weekly row is shuffled or sorted."""
+    series, lo, n = demand_series(sales)
+    if lo is None:
+        types = {**dict.fromkeys(FEATURE_COLUMNS, "double"), **dict.fromkeys([f"lag_{k}w" for k in LAGS], "bigint"),
+                 **dict.fromkeys(["month", "quarter", "week_of_year", "year", "has_holiday_week", "stockout_risk_flag",
+                                  *[f"{c}_enc" for c in CAT_COLS]], "int")}
+        return series.select("sku_id", F.lit(None).cast("date").alias("date"), F.lit(0).cast("bigint").alias("demand"),
+                             *[F.lit(0).cast(types[c]).alias(c) for c in FEATURE_COLUMNS])
+    w = series_features(series, lo, n)
+    w = category_codes(w, products, skus=series.select("sku_id"), encoder=encoder)
     w = inventory_features(w, inventory)
-    w = social_weekly_lag(w, social)
+    if "launch_date" in products.columns:
+        w = w.join(products.select("sku_id", "launch_date"), "sku_id", "left")
+    else:
+        w = w.withColumn("launch_date", F.lit(None).cast("date"))
+    if social is not None:
+        w = w.join(social_series(social, lo, n), "sku_id", "left")
+    else:
+        w = w.withColumn("_soc", F.lit(None).cast("array<struct<t:double,s:double,m:double>>"))
+    own = [c for c in w.columns if c not in ("_rows", "_soc")]
+    rows = F.transform("_rows", lambda r: F.struct(r.alias("r"), F.get("_soc", r["_w"]).alias("v")))
+    w = w.select(*own, F.explode(rows).alias("_e")).select(*own, "_e.r.*", "_e.v")
+    w = w.select(*[c for c in w.columns if c not in ("_last13", "v")], "_last13.*",
+                 F.coalesce("v.t", F.lit(50.0)).alias("trend_index_lag1w"), F.coalesce("v.s", F.lit(0.6)).alias("sentiment_lag1w"),
+                 F.coalesce("v.m", F.lit(100.0)).alias("mention_lag1w"))
+    w = w.withColumn("date", F.date_add(F.lit(lo), F.col("_w") * 7))
+    since = F.datediff(F.col("date"), F.col("launch_date")) / F.lit(7.0)
+    w = w.withColumn("weeks_since_launch", F.greatest(F.coalesce(since, F.lit(52.0)), F.lit(0.0)))
+    weeks = holiday_week_flag(calendar_features(
+        w.sparkSession.range(n).select(F.date_add(F.lit(lo), F.col("id").cast("int") * 7).alias("date"))))
+    w = interaction_features(w.join(F.broadcast(weeks), "date"))
     return w.select("sku_id", "date", "demand", *FEATURE_COLUMNS).fillna(0)

@@ -3,32 +3,41 @@
 Boosted trees on ``log1p(demand)`` with Spark ML's ``GBTRegressor`` over
 the weekly feature matrix.  The modelled library uses XGBoost; the
 parameters map where Spark has an equivalent (no gamma / L1 / L2), so the
-model is approximate, not equal.  Training is distributed by Spark ML; the
-assembled training frame is persisted (memory and disk) for the boosting
-passes and the tree node ids are checkpointed into the session's checkpoint
-folder every 10 iterations, so a lost executor costs a recompute of its
-blocks, not the whole fit.
+model is approximate, not equal.  Training is distributed by Spark ML.
+
+Early stopping with patience is staged: Spark's own rule stops at the first
+round without gain, so the trees are fitted without it, the loss of every round
+is measured on the validation rows, and more rounds are fitted only while the
+best one is less than ``patience`` rounds old.  The same seed grows the same
+trees, so the loss of earlier rounds stays as it was, and the model kept is the
+one that ends at the best round.
+
+The assembled training frame is persisted (memory and disk) for the boosting
+passes and checkpointed every 10 iterations, so a lost executor costs a
+recompute of its blocks, not the whole fit.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.functions.expr import round_half_even
 from framewise.functions.ranks import global_row_number
 from framewise.operators import features as FT
+from framewise.operators.features import CategoryEncoder
 from framewise.session import checkpoint_dir
 
 # The modelled forecaster's settings.
 FORECAST_PARAMS = dict(max_iter=800, step_size=0.03, max_depth=8, min_instances=5, subsample=0.75,
-                       colsample=0.7, seed=42, tolerance=0.0)
+                       colsample=0.7, seed=42, patience=40)
 EARLY_STOP_VALIDATION_MIN_ROWS = 200
 EARLY_STOP_VALIDATION_SHARE = 0.10
 TEST_MONTHS = 3
@@ -77,6 +86,8 @@ class Forecaster:
     model: PipelineModel
     feature_cols: list[str]
     test_rmse: float | None = None
+    losses: list[float] = field(default_factory=list)       # validation loss after each round
+    encoder: CategoryEncoder | None = None
 
     @property
     def importances(self) -> list[tuple[str, float]]:
@@ -93,41 +104,74 @@ class Forecaster:
     def n_trees(self) -> int:
         return self.model.stages[-1].getNumTrees
 
+    def loss_path(self, spark: SparkSession) -> DataFrame:
+        """Validation RMSE (of log demand) after each round that was fitted,
+        and the rounds that the model keeps."""
+        rows = [(i + 1, math.sqrt(x), i < self.n_trees) for i, x in enumerate(self.losses)]
+        return spark.createDataFrame(rows, "round int, validation_rmse double, kept boolean")
+
     def save(self, path: str) -> None:
-        """Persist the fitted pipeline with its columns and test RMSE."""
+        """Persist the fitted pipeline with its columns, test RMSE, losses and
+        category codes (A06)."""
         self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(self.feature_cols, self.test_rmse)], "feature_cols array<string>, test_rmse double") \
+        spark.createDataFrame([(self.feature_cols, self.test_rmse, self.losses, self.encoder is not None)], STATE) \
             .write.mode("overwrite").json(f"{path}/state")
+        if self.encoder is not None:
+            self.encoder.save(f"{path}/codes")
 
     @classmethod
     def load(cls, path: str) -> "Forecaster":
-        state = SparkSession.getActiveSession().read.schema("feature_cols array<string>, test_rmse double").json(f"{path}/state").first()
-        return cls(PipelineModel.load(f"{path}/model"), list(state["feature_cols"]), state["test_rmse"])
+        spark = SparkSession.getActiveSession()
+        state = spark.read.schema(STATE).json(f"{path}/state").first()
+        encoder = CategoryEncoder.load(spark, f"{path}/codes") if state["coded"] else None
+        return cls(PipelineModel.load(f"{path}/model"), list(state["feature_cols"]), state["test_rmse"], list(state["losses"] or []), encoder)
+
+
+STATE = "feature_cols array<string>, test_rmse double, losses array<double>, coded boolean"
+
+
+def best_round(losses: list[float]) -> int:
+    """The first round with the least loss, from 1 (0: no loss is a number)."""
+    known = [(x, i + 1) for i, x in enumerate(losses) if not math.isnan(x)]
+    return min(known)[1] if known else 0
+
+
+def boost(fit: DataFrame, validation: DataFrame, max_iter: int, patience: int, **params) -> tuple[GBTRegressionModel, list[float]]:
+    """Boosted trees on ``features`` / ``label`` that end at the round with the
+    least validation loss, once ``patience`` more rounds have not lowered it
+    (or ``max_iter`` is reached).  Rounds double from stage to stage, so all
+    stages together cost at most twice the last one."""
+    gbt = GBTRegressor(featuresCol="features", labelCol="label", **params)
+    rounds = min(max_iter, patience + max(patience // 4, 1))
+    if validation.isEmpty():
+        return gbt.setMaxIter(max_iter).fit(fit), []
+    while True:
+        model = gbt.setMaxIter(rounds).fit(fit)
+        losses = [float(x) for x in model.evaluateEachIteration(validation, "squared")]
+        best = best_round(losses)
+        if rounds >= max_iter or rounds - best >= patience:
+            break
+        rounds = min(max_iter, 2 * rounds)
+    return (model if best in (0, rounds) else gbt.setMaxIter(best).fit(fit)), losses
 
 
 def train_forecaster(train: DataFrame, feature_cols: list[str] | None = None, **params) -> Forecaster:
     """Fit the boosted-tree forecaster on ``log1p(demand)`` (A23), all rows
-    including zero weeks, early stopping on the last rows of the training
-    period.  Spark stops at the first round that gains no more than
-    ``tolerance`` on those rows (the modelled trainer waits 40 rounds without
-    gain, which Spark cannot); ``n_trees`` of the result tells how many were
-    kept."""
+    including zero weeks; the last rows of the training period only decide
+    where the trees end (see :func:`boost`)."""
     p = {**FORECAST_PARAMS, **params}
     cols = list(feature_cols or FT.FEATURE_COLUMNS)
     checkpoint_dir(train.sparkSession)
-    data = (_with_validation_flag(train)
-            .withColumn("label", F.log1p(F.col("demand").cast("double")))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=p["max_iter"], stepSize=p["step_size"],
-                       maxDepth=p["max_depth"], minInstancesPerNode=p["min_instances"],
-                       subsamplingRate=p["subsample"], featureSubsetStrategy=str(p["colsample"]),
-                       seed=p["seed"], validationIndicatorCol="is_val", validationTol=p["tolerance"], checkpointInterval=10,
-                       cacheNodeIds=True, maxBins=64)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"), gbt])
-    model = pipe.fit(data)
+    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    data = (assembler.transform(_with_validation_flag(train).withColumn("label", F.log1p(F.col("demand").cast("double"))))
+            .select("features", "label", "is_val").persist(StorageLevel.MEMORY_AND_DISK))
+    model, losses = boost(data.where(~F.col("is_val")), data.where("is_val"), p["max_iter"], p["patience"],
+                          stepSize=p["step_size"], maxDepth=p["max_depth"], minInstancesPerNode=p["min_instances"],
+                          subsamplingRate=p["subsample"], featureSubsetStrategy=str(p["colsample"]), seed=p["seed"],
+                          checkpointInterval=10, maxBins=64, maxMemoryInMB=1024)
     data.unpersist()
-    return Forecaster(model, cols)
+    return Forecaster(PipelineModel([assembler, model]), cols, losses=losses)
 
 
 def evaluate(df: DataFrame, y: str = "demand", pred: str = "predicted") -> DataFrame:
@@ -170,10 +214,12 @@ def forecast_metrics(pred: DataFrame) -> DataFrame:
         "mae", "rmse", (F.lit(1.0) - F.try_divide(F.col("_res"), ss_tot)).alias("r2_log"), "test_rows")
 
 
-def fit_and_test(feats: DataFrame, **params) -> tuple[Forecaster, DataFrame]:
-    """Split, fit on the training weeks, predict the test weeks."""
+def fit_and_test(feats: DataFrame, encoder: CategoryEncoder | None = None, **params) -> tuple[Forecaster, DataFrame]:
+    """Split, fit on the training weeks, predict the test weeks (A26); the
+    forecaster keeps the ``encoder`` of the features."""
     train, test = time_split(feats)
     fc = train_forecaster(train, **params)
+    fc.encoder = encoder
     pred = fc.predict(test).select("sku_id", "date", "demand", "predicted")
     fc.test_rmse = pred.agg(F.sqrt(F.avg((F.col("demand") - F.col("predicted")) ** 2))).first()[0]
     return fc, pred

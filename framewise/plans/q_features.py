@@ -6,6 +6,8 @@ tests."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from framewise.operators import features as FT
 from framewise.plans.registry import register
 
@@ -169,3 +171,16 @@ _EWM_STAGES = {"ewm_features", "interaction_features", "feature_matrix"}
 for _name, _cols in STAGES.items():
     register(_name, floats=_floats(_cols), extra=FEATURE_CTES, digits=8 if _name in _EWM_STAGES else 10,
              sql=f"SELECT {', '.join(['sku_id', 'date', 'demand', *_cols])} FROM fmx")(_stage_builder(_name, _cols))
+
+
+# The codes of one catalogue (all but luxury) applied to another (all): labels not met become -1.
+@register("category_encoding_reuse", extra=[
+    ("first", "SELECT * FROM products WHERE price_point <> 'luxury' AND frame_shape <> (SELECT max(frame_shape) FROM products)"),
+    *[(f"{c}_first", f"SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT coalesce({c}, 'unknown') AS v FROM first)")
+      for c in FT.CAT_COLS],
+], sql="SELECT p.sku_id, " + ", ".join(f"coalesce({c}_first.code, -1) AS {c}_enc" for c in FT.CAT_COLS) + " FROM products p "
+    + " ".join(f"LEFT JOIN {c}_first ON coalesce(p.{c}, 'unknown') = {c}_first.v" for c in FT.CAT_COLS))
+def _reuse(a):
+    last_shape = a.products.select(F.max("frame_shape")).scalar()
+    encoder = FT.CategoryEncoder.fit(a.products.where((F.col("price_point") != "luxury") & (F.col("frame_shape") != last_shape)))
+    return encoder.transform(a.products.select("sku_id", *FT.CAT_COLS))

@@ -167,3 +167,20 @@ def test_global_ranks_at_any_partitioning(spark, partitions):
         assert rn["id"].tolist() == exp["id"].tolist()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("weeks", [1, 7, 90])
+def test_series_kernel_equals_the_windows(spark, weeks):
+    rng = np.random.default_rng(weeks)
+    series = {k: rng.integers(0, 40, weeks).tolist() for k in "ABC"} | {"D": [5] * weeks, "E": [0] * (weeks - 1) + [3]}
+    grid = _weekly(spark, series)
+    lo = dt.date(2024, 1, 1)
+    arrays = spark.createDataFrame(list(series.items()), "sku_id string, q array<bigint>")
+    got = FT.series_features(arrays, lo, weeks).select("sku_id", "sku_mean_demand", "sku_log_mean", "sku_cv", F.inline("_rows"))
+    got = got.select("*", "_last13.*").drop("_last13").withColumn("date", F.date_add(F.lit(lo), F.col("_w") * 7)).toPandas()
+    want = FT.ewm_features(FT.rolling_stats(FT.lag_features(grid)))
+    want = FT.sku_woy_prior(FT.sku_month_prior(FT.sku_demand_encoding(FT.calendar_features(want)))).toPandas()
+    got, want = (d.sort_values(["sku_id", "date"]).reset_index(drop=True) for d in (got, want))
+    cols = [c for c in got.columns if c not in ("sku_id", "date", "_w")]
+    assert got[["sku_id", "date"]].equals(want[["sku_id", "date"]]) and len(cols) == 25
+    np.testing.assert_allclose(got[cols].astype(float), want[cols].astype(float), rtol=1e-9, atol=1e-12)

@@ -34,6 +34,7 @@ def test_small_forecaster_fit(spark, small_dir):
     a = adapters(spark, small_dir)
     feats = FT.feature_matrix(a.sales_lines, a.products, a.social_signals, a.inventory)
     fc, pred = M.fit_and_test(feats, max_iter=3, max_depth=4)
+    assert fc.n_trees == M.best_round(fc.losses) and len(fc.losses) == 3
     m = M.forecast_metrics(pred).first()
     assert m["test_rows"] > 0 and m["rmse"] >= 0
     assert len(fc.importances) == len(FT.FEATURE_COLUMNS)
@@ -60,9 +61,13 @@ def test_forecaster_save_load(spark, tmp_path):
     df = spark.createDataFrame([(float(i), float(i % 3), float(i)) for i in range(40)], "a double, b double, label double")
     pm = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"),
                           GBTRegressor(maxIter=2, maxDepth=2)]).fit(df)
-    fc = Forecaster(pm, ["a", "b"], 2.5)
+    from framewise.operators.features import CategoryEncoder
+    codes = CategoryEncoder.fit(spark.createDataFrame([("x",), (None,)], "c string"), ["c"])
+    fc = Forecaster(pm, ["a", "b"], 2.5, [0.5, 0.4], codes)
     fc.save(str(tmp_path / "m"))
     again = Forecaster.load(str(tmp_path / "m"))
+    assert again.losses == [0.5, 0.4] and again.encoder.columns == ("c",)
+    assert [tuple(r) for r in again.loss_path(spark).collect()] == [(1, math.sqrt(0.5), True), (2, math.sqrt(0.4), True)]
     assert (again.feature_cols, again.test_rmse, again.n_trees) == (["a", "b"], 2.5, 2)
     p1 = [r.predicted for r in fc.predict(df).orderBy("a").collect()]
     p2 = [r.predicted for r in again.predict(df).orderBy("a").collect()]
@@ -90,3 +95,52 @@ def test_date_range_reaches_the_scan(spark, small_dir):
     from framewise.sources.adapters import adapters
     plan = sales_velocity(adapters(spark, small_dir).sales_lines)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan
+
+
+def _signal(spark, n, seed):
+    """A noisy step: boosting gains for many rounds, then only fits noise."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    r = np.random.default_rng(seed)
+    x = r.uniform(0, 10, (n, 2))
+    y = np.floor(x[:, 0]) + r.normal(0, 1.0, n)
+    return spark.createDataFrame([(Vectors.dense(a.tolist()), float(b)) for a, b in zip(x, y)]).toDF("features", "label").cache()
+
+
+def test_early_stopping_waits_and_keeps_the_best_round(spark):
+    from pyspark.ml.regression import GBTRegressor
+    from framewise.operators.model import best_round, boost
+    fit, validation = _signal(spark, 400, 1), _signal(spark, 200, 2)
+    args = dict(stepSize=0.1, maxDepth=3, seed=5, subsamplingRate=0.75)
+    model, losses = boost(fit, validation, max_iter=40, patience=8, **args)
+    best = best_round(losses)
+    assert model.getNumTrees == best and min(losses) == losses[best - 1]
+    assert len(losses) == 40 or len(losses) - best >= 8
+    assert best > 3 and losses[best - 1] < losses[0]
+    # the path of a longer fit starts as that of a shorter one, so stages agree
+    longer = GBTRegressor(featuresCol="features", labelCol="label", maxIter=len(losses), **args).fit(fit)
+    assert list(longer.evaluateEachIteration(validation, "squared"))[:5] == losses[:5]
+    assert model.evaluateEachIteration(validation, "squared")[-1] == min(losses)
+
+
+def test_best_round():
+    from framewise.operators.model import best_round
+    assert best_round([3.0, 1.0, 2.0, 1.0]) == 2 and best_round([]) == 0 and best_round([float("nan"), 2.0]) == 2
+
+
+def test_boost_without_validation_rows(spark):
+    from framewise.operators.model import boost
+    fit = _signal(spark, 60, 1)
+    model, losses = boost(fit, fit.limit(0), max_iter=2, patience=40, maxDepth=2, seed=1)
+    assert model.getNumTrees == 2 and losses == []
+
+
+def test_encoder_codes_and_unseen_labels(spark, tmp_path):
+    from framewise.operators.features import CategoryEncoder
+    first = spark.createDataFrame([("a", "z"), ("b", None), ("a", "y")], "c string, d string")
+    enc = CategoryEncoder.fit(first, ["c", "d"])
+    enc.save(str(tmp_path / "codes"))
+    again = CategoryEncoder.load(spark, str(tmp_path / "codes"))
+    other = spark.createDataFrame([(1, "b", "y"), (2, "new", None), (3, None, "z")], "id int, c string, d string")
+    for e in (enc, again):
+        assert sorted(map(tuple, e.transform(other).select("id", "c_enc", "d_enc").collect())) == [(1, 1, 1), (2, -1, 0), (3, -1, 2)]
