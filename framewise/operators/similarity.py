@@ -29,10 +29,11 @@ holding a third of all SKUs never moves whole.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.expr import title_case
@@ -243,33 +244,60 @@ def demand_spillover(products: DataFrame, inventory: DataFrame, query_skus: Data
         "query_sku_id", "similar_sku_id", "similarity_score", "store_id", "days_of_supply", "quantity_on_hand")
 
 
-# ---- clustering and projection (Spark ML) -----------------------------------
+# ---- clustering and projection ------------------------------------------------
 
-def feature_vectors(products: DataFrame) -> DataFrame:
+MAX_FEATURES = 4096         # distinct attribute labels a projection may have
+
+
+def profile_weights(products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``sku_id, pid`` of every SKU, and each profile once with the number of
+    its SKUs: what the catalogue's size adds ends here."""
+    skus, profiles, _ = _profile_table(sku_profiles(products), 1)
+    checkpoint_dir(products.sparkSession)
+    return skus.select("sku_id", "pid"), profiles.orderBy("pid").checkpoint()
+
+
+def feature_vectors(profiles: DataFrame) -> DataFrame:
     """Dense feature vectors (price + one-hot attributes) for ML: StringIndexer
     and OneHotEncoder with the NULL/unseen bucket dropped, so NULL or constant
     attributes contribute zeros as in the modelled scaling."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
-    prof = sku_profiles(products)
     idx = [StringIndexer(inputCol=a, outputCol=f"{a}_ix", handleInvalid="keep", stringOrderType="alphabetAsc")
            for a in ATTRS]
     ohe = OneHotEncoder(inputCols=[f"{a}_ix" for a in ATTRS], outputCols=[f"{a}_oh" for a in ATTRS],
                         dropLast=True, handleInvalid="keep")
     asm = VectorAssembler(inputCols=["p"] + [f"{a}_oh" for a in ATTRS], outputCol="features")
-    model = Pipeline(stages=[*idx, ohe, asm]).fit(prof)
-    return model.transform(prof).select("sku_id", "features")
+    model = Pipeline(stages=[*idx, ohe, asm]).fit(profiles)
+    return model.transform(profiles)
+
 
+@dataclass
+class Clusters:
+    assigned: DataFrame         # products with cluster_id and cluster_label
+    centres: list[list[float]]
+    inertias: list[float]       # of each start
+    vectors: DataFrame          # pid, features, n_skus
+    members: DataFrame          # sku_id, pid
 
-def cluster_products(products: DataFrame, n_clusters: int = 10, seed: int = 42) -> DataFrame:
-    """KMeans clusters with a readable label from the most frequent price
-    point, material and frame shape (ties: alphabetical) (A54)."""
+
+def fit_clusters(products: DataFrame, n_clusters: int = 10, starts: int = 10, seed: int = 42) -> Clusters:
+    """KMeans over the profiles, each weighing as many SKUs as it has, from
+    ``starts`` initial choices of centres; the start with the least inertia
+    (the sum of squared distances, first of equals) is kept."""
     from pyspark.ml.clustering import KMeans
 
-    vec = feature_vectors(products)
-    km = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="cluster_id", maxIter=50)
-    assigned = km.fit(vec).transform(vec).select("sku_id", "cluster_id")
+    members, profiles = profile_weights(products)
+    vec = feature_vectors(profiles).select("pid", "features", F.col("n_skus").cast("double").alias("n_skus")).persist()
+    best, inertias = None, []
+    for i in range(starts):
+        model = KMeans(k=n_clusters, seed=seed + i, featuresCol="features", predictionCol="cluster_id", weightCol="n_skus",
+                       maxIter=50).fit(vec)
+        inertias.append(model.summary.trainingCost)
+        if inertias[-1] == min(inertias) and inertias.count(inertias[-1]) == 1:
+            best = model
+    assigned = members.join(best.transform(vec).select("pid", "cluster_id"), "pid").drop("pid")
     df = products.join(assigned, "sku_id")
     labels = df.groupBy("cluster_id").agg(
         F.coalesce(F.mode("price_point", deterministic=True), F.lit("mid")).alias("_pp"),
@@ -277,7 +305,26 @@ def cluster_products(products: DataFrame, n_clusters: int = 10, seed: int = 42)
         F.coalesce(F.mode("frame_shape", deterministic=True), F.lit("round")).alias("_fs"),
     ).select("cluster_id", F.concat_ws(" ", title_case("_pp"), title_case("_mat"),
                                        F.initcap(F.regexp_replace("_fs", "_", " "))).alias("cluster_label"))
-    return df.join(F.broadcast(labels), "cluster_id")
+    return Clusters(df.join(F.broadcast(labels), "cluster_id"),       # a row per cluster
+                    [c.tolist() for c in best.clusterCenters()], inertias, vec, members)
+
+
+def cluster_products(products: DataFrame, n_clusters: int = 10, starts: int = 10, seed: int = 42) -> DataFrame:
+    """The products with their cluster and a readable label from the most
+    frequent price point, material and frame shape (ties: alphabetical) (A54)."""
+    return fit_clusters(products, n_clusters, starts, seed).assigned
+
+
+def cluster_distances(found: Clusters) -> DataFrame:
+    """Per SKU: its cluster, and the squared distance to the centre of its own
+    cluster and to the nearest one, computed anew from the vectors."""
+    from pyspark.ml.functions import vector_to_array
+
+    centres = F.array(*[F.array(*map(F.lit, c)) for c in found.centres])
+    away = F.transform(centres, lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v))
+    near = found.vectors.select("pid", vector_to_array("features").alias("x")).select("pid", away.alias("_d"))
+    return (found.assigned.select("sku_id", "cluster_id").join(found.members, "sku_id").join(near, "pid")
+            .select("sku_id", "cluster_id", F.get("_d", "cluster_id").alias("own"), F.array_min("_d").alias("nearest")))
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:
@@ -285,18 +332,76 @@ def cluster_summary(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("sku_count"))
 
 
+def _profile_features(profiles: DataFrame) -> DataFrame:
+    """``pid, n_skus, feature, value``: the non-zero features of each profile,
+    at most six rows."""
+    entries = [F.when(F.col("p") != 0, F.struct(F.lit("price_point_enc").alias("feature"), F.col("p").alias("value")))]
+    entries += [F.when(F.col(a).isNotNull(), F.struct(F.concat(F.lit(a + "_"), F.col(a)).alias("feature"), F.lit(1.0).alias("value"))) for a in ATTRS]
+    return profiles.select("pid", "n_skus", F.inline(F.filter(F.array(*entries), lambda x: x.isNotNull())))
+
+
+@dataclass
+class Projection:
+    features: list[str]
+    loadings: list[list[float]]     # one list per component
+    means: list[float]
+    explained: list[float]          # share of the total variance
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(k + 1, f, float(x), float(self.explained[k])) for k, own in enumerate(self.loadings) for f, x in zip(self.features, own)]
+        return spark.createDataFrame(rows, "component int, feature string, loading double, explained double")
+
+
+def fit_projection(profiles: DataFrame, components: int = 2) -> Projection:
+    """Principal components from co-occurrence counts: with one-hot features
+    the covariance follows from how many SKUs have each pair of features, so
+    one aggregation over the profiles gives it in closed form.  A component's
+    sign makes its largest loading positive (of loadings equal to a millionth,
+    the one of the first feature)."""
+    import numpy as np
+
+    x = _profile_features(profiles)
+    y = x.select("pid", F.col("feature").alias("other"), F.col("value").alias("v"))
+    total = profiles.agg(F.sum("n_skus")).first()[0] or 0
+    names = [r["feature"] for r in x.select("feature").distinct().orderBy("feature").limit(MAX_FEATURES + 1).collect()]
+    if len(names) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features")
+    at = {f: i for i, f in enumerate(names)}
+    mean, second = np.zeros(len(names)), np.zeros((len(names), len(names)))
+    for r in x.groupBy("feature").agg(F.sum(F.col("value") * F.col("n_skus")).alias("s")).collect():
+        mean[at[r["feature"]]] = r["s"] / total
+    for r in x.join(y, "pid").groupBy("feature", "other").agg(F.sum(F.col("value") * F.col("v") * F.col("n_skus")).alias("s")).collect():
+        second[at[r["feature"]], at[r["other"]]] = r["s"]
+    cov = (second - total * np.outer(mean, mean)) / max(total - 1, 1)
+    values, vectors = np.linalg.eigh(cov)
+    loadings = []
+    for k in range(1, min(components, len(names)) + 1):
+        v = vectors[:, -k]
+        lead = int(np.flatnonzero(np.abs(v) >= np.abs(v).max() * (1 - 1e-6))[0])
+        loadings.append((v if v[lead] > 0 else -v).tolist())
+    share = [float(values[-k] / values.sum()) if values.sum() > 0 else 0.0 for k in range(1, len(loadings) + 1)]
+    return Projection(names, loadings, mean.tolist(), share)
+
+
+def pca_coordinates(products: DataFrame, components: int = 2) -> DataFrame:
+    """``sku_id, PC1, PC2``: the centred feature vectors on their first
+    principal components, made per profile."""
+    members, profiles = profile_weights(products)
+    fit = fit_projection(profiles, components)
+    names = [f"PC{k + 1}" for k in range(components)]
+    offsets = [sum(m * x for m, x in zip(fit.means, own)) for own in fit.loadings]
+    rows = [(f, *[float(own[i]) for own in fit.loadings]) for i, f in enumerate(fit.features)]
+    loadings = products.sparkSession.createDataFrame(rows, "feature string, " + ", ".join(f"l{k} double" for k in range(len(fit.loadings))))
+    placed = (_profile_features(profiles).join(F.broadcast(loadings), "feature").groupBy("pid")       # at most MAX_FEATURES rows
+              .agg(*[F.sum(F.col("value") * F.col(f"l{k}")).alias(f"s{k}") for k in range(len(fit.loadings))]))
+    columns = [(F.coalesce(f"s{k}", F.lit(0.0)) - F.lit(offsets[k])).alias(n) if k < len(fit.loadings) else F.lit(0.0).alias(n)
+               for k, n in enumerate(names)]
+    return members.join(placed, "pid", "left").select("sku_id", *columns)
+
+
 def pca_map(products: DataFrame, clustered: DataFrame | None = None) -> DataFrame:
     """2-D PCA of the (centred) feature vectors with cluster and product
-    fields for the map (A57).  Component signs are arbitrary."""
-    from pyspark.ml.feature import PCA, StandardScaler
-
-    vec = feature_vectors(products)
-    centred = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False) \
-        .fit(vec).transform(vec)
-    pca = PCA(k=2, inputCol="centred", outputCol="pc").fit(centred).transform(centred)
-    from pyspark.ml.functions import vector_to_array
-    pts = pca.select("sku_id", vector_to_array("pc").alias("_pc")).select(
-        "sku_id", F.col("_pc")[0].alias("PC1"), F.col("_pc")[1].alias("PC2"))
+    fields for the map (A57)."""
     clustered = clustered if clustered is not None else cluster_products(products)
-    return pts.join(clustered.select("sku_id", "cluster_id", "cluster_label", "name", "frame_shape",
-                                     "price_point"), "sku_id")
+    return pca_coordinates(products).join(clustered.select("sku_id", "cluster_id", "cluster_label", "name", "frame_shape",
+                                                           "price_point"), "sku_id")

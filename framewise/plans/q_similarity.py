@@ -104,3 +104,67 @@ def _cluster_summary(a):
 @register("pca_map", note="PCA; rows-only check")
 def _pca(a):
     return SIM.pca_map(a.products)
+
+
+@register("cluster_check", extra=[("n", "SELECT count(*) AS skus FROM products")], sql="""
+SELECT CAST(k AS INTEGER) AS cluster_id, CAST(0 AS BIGINT) AS n_away, true AS in_use, (SELECT skus FROM n) AS n_skus, true AS least_kept
+FROM range(10) t(k)""")
+def _cluster_check(a):
+    """What holds of any right clustering: each SKU belongs to its nearest
+    centre, every SKU is in one cluster, all ten are used, and no start was
+    better than the one kept."""
+    found = SIM.fit_clusters(a.products)
+    d = SIM.cluster_distances(found)
+    kept = d.agg(F.sum("own")).first()[0]
+    per = d.groupBy("cluster_id").agg(F.sum((F.col("own") > F.col("nearest") + 1e-9).cast("long")).alias("n_away"), F.count(F.lit(1)).alias("n"))
+    return per.select("cluster_id", "n_away", (F.col("n") > 0).alias("in_use"), F.lit(d.count()).cast("long").alias("n_skus"),
+                      F.lit(kept <= min(found.inertias) * (1 + 1e-9) + 1e-9).alias("least_kept"))
+
+
+SQUARINGS = 20
+
+
+def _eigen_ctes(matrix: str, out: str) -> list[tuple[str, str]]:
+    """The leading eigenvector of the symmetric ``matrix(a, b, x)`` by repeated
+    squaring, its sign as the operator has it, and its eigenvalue."""
+    ctes = [(f"{out}_p0", f"SELECT a, b, x / (SELECT max(abs(x)) FROM {matrix}) AS x FROM {matrix}")]
+    for i in range(SQUARINGS):
+        ctes += [(f"{out}_q{i}", f"SELECT l.a, r.b, sum(l.x * r.x) AS x FROM {out}_p{i} l JOIN {out}_p{i} r ON l.b = r.a GROUP BY l.a, r.b"),
+                 (f"{out}_p{i + 1}", f"SELECT a, b, x / (SELECT max(abs(x)) FROM {out}_q{i}) AS x FROM {out}_q{i}")]
+    last = f"{out}_p{SQUARINGS}"
+    return ctes + [
+        (f"{out}_u", f"SELECT a AS f, x / sqrt((SELECT sum(x * x) FROM {last} WHERE b = m)) AS l FROM {last}, "
+                     f"(SELECT a AS m FROM {last} WHERE a = b ORDER BY x DESC, a LIMIT 1) WHERE b = m"),
+        (out, f"SELECT f, l * (SELECT CASE WHEN l > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END FROM {out}_u "
+              f"WHERE abs(l) >= (SELECT max(abs(l)) FROM {out}_u) * (1 - 1e-6::DOUBLE) ORDER BY f LIMIT 1) AS l FROM {out}_u"),
+        (f"{out}_value", f"SELECT sum(x.l * c.x * y.l) AS value FROM {matrix} c JOIN {out} x ON x.f = c.a JOIN {out} y ON y.f = c.b")]
+
+
+PCA_CTES = PROFILE_CTES + [
+    ("pf", "SELECT sku_id, 'price_point_enc' AS f, p AS v FROM prof WHERE p <> 0 "
+           + " ".join(f"UNION ALL SELECT sku_id, '{a}_' || {a}, 1.0::DOUBLE FROM prof WHERE {a} IS NOT NULL" for a in _ATTRS)),
+    ("total", "SELECT CAST(count(*) AS DOUBLE) AS n FROM prof"),
+    ("means", "SELECT f, sum(v) / (SELECT n FROM total) AS m FROM pf GROUP BY f"),
+    ("co_occurs", "SELECT x.f AS a, y.f AS b, sum(x.v * y.v) AS s FROM pf x JOIN pf y ON x.sku_id = y.sku_id GROUP BY x.f, y.f"),
+    ("cov", "SELECT x.f AS a, y.f AS b, (coalesce(s, 0) - n * x.m * y.m) / (n - 1) AS x FROM means x CROSS JOIN means y CROSS JOIN total "
+            "LEFT JOIN co_occurs ON co_occurs.a = x.f AND co_occurs.b = y.f"),
+    *_eigen_ctes("cov", "pc1"),
+    ("cov2", "SELECT a, b, c.x - (SELECT value FROM pc1_value) * x.l * y.l AS x FROM cov c JOIN pc1 x ON x.f = c.a JOIN pc1 y ON y.f = c.b"),
+    *_eigen_ctes("cov2", "pc2"),
+    ("spread", "SELECT sum(x) AS s FROM cov WHERE a = b"),
+]
+
+
+@register("pca_components", floats=["loading", "explained"], digits=6, extra=PCA_CTES, sql="""
+SELECT CAST(1 AS INTEGER) AS component, f AS feature, l AS loading, (SELECT value FROM pc1_value) / (SELECT s FROM spread) AS explained FROM pc1
+UNION ALL SELECT CAST(2 AS INTEGER), f, l, (SELECT value FROM pc2_value) / (SELECT s FROM spread) FROM pc2""")
+def _components(a):
+    return SIM.fit_projection(SIM.profile_weights(a.products)[1]).table(a.t.spark)
+
+
+@register("pca_coordinates", floats=["PC1", "PC2"], digits=6, extra=PCA_CTES, sql="""
+SELECT s.sku_id, coalesce(sum(v * pc1.l), 0) - (SELECT sum(m * l) FROM means JOIN pc1 ON pc1.f = means.f) AS "PC1",
+       coalesce(sum(v * pc2.l), 0) - (SELECT sum(m * l) FROM means JOIN pc2 ON pc2.f = means.f) AS "PC2"
+FROM prof s LEFT JOIN pf ON pf.sku_id = s.sku_id LEFT JOIN pc1 ON pc1.f = pf.f LEFT JOIN pc2 ON pc2.f = pf.f GROUP BY s.sku_id""")
+def _coordinates(a):
+    return SIM.pca_coordinates(a.products)

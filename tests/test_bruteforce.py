@@ -182,5 +182,5 @@ def test_series_kernel_equals_the_windows(spark, weeks):
     want = FT.sku_woy_prior(FT.sku_month_prior(FT.sku_demand_encoding(FT.calendar_features(want)))).toPandas()
     got, want = (d.sort_values(["sku_id", "date"]).reset_index(drop=True) for d in (got, want))
     cols = [c for c in got.columns if c not in ("sku_id", "date", "_w")]
-    assert got[["sku_id", "date"]].equals(want[["sku_id", "date"]]) and len(cols) == 25
+    assert got[["sku_id", "date"]].equals(want[["sku_id", "date"]]) and len(cols) == 23
     np.testing.assert_allclose(got[cols].astype(float), want[cols].astype(float), rtol=1e-9, atol=1e-12)
