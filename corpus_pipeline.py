@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from framewise.llm.common import documents, stage
 from framewise.llm.decontaminate import contaminated_rows
-from framewise.llm.jaccard import jaccard_components
+from framewise.llm.jaccard import Rule, jaccard_components
 from framewise.llm.mixing import mixed_counts
 from framewise.llm.queries import remainder
 from framewise.llm.secrets import redacted, train as train_secrets
 from framewise.llm.toxicity import score_column, train as train_toxicity
 
 TOXIC = 0.3
+NEAR = Rule(n=5, num=80, den=100)       # five words, a similarity of 0.8 or more
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,10 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each component of similar ones: that of least doc_id
-    (NULL last)."""
+    """Keep one row of each component of rows whose five-word shingles have a
+    similarity of 0.8 or more: that of least doc_id (NULL last)."""
     rows, row = numbered(docs)
-    found = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    found = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias(row), "component_id")
     kept = found.join(rows.select(row, F.col("doc_id").cast("long").alias("doc_id")), row).groupBy("component_id") \
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", row)).alias("least")).select(F.col("least")[row].alias(row))
     return rows.join(kept, row, "left_semi").select(*docs.columns)
