@@ -4,11 +4,14 @@ Vectors are cut in 1, 4, 16, ... segments.  With segment means m and standard
 deviations s, Cauchy-Schwarz bounds the inner product of two segments of
 length L by L * (m m' + s s'), which is the same as a lower bound on their
 distance.  A block of candidates is compared with a block of queries coarse to
-fine; each resolution drops the candidates whose bound is below the k-th exact
-score known so far, and only survivors get their exact integer score.
+fine; each resolution takes the exact scores of the best bounds it finds, raises
+the query's threshold to the k-th of them, drops the pairs whose bound is below
+it, and only the pairs that survive get their exact integer score.
 
-Candidates and queries are packed into blocks of bounded size; each candidate
-block meets each query block once, in a task of its own.
+Candidates and queries are packed into blocks of bounded size.  They meet twice:
+the first time each block only names the exact scores of its best bounds, whose
+k-th over all blocks is a threshold that no answer of the query falls below; the
+second time every block starts from that threshold.
 
 Defined cases: vectors that are NULL, empty, or hold NULL or non-finite
 components, and rows with a NULL vec_id, take no part; rows that share a
@@ -69,11 +72,30 @@ def _statistics(m: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _levels(dim: int) -> list[int]:
+    """1, 4, 16, ... segments, then half as many as there are components."""
     out, s = [], 1
-    while s < dim:
+    while s < dim // 2:
         out.append(s)
         s *= 4
-    return out
+    return out + [max(dim // 2, 1)]
+
+
+class Vectors:
+    """The vectors of a block with the statistics of each resolution, made once."""
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.m = ids[order], m[order]
+        self.norms = np.linalg.norm(self.m, axis=1)
+        self._made: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def statistics(self, segments: int) -> np.ndarray:
+        if segments not in self._made:
+            self._made[segments] = _statistics(self.m, segments)
+        return self._made[segments]
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -85,37 +107,70 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return exact.astype(np.int64)           # raises OverflowError beyond 64 bits
 
 
-def block_top(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k best candidates of one block pair."""
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    own = q_ids[:, None] == c_ids[None, :]
-    alive, known = np.arange(len(c)), None
-    # absorbs the rounding of the bounds, which are sums of dim terms
-    slack = 1e-9 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(initial=0))[:, None]
-    possible = ~own
-    for segments in _levels(q.shape[1]):
-        bound = _statistics(q, segments) @ _statistics(c[alive], segments).T + slack
+def _seeds(bound: np.ndarray, possible: np.ndarray, q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact scores of each query's ``k`` best bounds and the candidates' places."""
+    best = np.argpartition(-bound, min(k, len(c)) - 1, axis=1)[:, :k]
+    return np.where(np.take_along_axis(possible, best, 1), np.einsum("ij,ikj->ik", q, c[best]), -np.inf), best
+
+
+def _slack(q: Vectors, c: Vectors) -> np.ndarray:
+    """Absorbs the rounding of the bounds, which are sums of dim terms."""
+    return 1e-9 * (1 + q.norms * c.norms.max(initial=0))[:, None]
+
+
+def survivors(q: Vectors, c: Vectors, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that some query may still need, and which pairs; ``known``
+    holds a score for each query that its k-th answer reaches."""
+    alive, possible, slack = np.arange(len(c)), q.ids[:, None] != c.ids[None, :], _slack(q, c)
+    known = known - slack[:, 0]
+    for segments in _levels(q.m.shape[1]):
+        if segments > 16 and possible.mean() > 0.5:
+            break                           # the finest bounds cost as much as the scores they could spare
+        bound = q.statistics(segments) @ c.statistics(segments)[alive].T + slack
         bound[~possible] = -np.inf
-        if known is None:                   # exact scores of the k best bounds give the first threshold
-            best = np.argpartition(-bound, min(k, len(alive)) - 1, axis=1)[:, :k]
-            seen = np.sort(np.where(np.take_along_axis(possible, best, 1),
-                                    np.einsum("ij,ikj->ik", q, c[alive][best]), -np.inf), axis=1)
-            known = seen[:, 0] - slack[:, 0] if best.shape[1] == k else np.full(len(q), -np.inf)
+        if len(alive) >= k:
+            known = np.maximum(known, _seeds(bound, possible, q.m, c.m[alive], k)[0].min(axis=1) - slack[:, 0])
         possible &= bound >= known[:, None]
         keep = possible.any(axis=0)
         alive, possible = alive[keep], possible[:, keep]
         if not len(alive):
             break
+    return alive, possible
+
+
+def _pair_scores(q: Vectors, c: Vectors, alive: np.ndarray, possible: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, candidate place, exact score) of the possible pairs."""
+    qi, ci = np.nonzero(possible)
+    peak = float(np.abs(q.m).max(initial=0)) * float(np.abs(c.m).max(initial=0)) * q.m.shape[1]
+    if peak < 2 ** 53 and len(qi) < possible.size / 8:
+        parts = [np.einsum("ij,ij->i", q.m[qi[i:i + 65_536]], c.m[alive[ci[i:i + 65_536]]]) for i in range(0, len(qi), 65_536)]
+        return qi, alive[ci], np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    return qi, alive[ci], _scores(q.m, c.m[alive])[qi, ci]
+
+
+def block_top(q: Vectors, c: Vectors, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the k best candidates of one block pair,
+    less those that ``known`` rules out."""
+    alive, possible = survivors(q, c, k, known)
     if not len(alive):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    score = _scores(q, c[alive])
-    out = []
-    for i in range(len(q)):
-        at = np.flatnonzero(possible[i])
-        at = at[np.lexsort((at, -score[i, at]))][:k]
-        out.append((np.full(len(at), q_ids[i]), c_ids[alive[at]], score[i, at]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    qi, ci, score = _pair_scores(q, c, alive, possible)
+    order = np.lexsort((ci, -score, qi))
+    qi, ci, score = qi[order], ci[order], score[order]
+    first = np.searchsorted(qi, np.arange(len(q)))
+    top = np.arange(len(qi)) - first[qi] < k
+    return q.ids[qi[top]], c.ids[ci[top]], score[top]
+
+
+def block_seeds(q: Vectors, c: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query_id, lower bound of a score) of the k best bounds of a middle
+    resolution, for every query of one block pair."""
+    possible, slack = q.ids[:, None] != c.ids[None, :], _slack(q, c)
+    segments = _levels(q.m.shape[1])[:3][-1]
+    bound = q.statistics(segments) @ c.statistics(segments).T + slack
+    bound[~possible] = -np.inf
+    exact, _ = _seeds(bound, possible, q.m, c.m, k)
+    return np.repeat(q.ids, exact.shape[1]), (exact - slack).reshape(-1)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, candidate_rows: int = 4096, query_rows: int = 1024,
@@ -126,20 +181,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, candidate_rows: in
     groups = -(-q_blocks // group_blocks)
     left = c.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = (q.withColumn("group", F.floor(F.col("block") / group_blocks).cast("int"))
-              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long")))))
+              .withColumnRenamed("block", "q_block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long")))))
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
+    key, names = ["dim", "block", "group"], ("query_id", "vec_id", "score")
+
+    def pairs(a: pd.DataFrame, b: pd.DataFrame):
         for _, cand in a.iterrows():
-            c_ids, cm = _open(cand)
+            candidates = Vectors(*_open(cand))
             for _, query in b.iterrows():
-                q_ids, qm = _open(query)
-                for i in range(0, len(q_ids), 256):
-                    found.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), block_top(q_ids[i:i + 256], qm[i:i + 256], c_ids, cm, k)))))
-        return pd.concat(found) if found else pd.DataFrame({x: pd.Series(dtype="int64") for x in ("query_id", "vec_id", "score")})
+                ids, m = _open(query)
+                for i in range(0, len(ids), 256):
+                    yield query, Vectors(ids[i:i + 256], m[i:i + 256]), candidates
+
+    def name_seeds(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [block_seeds(x, y, k) for _, x, y in pairs(a, b)]
+        dim = int(a["dim"].iloc[0]) if len(a) else 0
+        ids, least = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"dim": np.full(len(ids), dim, np.int32), "query_id": ids, "least": least})
 
-    key = ["dim", "block", "group"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score long")
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for query, x, y in pairs(a, b):
+            known = dict(zip(query["known_ids"], query["known"])) if query["known_ids"] is not None else {}
+            start = np.array([known.get(i, -np.inf) for i in x.ids.tolist()])
+            found.append(pd.DataFrame(dict(zip(names, block_top(x, y, k, start)))))
+        return pd.concat(found) if found else pd.DataFrame({x: pd.Series(dtype="int64") for x in names})
+
+    met = left.groupBy(*key)
+    seeds = met.cogroup(right.groupBy(*key)).applyInPandas(name_seeds, "dim int, query_id long, least double")
+    place = Window.partitionBy("dim", "query_id").orderBy(F.desc("least"))
+    known = (seeds.withColumn("n", F.row_number().over(place)).where(F.col("n") == k)
+             .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)))
+             .groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("query_id", "least"))).alias("known"))     # a block's queries
+             .select("dim", F.col("block").alias("q_block"), F.col("known.query_id").alias("known_ids"), F.col("known.least").alias("known")))
+    started = right.join(stage(known, "topk-known"), ["dim", "q_block"], "left")
+    found = met.cogroup(started.groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from framewise.llm.topk import quantised, top_k
+from framewise.llm.topk import Vectors, block_seeds, block_top, quantised, survivors, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
 
@@ -42,3 +44,22 @@ def test_against_brute_force(spark):
     assert run(spark, rows, candidate_rows=32, query_rows=2, group_blocks=2) == brute(rows)
     assert run(spark, rows[:4]) == brute(rows[:4])                         # fewer than k
     assert run(spark, []) == []
+
+
+def test_bounds_drop_most_pairs_of_clustered_vectors():
+    """Fifty tight clusters: at least nine pairs of ten need no exact score, with
+    or without a threshold from other blocks, and the answers are exact."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 200, (50, 64))
+    m = np.floor(centres[rng.integers(0, 50, 4352)] + rng.normal(0, 8, (4352, 64)))
+    c, q = Vectors(np.arange(4096), m[:4096]), Vectors(np.arange(4096, 4352), m[4096:])
+    exact = (q.m @ c.m.T).astype(int)
+    kth = np.sort(exact, axis=1)[:, -5]
+    for known in (np.full(256, -np.inf), kth - 1e-9):
+        alive, possible = survivors(q, c, 5, known)
+        assert possible.sum() <= 0.1 * exact.size
+        qi, ci, score = block_top(q, c, 5, known)
+        want = {(int(q.ids[i]), int(j), int(exact[i, j])) for i in range(256) for j in np.lexsort((c.ids, -exact[i]))[:5]}
+        assert set(zip(qi.tolist(), ci.tolist(), score.tolist())) == want
+    ids, least = block_seeds(q, c, 5)
+    assert (np.bincount(ids - 4096) == 5).all() and (np.sort(least.reshape(256, 5), axis=1)[:, 0] <= kth).all()
