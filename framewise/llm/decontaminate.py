@@ -12,8 +12,8 @@ fewer than ``window`` words are one run; their lengths are tested at every
 position.
 
 Defined cases: NULL or empty texts have no words, an item without words never
-occurs, items with a NULL id are left out, repeated documents are separate
-rows, an empty benchmark hits nothing, other columns are ignored.
+occurs, an item with a NULL id hits like any other but is on no list of items,
+repeated documents are separate rows, an empty benchmark hits nothing, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def benchmark_runs(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
                 for r in range(s.last - s.first):
                     a, b = int(w.bounds[r]), int(w.bounds[r + 1])
                     n = min(window, b - a)
-                    if n == 0 or ids[s.first + r] is None:
+                    if n == 0:
                         continue
                     item = ids[s.first + r]
                     full = gram_hashes(h[a:b], n)

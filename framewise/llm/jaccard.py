@@ -17,9 +17,10 @@ all pairs.
 
 Defined cases: NULL, empty and wordless texts have the empty set, link with
 nothing and are their own component; fewer words than a shingle make one
-shingle of the whole sequence; rows that share a doc_id are one node; a row
-with a NULL doc_id joins the component of its equals, else NULL; empty tables
-give empty results; other columns are ignored.
+shingle of the whole sequence; rows that share a doc_id are one document, so
+links of any of them join all; a row with a NULL doc_id links like any other,
+its component is named by the least doc_id in it, or NULL; empty tables give
+empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -220,13 +221,13 @@ def _with_centers(entries: DataFrame, labels: DataFrame | None, past: int, upto:
     return side(marked, "x").join(side(marked.where(F.col("rank") <= upto), "y"), "token").where("x_component <> y_component")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (staged) that really link.  Sets are made again for the
     classes in the pairs alone; a bitmap over their least doc_ids spares the
     other texts."""
-    ids = pairs.select(F.col("a").alias("key"), F.col("a_rep").alias("rep")) \
-        .unionByName(pairs.select(F.col("b").alias("key"), F.col("b_rep").alias("rep")))
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap.build(ids, slot_of("rep"), TOKEN_BITS))
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    ids = keys.join(classes.select("key", "first_id"), "key")
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap.build(ids, slot_of("first_id"), TOKEN_BITS))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +235,6 @@ def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
             found = [(set_key(s), s.tobytes()) for _, s in shingle_sets(some.column(1), rule.n)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["key", "members"])
 
-    keys = ids.select("key").distinct()
     sets = stage(texts.select(slot_of("doc_id").alias("slot"), "text").mapInArrow(fetch, "key binary, members binary")
                  .dropDuplicates(["key"]).join(keys, "key", "left_semi"), "jaccard-sets")
 
@@ -294,13 +294,27 @@ def _between_components(entries: DataFrame, labels: DataFrame, classes: DataFram
         .repartition(tasks, "token", "i", "j").groupBy("token", "i", "j").applyInPandas(cross, PAIR_SCHEMA).dropDuplicates(["a", "b"])
 
 
+def _one_document(filled: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Edges between the classes of rows that share a doc_id; None where no
+    doc_id has two texts."""
+    shared = stage(filled.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+                   .where("lo < hi"), "jaccard-shared")
+    if shared.isEmpty():
+        return None
+    rep = classes.select("key", "rep")
+    return (filled.join(shared.select("doc_id", "lo"), "doc_id").select("lo", "key").distinct()
+            .join(rep.withColumnRenamed("rep", "v"), "key").drop("key")
+            .join(rep.select(F.col("key").alias("lo"), F.col("rep").alias("u")), "lo").select("u", "v"))
+
+
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), centers: tuple[int, ...] = (2, 16)) -> DataFrame:
     """Per document row: doc_id, n_shingles and component_id."""
     texts = doc_texts(docs)
-    rows = stage(prefixes(texts, shingle_sketch(texts, rule.n), rule), "jaccard-rows")
-    classes = stage(rows.where("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shape").alias("shape"))
-        .where("rep is not null"), "jaccard-classes")
+    rows = stage(prefixes(texts, shingle_sketch(texts, rule.n), rule).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    filled = rows.where("n > 0")
+    classes = stage(filled.groupBy("key").agg(
+        F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+        F.first("shape").alias("shape")), "jaccard-classes")
     common = stage(_entries(classes, None).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "jaccard-common")
     keep = bitmap.build(common, F.expr(f"token & {(1 << TOKEN_BITS) - 1}L"), TOKEN_BITS)
     kept = stage(_entries(classes, keep).join(common, "token", "left_semi"), "jaccard-entries")
@@ -315,10 +329,19 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), centers: tuple[int,
         pairs = stage(found, "jaccard-pairs")
         if labels is not None and pairs.isEmpty():
             continue
-        new = verify(pairs, texts, rule).select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
+        new = verify(pairs, texts, classes, rule).select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
         links = new if links is None else links.unionByName(new)
         labels = stage(components(links), "jaccard-labels")
-    named = classes.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("key", F.coalesce("component", "rep").alias("component"))
-    return rows.join(named, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    if (same := _one_document(filled, classes)) is not None:
+        labels = stage(components(links.unionByName(same)), "jaccard-labels")
+    named = classes.select("key", "rep", "first_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
+        .withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = named.select("key", "component").join(least, "component").select("key", "component_id")
+    # a row without words still belongs to the document whose id it bears
+    empty = rows.where("n = 0").select("doc_id", "n")
+    bears = filled.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("key").alias("key")) \
+        .join(named, "key").select("doc_id", "component_id")
+    return filled.select("doc_id", "n", "key").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id") \
+        .unionByName(empty.join(bears, "doc_id", "left").select(
+            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))

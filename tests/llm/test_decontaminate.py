@@ -17,8 +17,8 @@ def brute(docs, items):
     for i, t in items:
         w = words(t)
         n = min(10, len(w))
-        if n and i is not None:
-            runs += [(n, tuple(w[a:a + n]), str(i)) for a in range(len(w) - n + 1)]
+        if n:
+            runs += [(n, tuple(w[a:a + n]), i) for a in range(len(w) - n + 1)]
     out = []
     for i, t, _ in docs:
         w, hit, found = words(t), set(), set()
@@ -26,7 +26,7 @@ def brute(docs, items):
             for a in range(len(w) - n + 1):
                 if tuple(w[a:a + n]) == run:
                     hit |= set(range(a, a + n))
-                    found.add(item)
+                    found |= {str(item)} if item is not None else set()
         out.append((i, len(w), len(hit), tuple(sorted(found))))
     return sorted(out, key=str)
 

@@ -13,7 +13,7 @@ def brute(rows, n=3, num=90, den=100):
     for _, t, _ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
-    parent = {i: i for i, _, _ in rows if i is not None}
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
@@ -22,15 +22,15 @@ def brute(rows, n=3, num=90, den=100):
 
     for a in range(len(rows)):
         for b in range(a):
-            x, y = rows[a][0], rows[b][0]
-            if sets[a] and sets[b] and x is not None and y is not None and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
-                x, y = find(x), find(y)
+            linked = sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])
+            if linked or rows[a][0] is not None and rows[a][0] == rows[b][0]:
+                x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    out = []
-    for (i, _, _), s in zip(rows, sets):
-        same = [r[0] for r, t in zip(rows, sets) if t == s and s and r[0] is not None]
-        out.append((i, len(s), find(i) if i is not None else find(min(same)) if same else None))
-    return sorted(out, key=str)
+    ids = {}
+    for a, (i, _, _) in enumerate(rows):
+        if i is not None:
+            ids[find(a)] = min(i, ids.get(find(a), i))
+    return sorted(((i, len(sets[a]), ids.get(find(a))) for a, (i, _, _) in enumerate(rows)), key=str)
 
 
 def result(docs, **options):
@@ -85,3 +85,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (7, 7), (None, 3)] + [(500, 500 + i) for i in range(1, 50)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 150: 100, 200: 100, **{500 + i: 500 for i in range(50)}}
+
+
+def test_rows_of_one_document_and_bridges_without_id(make_docs):
+    one, two = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    shared = [(1, one, "s"), (5, one, "s"), (5, two, "s"), (9, two, "s"), (9, "", "s"), (12, None, "s")]
+    assert result(make_docs(shared)) == brute(shared)
+    assert {r[0]: r[2] for r in result(make_docs(shared))} == {1: 1, 5: 1, 9: 1, 12: 12}
+    base = [f"c{i}" for i in range(200)]
+    edit = lambda at: " ".join(x if i not in at else f"new{i}" for i, x in enumerate(base))
+    for middle in (2, None):
+        chain = [(1, edit({0}), "s"), (middle, edit({0, 199}), "s"), (3, edit({199, 100, 0}), "s"), (None, "alone in its words", "s")]
+        assert result(make_docs(chain)) == brute(chain)
