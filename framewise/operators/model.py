@@ -153,7 +153,20 @@ def boost(fit: DataFrame, validation: DataFrame, max_iter: int, patience: int, *
         if rounds >= max_iter or rounds - best >= patience:
             break
         rounds = min(max_iter, 2 * rounds)
-    return (model if best in (0, rounds) else gbt.setMaxIter(best).fit(fit)), losses
+    return (model if best in (0, rounds) else first_trees(model, best)), losses
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model that ends after ``n`` trees.  Spark has no public way to cut a
+    fitted model, so its JVM constructor is called with fewer trees."""
+    java, gateway = model._java_obj, SparkSession.getActiveSession().sparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], float(java.treeWeights()[i])
+    cut = GBTRegressionModel(gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
+    cut.setFeaturesCol(model.getFeaturesCol())
+    return cut
 
 
 def train_forecaster(train: DataFrame, feature_cols: list[str] | None = None, **params) -> Forecaster:

@@ -119,8 +119,8 @@ def test_early_stopping_waits_and_keeps_the_best_round(spark):
     assert best > 3 and losses[best - 1] < losses[0]
     # the path of a longer fit starts as that of a shorter one, so stages agree
     longer = GBTRegressor(featuresCol="features", labelCol="label", maxIter=len(losses), **args).fit(fit)
-    assert list(longer.evaluateEachIteration(validation, "squared"))[:5] == losses[:5]
-    assert model.evaluateEachIteration(validation, "squared")[-1] == min(losses)
+    assert list(longer.evaluateEachIteration(validation, "squared"))[:5] == pytest.approx(losses[:5])
+    assert model.evaluateEachIteration(validation, "squared")[-1] == pytest.approx(min(losses))
 
 
 def test_best_round():
