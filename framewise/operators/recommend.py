@@ -12,11 +12,13 @@ from framewise.functions.expr import (
 from framewise.functions.ranks import avg_tie_pct_rank
 from framewise.operators.supply import supplier_risk_scores
 
+# Urgency bands and the costs that order quantities assume.
 URGENCY_EDGES = [0.25, 0.50, 0.75]
 URGENCY_LABELS = ["low", "medium", "high", "critical"]
 ORDERING_COST = 150.0
 UNIT_COST_BASE = 80.0
 
+# The columns of the buy list, in order.
 BUY_COLUMNS = [
     "sku_id", "name", "frame_shape", "material", "color", "price_point",
     "current_stock", "projected_demand_90d", "gap", "recommended_qty",
@@ -38,6 +40,7 @@ def inventory_by_sku(inventory: DataFrame) -> DataFrame:
 def demand_signal_drivers(velocity_score="velocity_score", days_of_supply="days_of_supply",
                           gap="gap", reliability="reliability_score") -> F.Column:
     """First three triggered drivers, else ``standard_replenishment``."""
+    # Thresholds and labels, in order.
     arr = conditional_list([
         (F.col(velocity_score) > 0.7, "high_velocity"),
         (F.col(days_of_supply) < 14, "critical_stock"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from framewise.operators.signals import sales_velocity
 
+# The columns that a recommendation shows, in order.
 REC_DISPLAY_COLUMNS = [
     "sku_id", "name", "frame_shape", "urgency_band", "recommended_qty",
     "estimated_cost_usd", "estimated_margin_usd", "margin_pct",
