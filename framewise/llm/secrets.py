@@ -2,11 +2,16 @@
 
 Three patterns give the base spans.  A chain model over tokens with the tags
 outside, begin and inside adds more: its features are a token's shape (length,
-character classes, changes between them, hexadecimal or not), the word and the
-punctuation before it, the punctuation after it, and how dense the text is in
-digits.  It is trained here on a bounded sample of texts (``sample_docs``, at
-most ``max_windows`` token windows) whose base spans serve as tags, by gradient ascent on the exact
-log-likelihood, and decoded by Viterbi over every whole text.
+character classes, changes between them and their rate, share of digits and of
+vowels, joints such as "_", hexadecimal or not), the word and the punctuation before and after it,
+whether it begins or ends a line, and what kind of file it stands in (how dense
+the text is in digits, code marks and line ends).
+
+It is trained on bounded samples drawn by hash over the whole corpus: windows
+with a base span (``tagged`` at most, each also with its pattern hidden, see
+:mod:`framewise.llm.secret_examples`) and windows of any text without one
+(``plain`` at most, each also with harmless look-alikes), by gradient ascent
+on the exact log-likelihood, and decoded by Viterbi over every whole text.
 
 Most tokens are so clearly outside that every best path passes through
 "outside" there: where its margin exceeds the largest possible gain from the
@@ -14,12 +19,13 @@ transitions, the chain falls apart, and only the stretches between such tokens
 are decoded.  This is exact, not a beam.
 
 Defined cases: NULL and empty texts have no spans; repeated rows are scored
-separately; an empty table, or a sample without base spans, leaves a model
-that adds nothing.  Other columns are ignored.
+separately and teach once; an empty table, or one without base spans, leaves a
+model that adds nothing.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.llm.common import doc_texts
+from framewise.llm.common import doc_texts, stage
+from framewise.llm.secret_examples import decoyed, hidden
 from framewise.llm.tokens import LOWER, U, slices, word_hashes, words
 
 # Fixed patterns of the scan; group 2 of ASSIGN has at least 6 characters.
@@ -39,19 +46,28 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")       # AKIA[A-Z0-9]+ of 20 and more: runs are maximal
 HEX = re.compile(r"[0-9a-f]{24,}")              # [0-9a-f]+ of 24 and more: runs are maximal
 KINDS = ("assign", "access", "hex", "crf")
+# True for every text with a base span, and few others: chooses texts to learn from.
+MAY_HOLD = (r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}""",
+            r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}")
 
 TOKEN = np.zeros(256, bool)
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-":
     TOKEN[_c] = True
 TOKEN[0x80:] = True
 DIGIT, UPPER, LOW, HEXA = (np.zeros(256, np.int32) for _ in range(4))
+VOWEL = np.isin(np.arange(256), list(b"AEIOUYaeiouy")).astype(np.int32)
+JOINT = np.isin(np.arange(256), list(b"+/_-")).astype(np.int32)
+BEYOND = (np.arange(256) >= 0x80).astype(np.int32)
+CODE = np.isin(np.arange(256), list(b"{};<>=")).astype(np.int32)
 DIGIT[48:58] = UPPER[65:91] = LOW[97:123] = HEXA[48:58] = HEXA[97:103] = 1
 
 # Feature blocks: (name, width); a token has one active feature in each.
-BLOCKS = (("length", 12), ("classes", 32), ("hex", 8), ("changes", 24), ("gap", 16), ("before", 4096),
-          ("before_gap", 4096), ("after", 4), ("density", 4))
+BLOCKS = (("length", 12), ("classes", 32), ("hex", 8), ("changes", 24), ("rate", 224), ("vowels", 40), ("joints", 80), ("digits", 20), ("gap", 16),
+          ("before", 4096), ("before_gap", 4096), ("after", 4), ("following", 4096), ("line", 4), ("file", 36))
 OFFSETS = np.concatenate([[0], np.cumsum([n for _, n in BLOCKS])])
 WINDOW = 24
+HIDDEN = 8              # versions of a tagged text with the pattern hidden
+DECOYED = 3             # versions of any text with look-alikes
 OUT, BEGIN, INSIDE = 0, 1, 2
 
 SCAN_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base array<string>, spans array<string>"
@@ -77,7 +93,8 @@ def features(data: np.ndarray, offsets: np.ndarray):
     s, e = w.starts, w.ends
     n = len(s)
     length = e - s
-    count = {k: _prefix(t, data) for k, t in (("d", DIGIT), ("u", UPPER), ("l", LOW), ("x", HEXA))}
+    count = {k: _prefix(t, data) for k, t in (("d", DIGIT), ("u", UPPER), ("l", LOW), ("x", HEXA),
+                                               ("v", VOWEL), ("b", BEYOND), ("j", JOINT))}
     inside = lambda k: count[k][e] - count[k][s]
     digits, upper, lower, hexa = inside("d"), inside("u"), inside("l"), inside("x")
     kind = DIGIT[data] + 2 * UPPER[data] + 3 * LOW[data]
@@ -92,24 +109,37 @@ def features(data: np.ndarray, offsets: np.ndarray):
     last = (w.bounds[1:][row] - 1) == np.arange(n) if n else np.zeros(0, bool)
     gap_from = np.where(first, offsets[row], np.concatenate([[0], e[:-1]])[:n]) if n else s
     gap_to = np.where(last, offsets[row + 1], np.concatenate([s[1:], [0]])[:n]) if n else s
-    marks = {c: _prefix((np.arange(256) == c).astype(np.int32), data) for c in b":='\""}
+    marks = {c: _prefix((np.arange(256) == c).astype(np.int32), data) for c in b":='\"\n"}
     has = lambda c, a, b: marks[c][b] > marks[c][a]
     gap = (has(58, gap_from, s) + 2 * has(61, gap_from, s) + 4 * (has(39, gap_from, s) | has(34, gap_from, s))
            + 8 * (s - gap_from > 1))
     after = (has(39, e, gap_to) | has(34, e, gap_to)) + 2 * (gap_to - e > 1)
     h = word_hashes(LOWER[data], w)
     before = np.where(first, U(0), np.concatenate([[U(0)], h[:-1]])[:n]) if n else h
+    following = np.where(last, U(0), np.concatenate([h[1:], [U(0)]])[:n]) if n else h
+    line = (first | has(10, gap_from, s)) + 2 * (last | has(10, e, gap_to))
     size = np.maximum(np.diff(offsets), 1)
-    density = np.digitize((count["d"][offsets[1:]] - count["d"][offsets[:-1]]) / size, [0.01, 0.05, 0.2])
+    dense = lambda c, at: np.digitize((c[offsets[1:]] - c[offsets[:-1]]) / size, at)
+    file = (dense(count["d"], [0.01, 0.05, 0.2]) + 4 * dense(_prefix(CODE, data), [0.005, 0.03])
+            + 12 * dense(marks[10], [0.005, 0.03]))
+    rate = np.digitize(turns / np.maximum(length - 1, 1), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
+    voiced = np.digitize(inside("v") / np.maximum(upper + lower, 1), [0.12, 0.22, 0.3, 0.4])
+    share = np.digitize(digits / np.maximum(length, 1), [0.001, 0.1, 0.4, 0.8])
     f = np.stack([
         np.digitize(length, [2, 3, 4, 6, 8, 10, 13, 17, 21, 33, 41]),
         classes + 8 * long_,
         (hexa == length) + 2 * long_,
         np.minimum(turns, 5) + 6 * long_,
+        rate + 7 * classes + 56 * long_,
+        voiced + 5 * long_ + 20 * (inside("b") > 0),
+        np.minimum(inside("j"), 3) + 4 * (voiced + 5 * long_),
+        share + 5 * long_,
         gap,
         (before >> U(52)).astype(np.int64),
         ((before * U(0x9E3779B97F4A7C15) + gap.astype(U)) * U(0xD6E8FEB86659FD93) >> U(52)).astype(np.int64),
-        after, density[row] if n else np.zeros(0, np.int64)], axis=1) + OFFSETS[:-1]
+        after,
+        (following >> U(52)).astype(np.int64),
+        line, file[row] if n else np.zeros(0, np.int64)], axis=1) + OFFSETS[:-1]
     return w, f
 
 
@@ -161,9 +191,11 @@ class Chain:
         return out[::-1]
 
 
-def fit(f: np.ndarray, tags: np.ndarray, steps: int = 120, rate: float = 0.15, ridge: float = 2e-4) -> Chain:
-    """Exact maximum-likelihood fit (forward-backward, Adam) on windows of
-    ``WINDOW`` tokens; tag -1 pads."""
+def fit(f: np.ndarray, tags: np.ndarray, steps: int = 60, rate: float = 0.2, ridge: float = 2e-5,
+        miss: float = 5.0) -> Chain:
+    """Exact softmax-margin fit (forward-backward, Adam) on windows of
+    ``WINDOW`` tokens; tag -1 pads.  While learning, "outside" is worth ``miss``
+    more at every secret token, so the true tag must win by that much."""
     width = int(OFFSETS[-1])
     weights, moves = np.zeros((width, 3)), np.zeros((3, 3))
     if not (tags > 0).any():
@@ -174,28 +206,29 @@ def fit(f: np.ndarray, tags: np.ndarray, steps: int = 120, rate: float = 0.15, r
     y = np.eye(3)[np.maximum(tags, 0)] * real[..., None]
     pair = np.einsum("nti,ntj->ij", y[:, :-1], y[:, 1:])
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
-    flat = f.reshape(-1, f.shape[-1])
+    columns = np.ascontiguousarray(f.reshape(-1, f.shape[-1]).T)
     for step in range(1, steps + 1):
-        s = weights[f].sum(axis=2) * real[..., None]
-        lse = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
-        alpha = np.zeros((n, t, 3))
-        beta = np.zeros((n, t, 3))
-        alpha[:, 0] = s[:, 0]
+        s = sum(weights[c] for c in columns).reshape(n, t, 3) * real[..., None]
+        s[..., OUT] += miss * (tags > 0)
+        step_to = np.exp(moves)
+        e = np.exp(s - s.max(axis=2, keepdims=True))
+        unit = lambda x: x / x.sum(axis=-1, keepdims=True)
+        alpha, beta = np.ones((n, t, 3)), np.ones((n, t, 3))
+        alpha[:, 0] = unit(e[:, 0])
         for i in range(1, t):
-            way = lse(alpha[:, i - 1][:, :, None] + moves, 1) + s[:, i]
-            alpha[:, i] = np.where(real[:, i, None], way, alpha[:, i - 1])
+            alpha[:, i] = np.where(real[:, i, None], unit(alpha[:, i - 1] @ step_to * e[:, i]), alpha[:, i - 1])
         for i in range(t - 2, -1, -1):
-            way = lse(moves + (beta[:, i + 1] + s[:, i + 1])[:, None, :], 2)
-            beta[:, i] = np.where(real[:, i + 1, None], way, beta[:, i + 1])
-        total = lse(alpha[:, -1] + 0.0, 1)
-        p = np.exp(alpha + beta - total[:, None, None]) * real[..., None]
-        both = alpha[:, :-1, :, None] + moves + (s + beta)[:, 1:, None, :] - total[:, None, None, None]
-        joint = (np.exp(both) * real[:, 1:, None, None]).sum(axis=(0, 1))
+            beta[:, i] = np.where(real[:, i + 1, None], unit((e[:, i + 1] * beta[:, i + 1]) @ step_to.T), beta[:, i + 1])
+        p = unit(alpha * beta) * real[..., None]
+        left, right = alpha[:, :-1].reshape(-1, 3), (e * beta)[:, 1:].reshape(-1, 3)
+        weight = real[:, 1:].reshape(-1) / (left @ step_to * right).sum(axis=1)
+        joint = step_to * ((left * weight[:, None]).T @ right)
         grad_w = np.zeros_like(weights)
         gap = (y - p).reshape(-1, 3)
-        for j in range(flat.shape[1]):
+        for j, c in enumerate(columns):
+            at = slice(OFFSETS[j], OFFSETS[j + 1])
             for k in range(3):
-                grad_w[:, k] += np.bincount(flat[:, j], gap[:, k], minlength=width)
+                grad_w[at, k] = np.bincount(c - OFFSETS[j], gap[:, k], minlength=BLOCKS[j][1])
         for x, g, m, v in ((weights, grad_w / n - ridge * weights, state[0], state[1]),
                            (moves, (pair - joint) / n - ridge * moves, state[2], state[3])):
             m += 0.1 * (g - m)
@@ -204,52 +237,74 @@ def fit(f: np.ndarray, tags: np.ndarray, steps: int = 120, rate: float = 0.15, r
     return Chain(weights.astype(np.float32), moves)
 
 
-def _token_tags(text: str, data: np.ndarray, w, a: int, b: int, at: int) -> np.ndarray:
-    """Tags of tokens a..b of the text at byte ``at`` from its base spans: the
-    value part of an assignment, the whole of the others."""
-    spans = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    spans += [m.span() for p in (ACCESS, HEX) for m in p.finditer(text)]
-    tags = np.zeros(b - a, np.int8)
-    for lo, hi in sorted(spans):
-        lo, hi = at + len(text[:lo].encode()), at + len(text[:hi].encode())
-        inside = np.flatnonzero((w.starts[a:b] < hi) & (w.ends[a:b] > lo))
+def _values(text: str) -> list[tuple[int, int, int]]:
+    """(start, value, end) of the base spans: the value is what follows an
+    assignment's separator, the whole of the others."""
+    spans = [(m.start(), m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    return sorted(spans + [(m.start(), m.start(), m.end()) for p in (ACCESS, HEX) for m in p.finditer(text)])
+
+
+def _tagged(text: str, values: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and tags of a text's tokens, given where its secrets lie."""
+    s = next(iter(slices(pa.array([text], pa.string()))))
+    w, f = features(s.data, s.offsets)
+    tags = np.zeros(len(f), np.int8)
+    for lo, hi in values:
+        lo, hi = len(text[:lo].encode()), len(text[:hi].encode())
+        inside = np.flatnonzero((w.starts < hi) & (w.ends > lo))
         if len(inside):
             tags[inside] = INSIDE
             tags[inside[0]] = BEGIN
-    return tags
-
-
-def train(docs: DataFrame, sample_docs: int = 20_000, max_windows: int = 8_000) -> Chain:
-    """Fit the chain on windows of at most ``sample_docs`` texts, least hash
-    of doc_id first: every window with a tag, and one other per text, at most
-    ``max_windows`` of them (least hash first)."""
-    texts = doc_texts(docs)
-    order = F.xxhash64("doc_id", F.lit(5))
-    ids = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(sample_docs)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    return f, tags
+
+
+def _windows(text: str, key: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(tagged, features, tags) of a text's training windows: all with a base
+    span, as they are and with the pattern hidden, and one without, as it is
+    and with look-alikes."""
+    rng = random.Random(key)
+    spans = _values(text)
+    versions = [(text, [(v, e) for _, v, e in spans])]
+    if spans:
+        versions += [hidden(text, spans, rng) for _ in range(HIDDEN)]
+    for version, values in versions:
+        f, tags = _tagged(version, values)
+        for at in sorted({int(i) - int(i) % WINDOW for i in np.flatnonzero(tags)}):
+            yield True, f[at:at + WINDOW], tags[at:at + WINDOW]
+    for version in (text, *(decoyed(text, rng) for _ in range(DECOYED))):
+        f, tags = _tagged(version, [(v, e) for _, v, e in _values(version)])
+        free = [at for at in range(0, len(f), WINDOW) if not tags[at:at + WINDOW].any()]
+        if free:
+            at = rng.choice(free)
+            yield False, f[at:at + WINDOW], tags[at:at + WINDOW]
+
+
+def train(docs: DataFrame, tagged: int = 2_000, plain: int = 2_000) -> Chain:
+    """Fit the chain on at most ``tagged`` windows with a secret and ``plain``
+    others, from as many distinct texts with and of any kind, least hash first
+    over the whole corpus; copies of a text count once."""
+    texts = doc_texts(docs).withColumn("key", F.xxhash64("text", F.lit(5)))
+    may_hold = F.lit(False)
+    for pattern in MAY_HOLD:
+        may_hold = may_hold | F.col("text").rlike(pattern)
+    least = lambda rows, n: rows.select("key").distinct().orderBy("key").limit(n)
+    keys = least(texts.where(may_hold), tagged).union(least(texts, plain)).distinct()
+    packed = pa.schema([("secret", pa.bool_()), ("tie", pa.int64()), ("f", pa.binary()), ("tags", pa.binary())])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            column = batch.column(1)
-            for s in slices(column):
-                w, f = features(s.data, s.offsets)
-                for r in range(s.last - s.first):
-                    a, b = int(w.bounds[r]), int(w.bounds[r + 1])
-                    if a == b:
-                        continue
-                    tags = _token_tags(column[s.first + r].as_py(), s.data, w, a, b, int(s.offsets[r]))
-                    starts = {max(0, int(i) - int(i) % WINDOW) for i in np.flatnonzero(tags)}
-                    key = int(f[a:b].sum()) * 0x9E3779B1 % (1 << 31)
-                    plain = key % (b - a) // WINDOW * WINDOW
-                    for at in sorted(starts | {plain}):
-                        out.append({"tie": (key + at) * 0x85EBCA6B % (1 << 31), "f": f[a + at:min(b, a + at + WINDOW)].astype(np.int32).tobytes(),
-                                    "tags": tags[at:at + WINDOW].tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("tie", pa.int64()), ("f", pa.binary()), ("tags", pa.binary())]))
-
-    rows = (texts.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(build, "tie long, f binary, tags binary")
-                 .orderBy("tie", "f").limit(max_windows).collect())
+            for text, key in zip(batch.column(0), batch.column(1).to_pylist()):
+                out = [{"secret": found, "tie": (key + i) * 0x9E3779B1 % (1 << 31), "f": f.astype(np.int32).tobytes(), "tags": t.tobytes()}
+                       for i, (found, f, t) in enumerate(_windows(text.as_py(), key))]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=packed)
+
+    windows = stage(texts.join(F.broadcast(keys), "key", "left_semi").select("text", "key")
+                         .mapInArrow(build, "secret boolean, tie long, f binary, tags binary").distinct(), "secret-windows")
+    rows = [r for kind, n in ((True, tagged), (False, plain))
+            for r in windows.where(F.col("secret") == kind).orderBy("tie", "f").limit(n).collect()]
     n = len(rows)
-    f = np.zeros((max(n, 1), WINDOW, len(BLOCKS)), np.int64)
+    f = np.zeros((max(n, 1), WINDOW, len(BLOCKS)), np.int64) + OFFSETS[:-1]
     tags = np.full((max(n, 1), WINDOW), -1, np.int8)
     for i, r in enumerate(rows):
         t = np.frombuffer(r["tags"], np.int8)

@@ -17,13 +17,18 @@ def brute(text):
     return [f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out)]
 
 
-def docs_with_secrets():
+WORDS = ("alpha", "beta", "gamma", "été", "delta,")
+PROSE = """river stone walks quickly through quiet forests while twenty birds sing about warm summer rain and children
+build small wooden boats from old planks beside the harbour where fishermen mend nets every morning before sunrise""".split()
+
+
+def docs_with_secrets(vocabulary=WORDS):
     rng = random.Random(3)
     key = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
     mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     rows = []
     for i in range(300):
-        w = [rng.choice(["alpha", "beta", "gamma", "été", "delta,"]) for _ in range(40)]
+        w = [rng.choice(vocabulary) for _ in range(40)]
         if i % 3 == 0:
             w[20:20] = [rng.choice(["password=", 'token = "', "API_KEY: '", "secret:"]) + key(32, mixed)]
         if i % 5 == 0:
@@ -67,6 +72,41 @@ def test_chain_finds_what_the_rules_miss(make_docs):
     assert not any(found[i] for i in plain)         # clean texts stay clean
 
 
+def test_recall_beyond_the_patterns(make_docs):
+    """Secrets that no pattern sees, in texts and forms that the chain was not
+    trained on; look-alikes and clean texts stay untouched."""
+    chain = S.train(make_docs(docs_with_secrets(PROSE)[:-1]))
+    rng = random.Random(11)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ("credential {}", "Authorization: Bearer {}", 'my key is "{}"', "ghp_{}", "'auth' => '{}'", "export AWS_KEY={}", "pwd {}")
+    rows, at = [], {}
+    for i in range(210):
+        w = [rng.choice(["the", "river", "ran", "slowly", "past", "Häuser", "and", "fields."]) for _ in range(60)]
+        value = "".join(rng.choices(mixed, k=rng.choice((24, 32, 40))))
+        w[rng.randrange(60)] = forms[i % len(forms)].format(value)
+        text = " ".join(w)
+        at[i] = (text.index(value), text.index(value) + len(value))
+        assert brute(text) == []
+        rows.append((i, text, "s"))
+    harmless = ["getRiverNameFromFields", "river_ran_slowly_12", "2024-10-31", "https://www.river.org/fields/past-12", "+49-171-5550100",
+                "ab.12@river1.example.com", "4556737586899855", "THE_RIVER_RAN", "river/fields/past.txt"]
+    for i in range(300, 400):
+        w = [rng.choice(["the", "river", "ran", "slowly", "past", "Häuser", "and", "fields."]) for _ in range(60)]
+        w[rng.randrange(60)] = rng.choice(harmless)
+        rows.append((i, " ".join(w), "s"))
+    found = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"]] for r in S.scan(make_docs(rows), chain).collect()}
+    hit = sum(any(a < at[i][1] and at[i][0] < b for a, b in found[i]) for i in at)
+    assert hit >= 0.9 * len(at)
+    assert sum(bool(found[i]) for i in range(300, 400)) <= 2
+
+
+def test_training_repeats_and_ignores_partitions_and_copies(make_docs):
+    rows = docs_with_secrets()[:60]
+    one = S.train(make_docs(rows).repartition(1))
+    many = S.train(make_docs(rows + rows[:20] * 3).repartition(7))
+    assert (one.weights == many.weights).all() and (one.moves == many.moves).all()
+
+
 def test_decoding_equals_full_viterbi():
     rng = np.random.default_rng(0)
     chain = S.Chain(np.zeros((1, 3), np.float32), rng.normal(size=(3, 3)))
