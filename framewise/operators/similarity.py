@@ -170,6 +170,19 @@ def _top_partners(profiles: DataFrame, members: DataFrame, queries: DataFrame, k
     return best
 
 
+def _top_table(asked: DataFrame, best: DataFrame, products: DataFrame, top_n: int) -> DataFrame:
+    """Partners of the SKUs in ``asked`` (sku_id, pid) from their profiles'."""
+    per_sku = asked.select("sku_id", "pid").join(best, "pid").where(F.col("sku_id") != F.col("similar_sku_id"))
+    w2 = Window.partitionBy("sku_id").orderBy(F.col("similarity_score").desc(), F.col("similar_sku_id"))
+    top = (per_sku.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= top_n)
+                  .select("sku_id", "rank", "similar_sku_id", "similarity_score"))
+    meta = products.select(F.col("sku_id").alias("similar_sku_id"), "frame_shape", "material", "color",
+                           "price_point")
+    return top.join(meta, "similar_sku_id", "left").select(
+        "sku_id", "rank", "similar_sku_id", "similarity_score", "frame_shape", "material", "color",
+        "price_point")
+
+
 def similar_skus_all(products: DataFrame, top_n: int = 5, only: F.Column | None = None) -> DataFrame:
     """Top-n most similar other SKUs for **every** SKU (A56), or for the SKUs
     for which ``only`` (over ``sku_id``) holds; ties broken by the smaller SKU
@@ -184,15 +197,7 @@ def similar_skus_all(products: DataFrame, top_n: int = 5, only: F.Column | None
     asked = skus if only is None else skus.where(only)
     queries = profiles if only is None else profiles.join(asked.select("pid").distinct(), "pid", "left_semi")
     best = _top_partners(profiles, members, queries, keep)
-    per_sku = asked.select("sku_id", "pid").join(best, "pid").where(F.col("sku_id") != F.col("similar_sku_id"))
-    w2 = Window.partitionBy("sku_id").orderBy(F.col("similarity_score").desc(), F.col("similar_sku_id"))
-    top = (per_sku.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= top_n)
-                  .select("sku_id", "rank", "similar_sku_id", "similarity_score"))
-    meta = products.select(F.col("sku_id").alias("similar_sku_id"), "frame_shape", "material", "color",
-                           "price_point")
-    return top.join(meta, "similar_sku_id", "left").select(
-        "sku_id", "rank", "similar_sku_id", "similarity_score", "frame_shape", "material", "color",
-        "price_point")
+    return _top_table(asked, best, products, top_n)
 
 
 def similar_skus(products: DataFrame, sku_id, top_n: int = 5) -> DataFrame:
@@ -203,6 +208,76 @@ def similar_skus(products: DataFrame, sku_id, top_n: int = 5) -> DataFrame:
     return similar_skus_all(products, top_n, only=F.col("sku_id") == target)
 
 
+@dataclass
+class SimilarityIndex:
+    """Partners of every profile, kept between runs.
+
+    ``skus`` has a row per SKU with its profile (sku_id, pid, p, k and the
+    attributes), ``partners`` the ``top_n + 1`` best SKUs of every profile.
+    Both grow with SKUs and profiles, never with pairs."""
+
+    skus: DataFrame
+    partners: DataFrame
+    top_n: int
+
+    @classmethod
+    def build(cls, products: DataFrame, top_n: int = 5) -> "SimilarityIndex":
+        checkpoint_dir(products.sparkSession)
+        skus, profiles, members = _profile_table(sku_profiles(products), top_n + 1)
+        profiles, members = profiles.checkpoint(), members.checkpoint()
+        return cls(skus.checkpoint(), _top_partners(profiles, members, profiles, top_n + 1), top_n)
+
+    def save(self, path: str) -> None:
+        """Write the index; rows of a profile lie together, so that a lookup
+        by ``pid`` skips the other files and row groups.  ``path`` must not
+        be the one this index was loaded from: Spark reads it while writing."""
+        for name, table in (("skus", self.skus), ("partners", self.partners)):
+            table.repartitionByRange("pid").sortWithinPartitions("pid").write.mode("overwrite").parquet(f"{path}/{name}")
+        self.skus.sparkSession.createDataFrame([(self.top_n,)], "top_n int").write.mode("overwrite").json(f"{path}/state")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "SimilarityIndex":
+        top_n = spark.read.schema("top_n int").json(f"{path}/state").first()["top_n"]
+        return cls(spark.read.parquet(f"{path}/skus"), spark.read.parquet(f"{path}/partners"), top_n)
+
+    def similar(self, products: DataFrame) -> DataFrame:
+        """As :func:`similar_skus_all`, from the index; the partners'
+        attributes come from ``products``."""
+        return _top_table(self.skus, self.partners, products, self.top_n)
+
+    def refresh(self, products: DataFrame) -> "SimilarityIndex":
+        """The index of the catalogue ``products``, which holds new SKUs.
+
+        Known profiles meet the new SKUs alone, and their lists are merged:
+        the best of old and new are among the best of each.  New profiles
+        search the whole catalogue.  Where an indexed SKU is gone or has
+        another profile (its attributes changed, or the price scale or a
+        constant attribute did, which moves all), the index is built anew."""
+        keep = self.top_n + 1
+        checkpoint_dir(products.sparkSession)
+        skus, profiles, members = _profile_table(sku_profiles(products), keep)
+        skus = skus.checkpoint()
+        if not self.skus.join(skus, ["sku_id", "pid"], "left_anti").isEmpty():
+            return self.build(products, self.top_n)
+        fresh = skus.join(self.skus, "sku_id", "left_anti")
+        if fresh.isEmpty():
+            return SimilarityIndex(skus, self.partners, self.top_n)
+        profiles, members = profiles.checkpoint(), members.checkpoint()
+        _, fresh_profiles, fresh_members = _profile_table(fresh.drop("pid"), keep)
+        fresh_profiles, fresh_members = fresh_profiles.checkpoint(), fresh_members.checkpoint()
+        known = self.skus.select("pid").distinct()
+        old = profiles.join(known, "pid", "left_semi").checkpoint()
+        unseen = profiles.join(known, "pid", "left_anti").checkpoint()
+        parts = [self.partners, _top_partners(fresh_profiles, fresh_members, old, keep)]
+        if not unseen.isEmpty():
+            parts.append(_top_partners(profiles, members, unseen, keep))
+        columns = ["pid", "similar_sku_id", "similarity_score"]
+        order = Window.partitionBy("pid").orderBy(F.col("similarity_score").desc(), "similar_sku_id")
+        merged = reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
+        best = merged.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n").checkpoint()
+        return SimilarityIndex(skus, best, self.top_n)
+
+
 def demand_spillover(products: DataFrame, inventory: DataFrame, query_skus: DataFrame,
                      min_similarity: float = 0.70) -> DataFrame:
     """For each of a short list of query SKUs: other SKUs with similarity >=

@@ -91,3 +91,29 @@ def test_spillover_equals_all_pairs(spark, kind, threshold):
     sure = {(a, b) for (a, b), v in score.items() if a in asked and v >= threshold + 1e-9}
     pairs = [(r["query_sku_id"], r["similar_sku_id"]) for r in got]
     assert len(pairs) == len(set(pairs)) and sure <= set(pairs) <= exp | {x for x in score if abs(score[x] - threshold) < 1e-9}
+
+
+def lists(df):
+    return sorted((r["sku_id"], r["rank"], r["similar_sku_id"], round(r["similarity_score"], 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("kind,cut", [("plain", 45), ("nulls", 59), ("hot profile", 30), ("one price", 0)])
+def test_index_saved_loaded_and_refreshed_equals_a_rebuild(spark, tmp_path, kind, cut):
+    rows = catalogue(kind)
+    whole = frame(spark, rows)
+    SIM.SimilarityIndex.build(frame(spark, rows[:cut]), 5).save(str(tmp_path / "index"))
+    index = SIM.SimilarityIndex.load(spark, str(tmp_path / "index"))
+    want = lists(SIM.similar_skus_all(whole, 5))
+    assert lists(index.refresh(whole).similar(whole)) == want
+    if cut:
+        assert lists(index.similar(whole)) == lists(SIM.similar_skus_all(frame(spark, rows[:cut]), 5))
+
+
+def test_index_refresh_builds_anew_where_profiles_move(spark):
+    rows = catalogue("one price", 30)
+    index = SIM.SimilarityIndex.build(frame(spark, rows), 3)
+    same = index.refresh(frame(spark, rows))
+    assert lists(same.similar(frame(spark, rows))) == lists(index.similar(frame(spark, rows)))
+    for changed in (rows[:20], rows + [rows[0] | {"sku_id": "T1", "price_point": "luxury"}]):
+        now = frame(spark, changed)
+        assert lists(index.refresh(now).similar(now)) == lists(SIM.similar_skus_all(now, 3))
