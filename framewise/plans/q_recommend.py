@@ -22,6 +22,7 @@ from framewise.plans.sqlparts import clip, pct_rank_sql, rhe, velocity_full_sql
 
 
 def buy(a, similar=None, forecast=None):
+    a = a.staged()
     return R.buy_recommendations(a.inventory, a.suppliers, a.product_supplier, a.products,
                                  a.sales_lines, forecast, similar)
 
@@ -36,8 +37,9 @@ def clearance(a, window=30):
     return R.clearance_alerts(a.inventory, a.products, S.sales_velocity(a.sales_lines, window))
 
 
-def portfolio(a):
-    return R.portfolio_summary(buy(a), clearance(a), a.inventory, a.products)
+def portfolio(a, recs=None):
+    a = a.staged()
+    return R.portfolio_summary(buy(a) if recs is None else recs, clearance(a), a.inventory, a.products)
 
 
 _URG = clip("0.4::DOUBLE * (1.0::DOUBLE - " + clip("days_of_supply / 90.0::DOUBLE", 0.0, 1.0) + ")"
@@ -227,6 +229,7 @@ FROM (SELECT count_if(dos < 7) AS critical_skus, count_if(dos < 14) AS at_risk_s
      port, (SELECT count_if(is_active) AS active_skus FROM products) act
 """)
 def _overview(a):
+    a = a.staged()
     return RP.overview_kpis(a.inventory, a.products, portfolio(a))
 
 
@@ -251,7 +254,7 @@ TREE_CTES = BUY_CTES + [("tree", """
 
 @register("treemap", floats=["estimated_cost_usd", "urgency_score"], extra=TREE_CTES, sql="SELECT * FROM tree")
 def _treemap(a):
-    return RP.treemap(buy(a), a.products, 50)
+    return RP.treemap(buy(a), a.staged().products, 50)
 
 
 @register("treemap_rollup", floats=["estimated_cost_usd"], extra=TREE_CTES, sql="""
@@ -259,7 +262,7 @@ SELECT category, frame_shape, sku_id, sum(estimated_cost_usd) AS estimated_cost_
        CAST(GROUPING(category, frame_shape, sku_id) AS BIGINT) AS level
 FROM tree GROUP BY ROLLUP (category, frame_shape, sku_id)""")
 def _treemap_rollup(a):
-    return RP.treemap_rollup(RP.treemap(buy(a), a.products, 50))
+    return RP.treemap_rollup(RP.treemap(buy(a), a.staged().products, 50))
 
 
 @register("product_catalogue", floats=["cost_price", "retail_price"],
@@ -308,7 +311,9 @@ def _assistant(a):
 
 
 def _context(a):
-    return RP.assistant_context(portfolio(a), buy(a), S.trending_skus(a.social_signals, a.sales_lines, 15))
+    a = a.staged()
+    recs = buy(a)
+    return RP.assistant_context(portfolio(a, recs), recs, S.trending_skus(a.social_signals, a.sales_lines, 15))
 
 
 _TREND = REGISTRY["trending_skus"]

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from framewise.plans.registry import register
+from framewise.plans.registry import REGISTRY, register
 from framewise.session import checkpoint_dir
 from framewise.sources.io import (
-    DATASETS, data_quality_nulls, data_quality_summary, json_records, load_dataset, load_named, load_report, write_outputs,
+    DATASETS, data_quality_nulls, data_quality_profile, data_quality_summary, json_records, load_dataset, load_named, load_report, write_outputs,
 )
 
 # first date-typed column whose name contains "date" or "week" (None: no range)
@@ -20,7 +20,7 @@ LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quan
 
 
 def _views(a):
-    return {n: getattr(a, n) for n in DATASETS}
+    return {n: getattr(a.staged(), n) for n in DATASETS}
 
 
 @register("load_sales_range", sql=f"""
@@ -58,6 +58,15 @@ def _dq_nulls(a):
     return data_quality_nulls(_views(a))
 
 
+_NULLS_SQL = REGISTRY["data_quality_nulls"].sql
+
+
+@register("data_quality_profile", floats=["null_pct"], sql=f"""
+SELECT s.*, n."column", n.null_pct FROM ({_summary_sql()}) s JOIN ({_NULLS_SQL}) n ON n.dataset = s.dataset""")
+def _dq_profile(a):
+    return data_quality_profile(_views(a))
+
+
 _PRODUCT_JSON = [("sku_id", "t"), ("name", "t"), ("frame_shape", "t"), ("material", "t"), ("color", "t"), ("price_point", "t"), ("gender", "t"),
                  ("season_launched", "t"), ("is_active", "b"), ("supplier_id", "t"), ("category", "t"), ("launch_date", "d")]
 

@@ -19,16 +19,23 @@ Dimension joins (nation, region) are tiny and broadcast by the planner;
 ``orders``/``customer`` joins are shuffle joins on their keys and are only
 paid by operators that need the order or customer columns — the others use
 ``sales_lines`` which reads ``lineitem`` alone.
+
+What the views take from ``lineitem`` in sums alone (units, lines, returned
+lines per part, supplier and day) they take from ``line_facts``.  An operator
+that reads several of these views should go through :meth:`Adapters.staged`,
+which sums the lines once and keeps the cells as a table.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.expr import week_monday
+from framewise.session import checkpoint_dir
 from framewise.sources.tables import Tables
 
 # Fixed values of the modelled domain (labels the operators compare against).
@@ -62,17 +69,32 @@ class Adapters:
 
     def __init__(self, tables: Tables):
         self.t = tables
+        self._staged: StagedAdapters | None = None
 
-    # ---- shared scalars (scalar subqueries, evaluated once per query) ------
+    # ---- summable facts of the lines ---------------------------------------
     @cached_property
-    def ship_date(self) -> Column:
-        return F.col("l_shipdate").cast("date")
+    def line_facts(self) -> DataFrame:
+        """part, supp, date, units, lines, returned: one row a line here."""
+        return self.t.lineitem.select(
+            F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
+            F.col("l_shipdate").cast("date").alias("date"),
+            F.col("l_quantity").cast("bigint").alias("units"),
+            F.lit(1).cast("bigint").alias("lines"),
+            F.col("l_returnflag").eqNullSafe("R").cast("bigint").alias("returned"),
+        )
+
+    def staged(self) -> StagedAdapters:
+        """The same views over facts summed once (kept for this accessor)."""
+        if self._staged is None:
+            self._staged = StagedAdapters(self.t, stage_facts(self.line_facts))
+        return self._staged
 
+    # ---- shared scalars (scalar subqueries, evaluated once per query) ------
     def max_sale_date(self) -> Column:
-        return self.t.lineitem.select(F.max(F.col("l_shipdate").cast("date"))).scalar()
+        return self.line_facts.select(F.max("date")).scalar()
 
     def min_sale_date(self) -> Column:
-        return self.t.lineitem.select(F.min(F.col("l_shipdate").cast("date"))).scalar()
+        return self.line_facts.select(F.min("date")).scalar()
 
     # ---- sales ---------------------------------------------------------------
     @cached_property
@@ -147,13 +169,10 @@ class Adapters:
         """Per part: the supplier with the largest quantity (ties: smallest
         key) and the first ship date.  Two aggregates with map-side combine;
         the second runs on (part, supplier) pairs, not on lines."""
-        li = self.t.lineitem
-        pairs = li.groupBy("l_partkey", "l_suppkey").agg(
-            F.sum(F.col("l_quantity").cast("bigint")).alias("q"),
-            F.min(F.col("l_shipdate").cast("date")).alias("first_ship"),
-        )
-        return pairs.groupBy("l_partkey").agg(
-            F.max_by("l_suppkey", F.struct(F.col("q"), -F.col("l_suppkey"))).alias("top_supp"),
+        pairs = self.line_facts.groupBy("part", "supp").agg(
+            F.sum("units").alias("q"), F.min("date").alias("first_ship"))
+        return pairs.groupBy("part").agg(
+            F.max_by("supp", F.struct(F.col("q"), -F.col("supp"))).alias("top_supp"),
             F.min("first_ship").alias("launch_date"),
         )
 
@@ -161,7 +180,7 @@ class Adapters:
     def products(self) -> DataFrame:
         p = self.t.part
         stats = self.part_supplier_stats
-        j = p.join(stats, p.p_partkey == stats.l_partkey, "left")
+        j = p.join(stats, p.p_partkey == stats.part, "left")
         pk = F.col("p_partkey")
         launch = F.col("launch_date")
         return j.select(
@@ -192,12 +211,11 @@ class Adapters:
     # ---- suppliers -----------------------------------------------------------
     @cached_property
     def suppliers(self) -> DataFrame:
-        s, n, li = self.t.supplier, self.t.nation, self.t.lineitem
-        on_time = li.groupBy("l_suppkey").agg(
-            F.avg(F.when(F.col("l_returnflag") == "R", F.lit(0.0)).otherwise(F.lit(1.0)))
-             .alias("on_time"))
+        s, n = self.t.supplier, self.t.nation
+        on_time = self.line_facts.groupBy("supp").agg(
+            (F.sum(F.col("lines") - F.col("returned")).cast("double") / F.sum("lines")).alias("on_time"))
         j = (s.join(n.select("n_nationkey", "n_name"), s.s_nationkey == n.n_nationkey, "left")
-              .join(on_time, s.s_suppkey == on_time.l_suppkey, "left"))
+              .join(on_time, s.s_suppkey == on_time.supp, "left"))
         k = F.col("s_suppkey")
         return j.select(
             supplier_key(k).alias("supplier_id"),
@@ -221,11 +239,11 @@ class Adapters:
         """Parts x 15 stores.  The daily rate is each part's total quantity
         over the whole sales span; the store fan-out is a narrow ``explode``
         (no shuffle), the per-part total one aggregate."""
-        p, li = self.t.part, self.t.lineitem
-        qty = li.groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("tq"))
+        p = self.t.part
+        qty = self.line_facts.groupBy("part").agg(F.sum("units").alias("tq"))
         span = F.greatest(F.lit(1), F.datediff(self.max_sale_date(), self.min_sale_date()))
         base = (p.select("p_partkey")
-                 .join(qty, F.col("p_partkey") == F.col("l_partkey"), "left")
+                 .join(qty, F.col("p_partkey") == F.col("part"), "left")
                  .select("p_partkey",
                          (F.coalesce(F.col("tq"), F.lit(0)).cast("double") / span.cast("double"))
                           .alias("daily"))
@@ -276,6 +294,39 @@ class Adapters:
         )
 
 
+def stage_facts(facts: DataFrame) -> DataFrame:
+    """The facts summed per part, supplier and day, as a table in the shared
+    folder: one shuffle with map-side sums, a row per cell.  A part that holds
+    a third of all lines has no more cells than days times its suppliers."""
+    spark = facts.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/facts-{uuid.uuid4().hex}.parquet"
+    cells = facts.groupBy("part", "supp", "date").agg(
+        F.sum("units").alias("units"), F.sum("lines").alias("lines"), F.sum("returned").alias("returned"))
+    cells.write.parquet(path)
+    return spark.read.schema(cells.schema).parquet(path)
+
+
+class StagedAdapters(Adapters):
+    """The views over a table of summed facts.  ``sales_lines`` has one row a
+    cell with ``sku_id``, ``date`` and ``quantity_sold`` alone: right for sums,
+    first and last dates, not for counts of lines or prices."""
+
+    def __init__(self, tables: Tables, cells: DataFrame):
+        super().__init__(tables)
+        self._cells = cells
+
+    @cached_property
+    def line_facts(self) -> DataFrame:
+        return self._cells
+
+    @cached_property
+    def sales_lines(self) -> DataFrame:
+        return self._cells.select(sku_key(F.col("part")).alias("sku_id"), "date", F.col("units").alias("quantity_sold"))
+
+    def staged(self) -> StagedAdapters:
+        return self
+
+
 def adapters(spark, sf_dir: str) -> Adapters:
     return Adapters(Tables(spark, sf_dir))
 

@@ -132,33 +132,65 @@ def _date_column(df: DataFrame) -> str | None:
     return None
 
 
-def data_quality_summary(datasets: Mapping[str, DataFrame]) -> DataFrame:
-    """Per dataset: rows, duplicate rows (equal to an earlier row in every
-    column), and the range of the first date-like column (A02)."""
-    parts = []
-    for name, df in datasets.items():
-        dcol = _date_column(df)
-        aggs = [F.count(F.lit(1)).alias("row_count")]
-        if dcol:
-            aggs += [F.min(F.col(dcol).cast("date")).alias("date_min"), F.max(F.col(dcol).cast("date")).alias("date_max")]
-        else:
-            aggs += [F.lit(None).cast("date").alias("date_min"), F.lit(None).cast("date").alias("date_max")]
-        base = df.agg(*aggs)
-        # rows travel as two 64-bit hashes; only equal rows agree in both (a NULL
-        # leaves a hash as it is, so whether a column is NULL is hashed as well)
-        fields = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
-        key = [F.xxhash64(*fields).alias("_h"), F.xxhash64(F.lit("again"), *fields).alias("_g")]
-        again = df.select(*key).groupBy("_h", "_g").agg((F.count(F.lit(1)) - 1).alias("_n")) \
-            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicate_count"))
-        parts.append(base.crossJoin(again).select(
-            F.lit(name).alias("dataset"), "row_count", "duplicate_count",
-            F.lit(dcol).cast("string").alias("date_column"), "date_min", "date_max"))
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+MASK_BITS = 63
+
+
+def _profile(name: str, df: DataFrame) -> DataFrame:
+    """One row of ``df``'s profile from one scan and one shuffle.
+
+    Rows travel as two 64-bit hashes; only equal rows agree in both (a NULL
+    leaves a hash as it is, so whether a column is NULL is hashed as well).
+    Equal rows share their date and their NULLs, so a fingerprint carries one
+    date and one bit a column, its count weighs them, and every figure is a
+    sum over fingerprints."""
+    dcol = _date_column(df)
+    is_null = [F.col(f"`{c}`").isNull() for c in df.columns]
+    fields = [x for c, e in zip(df.columns, is_null) for x in (F.col(f"`{c}`"), e)]
+    masks = []
+    for at in range(0, len(is_null), MASK_BITS):
+        bits = [F.shiftleft(e.cast("bigint"), i) for i, e in enumerate(is_null[at:at + MASK_BITS])]
+        masks.append(sum(bits[1:], bits[0]).alias(f"_m{at // MASK_BITS}"))
+    prints = df.select(
+        F.xxhash64(*fields).alias("_h"), F.xxhash64(F.lit("again"), *fields).alias("_g"),
+        (F.col(f"`{dcol}`").cast("date") if dcol else F.lit(None).cast("date")).alias("_d"), *masks)
+    seen = prints.groupBy("_h", "_g").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_d"), *[F.max(f"_m{k}").alias(f"_m{k}") for k in range(len(masks))])
+    nulls = [F.coalesce(F.sum(F.when(F.col(f"_m{i // MASK_BITS}").bitwiseAND(F.lit(1 << i % MASK_BITS)) != 0, F.col("_n"))), F.lit(0))
+             for i in range(len(is_null))]
+    return seen.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_count"),
+        F.min("_d").alias("date_min"), F.max("_d").alias("date_max"),
+        F.array(*[F.struct(F.lit(c).alias("column"), n.alias("null_count")) for c, n in zip(df.columns, nulls)]).alias("columns"),
+    ).select(F.lit(name).alias("dataset"), "row_count", "duplicate_count", F.lit(dcol).cast("string").alias("date_column"),
+             "date_min", "date_max", "columns")
+
+
+def data_quality_summary(datasets: Mapping[str, DataFrame]) -> DataFrame:
+    """Per dataset: rows, duplicate rows (equal to an earlier row in every
+    column), and the range of the first date-like column (A02)."""
+    return _union([_profile(n, df).drop("columns") for n, df in datasets.items()])
+
+
+def data_quality_profile(datasets: Mapping[str, DataFrame]) -> DataFrame:
+    """The whole quality report in long form, one row per dataset and column:
+    the figures of :func:`data_quality_summary` with the column's NULL share
+    (percent, 2 dp; NULL for a dataset without rows), each dataset read once
+    (A02)."""
+    whole = _union([_profile(n, df) for n, df in datasets.items()])
+    share = F.try_divide(F.col("c.null_count") * F.lit(100.0), F.col("row_count"))
+    return whole.select("*", F.explode("columns").alias("c")).select(
+        "dataset", "row_count", "duplicate_count", "date_column", "date_min", "date_max",
+        F.col("c.column").alias("column"), round_half_even(share, 2).alias("null_pct"))
+
+
 def data_quality_nulls(datasets: Mapping[str, DataFrame]) -> DataFrame:
     """Long form (dataset, column, null %) rounded to 2 dp, one aggregation
     per dataset (A02)."""
@@ -171,10 +203,7 @@ def data_quality_nulls(datasets: Mapping[str, DataFrame]) -> DataFrame:
                    for c in df.columns]
         parts.append(wide.select(F.lit(name).alias("dataset"), F.explode(F.array(*entries)).alias("e"))
                          .select("dataset", "e.column", "e.null_pct"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _union(parts)
 
 
 def json_records(df: DataFrame) -> DataFrame:
