@@ -13,7 +13,7 @@ from framewise.llm.decontaminate import contamination
 from framewise.llm.fim import fill_in_middle, restore
 from framewise.llm.importance import resample
 from framewise.llm.jaccard import jaccard_components
-from framewise.llm.licenses import TEMPLATES, license_matches, template_rows
+from framewise.llm.licenses import TEMPLATES, license_matches
 from framewise.llm.lm import lm_scores
 from framewise.llm.mixing import mixed_counts
 from framewise.llm.repeats import remove_repeats
@@ -138,32 +138,59 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_matches(documents(spark, sf_dir))
+    every = F.concat(F.transform("matches", lambda m: F.struct(m["license"].alias("license"), m["dice"].alias("dice"))),
+                     F.transform("windows", lambda m: F.struct(m["license"].alias("license"), m["dice"].alias("dice"))))
+    ids = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: m["license"]))), ",")
     return found.select(
         "doc_id", "n_units", F.size(F.array_distinct(F.transform("matches", lambda m: m["unit"]))).cast("long").alias("n_matched"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
-        F.array_max(F.transform("matches", lambda m: m["dice"])).alias("best_dice"))
+        F.size("windows").cast("long").alias("n_windows"), ids(F.col("windows")).alias("window_licenses"),
+        ids(every).alias("licenses"), F.array_max(F.transform(every, lambda m: m["dice"])).alias("best_dice"))
 
 
 def _template_values() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"({i}, {quote(t['id'])}, {quote(g)}, {t['n']})" for i, t in enumerate(template_rows(TEMPLATES, 0.8)) for g in t["grams"])
+    return ", ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(TEMPLATES))
+
+
+def _sql_words(text: str) -> str:
+    return (f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 
 
 OP10_SQL = f"""
-WITH t(template, license, gram, n) AS (VALUES {_template_values()}),
+WITH raw(template, license, body) AS (VALUES {_template_values()}),
+tw AS (SELECT template, license, {_sql_words('body')} AS ws FROM raw),
+tg AS (SELECT DISTINCT template, license, len(ws) AS wide, ws[i] || ' ' || ws[i + 1] AS gram FROM tw, unnest(range(1, len(ws))) x(i)),
+t AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY template) AS n FROM tg),
 u AS (SELECT DISTINCT doc_id, unit FROM documents, unnest(list_concat([coalesce(text, '')],
         regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n'), string_split(coalesce(text, ''), chr(10)))) x(unit)),
-w AS (SELECT doc_id, unit, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM u),
+w AS (SELECT doc_id, unit, {_sql_words('unit')} AS ws FROM u),
 g AS (SELECT DISTINCT doc_id, unit, ws[i] || ' ' || ws[i + 1] AS gram FROM w, unnest(range(1, len(ws))) x(i) WHERE len(ws) > 1),
 sizes AS (SELECT doc_id, unit, count(*) AS size FROM g GROUP BY ALL),
 c AS (SELECT doc_id, unit, template, license, n, count(*) AS hits FROM g JOIN t USING (gram) GROUP BY ALL),
 m AS (SELECT doc_id, unit, license, 2.0::DOUBLE * hits / (size + n) AS dice FROM c JOIN sizes USING (doc_id, unit) WHERE 2.0::DOUBLE * hits / (size + n) >= 0.8),
-d AS (SELECT doc_id, count(DISTINCT unit) AS n_matched, max(dice) AS best FROM m GROUP BY doc_id),
-l AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT DISTINCT doc_id, license FROM m) GROUP BY doc_id),
+dw AS (SELECT doc_id, {_sql_words("coalesce(text, '')")} AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] AS gram FROM dw, unnest(range(1, len(ws))) x(i) WHERE len(ws) > 1),
+h AS MATERIALIZED (SELECT doc_id, i, gram, template, license, wide, n FROM s JOIN t USING (gram)),
+hit AS (SELECT a.doc_id, a.template, a.license, a.wide, a.n, a.i, count(DISTINCT b.gram) AS hits
+        FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.template = b.template AND b.i BETWEEN a.i AND a.i + a.wide - 2
+        GROUP BY ALL HAVING 3 * count(DISTINCT b.gram) >= 2 * a.n),
+size_of AS (SELECT doc_id, q.i, wide, count(DISTINCT gram) AS size
+            FROM (SELECT DISTINCT doc_id, i, wide FROM hit) q JOIN s b USING (doc_id) WHERE b.i BETWEEN q.i AND q.i + q.wide - 2 GROUP BY ALL),
+wm AS (SELECT doc_id, template, license, max(2.0::DOUBLE * hits / (size + n)) AS dice FROM hit JOIN size_of USING (doc_id, i, wide)
+       WHERE 2.0::DOUBLE * hits / (size + n) >= 0.8 GROUP BY ALL),
+d AS (SELECT doc_id, count(DISTINCT unit) AS n_matched FROM m GROUP BY doc_id),
+wd AS (SELECT doc_id, count(*) AS n_windows FROM wm GROUP BY doc_id),
+wl AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS window_licenses FROM (SELECT DISTINCT doc_id, license FROM wm) GROUP BY doc_id),
+e AS (SELECT doc_id, license, dice FROM m UNION ALL SELECT doc_id, license, dice FROM wm),
+b AS (SELECT doc_id, max(dice) AS best FROM e GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT DISTINCT doc_id, license FROM e) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id)
-SELECT n.doc_id, CAST(n_units AS BIGINT) AS n_units, CAST(coalesce(n_matched, 0) AS BIGINT) AS n_matched, coalesce(licenses, '') AS licenses, best AS best_dice
-FROM n LEFT JOIN d ON d.doc_id = n.doc_id LEFT JOIN l ON l.doc_id = n.doc_id
+SELECT n.doc_id, CAST(n_units AS BIGINT) AS n_units, CAST(coalesce(n_matched, 0) AS BIGINT) AS n_matched,
+       CAST(coalesce(n_windows, 0) AS BIGINT) AS n_windows, coalesce(window_licenses, '') AS window_licenses,
+       coalesce(licenses, '') AS licenses, best AS best_dice
+FROM n LEFT JOIN d ON d.doc_id = n.doc_id LEFT JOIN wd ON wd.doc_id = n.doc_id LEFT JOIN wl ON wl.doc_id = n.doc_id
+LEFT JOIN b ON b.doc_id = n.doc_id LEFT JOIN l ON l.doc_id = n.doc_id
 """
 
 def vocabulary_path() -> str:
