@@ -196,6 +196,10 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), units.alias("units"), _words(text).alias("words"))
     grams = read.withColumn("seq", _sequence(F.col("words")))
     some = grams.withColumn("some", F.array_intersect("seq", every))
-    held = some.withColumn("held", F.filter(known, lambda t: F.size(F.array_intersect(F.col("some"), t["grams"])) >= t["lo"]))
+    least = min((r["lo"] for r in rows), default=1)
+    # the guard saves most texts the templates; it also names ``some`` twice, so that the optimizer keeps it a
+    # column of its own instead of computing it again for every template
+    held = some.withColumn("held", F.when(F.size("some") >= least, F.filter(
+        known, lambda t: F.size(F.array_intersect(F.col("some"), t["grams"])) >= t["lo"])).otherwise(F.slice(known, 1, 0)))
     return held.select("doc_id", F.size("units").cast("long").alias("n_units"), _in_units(known, rows, threshold).alias("matches"),
                        _in_windows(threshold).alias("windows"))
