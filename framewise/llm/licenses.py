@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 # Words: lower-case ASCII letters, digits and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_TEMPLATES = 1000
+UNIT_MATCHES = "array<struct<unit:string,license:string,dice:double>>"
 
 # Licences, their short forms and notices (fixed values).
 WARRANTY = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
@@ -150,7 +151,8 @@ def _dice(grams: Column, t: Column) -> Column:
     return F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["n"])
 
 
-def _in_units(known: Column, rows: list[dict], threshold: float) -> Column:
+def _in_units(rows: list[dict], threshold: float) -> Column:
+    """Matches of ``units`` with ``held``: a unit's bigrams are the text's."""
     low, high = min((r["lo"] for r in rows), default=1), max((r["hi"] for r in rows), default=0)
     # a unit's words bound its bigrams from above; then the set itself is held against the bounds
     sets = F.filter(F.transform(F.filter(F.transform(F.col("units"), lambda u: F.struct(u.alias("unit"), _words(u).alias("words"))),
@@ -159,11 +161,12 @@ def _in_units(known: Column, rows: list[dict], threshold: float) -> Column:
                     lambda u: F.size(u["grams"]).between(low, high))
 
     def against(u: Column) -> Column:
-        near = F.filter(known, lambda t: F.size(u["grams"]).between(t["lo"], t["hi"]))
+        near = F.filter(F.col("held"), lambda t: F.size(u["grams"]).between(t["lo"], t["hi"]))
         return F.filter(F.transform(near, lambda t: F.struct(u["unit"].alias("unit"), t["id"].alias("license"), _dice(u["grams"], t).alias("dice"))),
                         lambda m: m["dice"] >= threshold)
 
-    return F.flatten(F.transform(sets, against))
+    found = F.flatten(F.transform(sets, against))
+    return F.when(F.size("held") > 0, found).otherwise(F.from_json(F.lit("[]"), UNIT_MATCHES))
 
 
 def _in_windows(threshold: float) -> Column:
@@ -201,5 +204,5 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     # column of its own instead of computing it again for every template
     held = some.withColumn("held", F.when(F.size("some") >= least, F.filter(
         known, lambda t: F.size(F.array_intersect(F.col("some"), t["grams"])) >= t["lo"])).otherwise(F.slice(known, 1, 0)))
-    return held.select("doc_id", F.size("units").cast("long").alias("n_units"), _in_units(known, rows, threshold).alias("matches"),
+    return held.select("doc_id", F.size("units").cast("long").alias("n_units"), _in_units(rows, threshold).alias("matches"),
                        _in_windows(threshold).alias("windows"))
