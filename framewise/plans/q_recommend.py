@@ -30,7 +30,8 @@ def buy(a, similar=None, forecast=None):
 def prior_forecast(a):
     """A forecast without a model: each SKU's mean weekly demand of the same
     ISO week, for the 13 weeks after the last one."""
-    return M.week_prior_forecast(FT.weekly_demand(a.sales_lines), 90)
+    series = FT.DemandSeries.of(a.sales_lines)
+    return M.week_prior_forecast(FT.weekly_demand(series), 90, last=series.last)
 
 
 def clearance(a, window=30):
