@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.expr import title_case
-from framewise.session import checkpoint_dir
+from framewise.session import stage
 
 # The attributes that are compared.
 ATTRS = ["frame_shape", "material", "color", "gender", "category"]
@@ -52,6 +52,13 @@ def _price_ordinal(c: F.Column) -> F.Column:
     return expr.otherwise(F.lit(2.0))
 
 
+def _catalogue(products: DataFrame) -> DataFrame:
+    """The columns that similarity compares, staged: ``products`` may be a view
+    that sums all sales, and it is read once for the scales, the profiles and
+    the partners' attributes."""
+    return stage(products.select("sku_id", "price_point", *ATTRS), "catalogue")
+
+
 def sku_profiles(products: DataFrame) -> DataFrame:
     """Per SKU: scaled price ``p``, the five attributes with constant ones
     set to NULL, and ``k`` (number of active attributes)."""
@@ -86,10 +93,12 @@ def similarity_features(products: DataFrame) -> DataFrame:
 
 
 def _profile_table(prof: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profiles with an id, SKU count and their ``keep`` smallest SKU ids."""
+    """The SKUs with their profile's id (staged, so that the other two do not
+    make the profiles anew), and the profiles with an id, SKU count and their
+    ``keep`` smallest SKU ids."""
     key = ["p", *ATTRS]
     pid = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in key])
-    skus = prof.withColumn("pid", pid)
+    skus = stage(prof.withColumn("pid", pid), "skus")
     w = Window.partitionBy("pid").orderBy("sku_id")
     members = (skus.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
                    .select("pid", "sku_id", "_rn"))
@@ -171,8 +180,11 @@ def _top_partners(profiles: DataFrame, members: DataFrame, queries: DataFrame, k
 
 
 def _top_table(asked: DataFrame, best: DataFrame, products: DataFrame, top_n: int) -> DataFrame:
-    """Partners of the SKUs in ``asked`` (sku_id, pid) from their profiles'."""
-    per_sku = asked.select("sku_id", "pid").join(best, "pid").where(F.col("sku_id") != F.col("similar_sku_id"))
+    """Partners of the SKUs in ``asked`` (sku_id, pid) from their profiles'.
+    SKUs are spread before each becomes ``top_n + 1`` rows: their table can be
+    one small file, and the ranks below need them by ``sku_id`` anyway."""
+    parts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # a number, as small rows would be merged into one task
+    per_sku = asked.select("sku_id", "pid").repartition(parts, "sku_id").join(best, "pid").where(F.col("sku_id") != F.col("similar_sku_id"))
     w2 = Window.partitionBy("sku_id").orderBy(F.col("similarity_score").desc(), F.col("similar_sku_id"))
     top = (per_sku.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= top_n)
                   .select("sku_id", "rank", "similar_sku_id", "similarity_score"))
@@ -190,9 +202,8 @@ def similar_skus_all(products: DataFrame, top_n: int = 5, only: F.Column | None
     partner's frame_shape, material, colour and price point.  There are always
     n partners where the catalogue has n other SKUs."""
     keep = top_n + 1
-    checkpoint_dir(products.sparkSession)
-    prof = sku_profiles(products)
-    skus, profiles, members = _profile_table(prof, keep)
+    products = _catalogue(products)
+    skus, profiles, members = _profile_table(sku_profiles(products), keep)
     profiles, members = profiles.checkpoint(), members.checkpoint()
     asked = skus if only is None else skus.where(only)
     queries = profiles if only is None else profiles.join(asked.select("pid").distinct(), "pid", "left_semi")
@@ -222,10 +233,9 @@ class SimilarityIndex:
 
     @classmethod
     def build(cls, products: DataFrame, top_n: int = 5) -> "SimilarityIndex":
-        checkpoint_dir(products.sparkSession)
-        skus, profiles, members = _profile_table(sku_profiles(products), top_n + 1)
+        skus, profiles, members = _profile_table(sku_profiles(_catalogue(products)), top_n + 1)
         profiles, members = profiles.checkpoint(), members.checkpoint()
-        return cls(skus.checkpoint(), _top_partners(profiles, members, profiles, top_n + 1), top_n)
+        return cls(skus, _top_partners(profiles, members, profiles, top_n + 1), top_n)
 
     def save(self, path: str) -> None:
         """Write the index; rows of a profile lie together, so that a lookup
@@ -254,9 +264,8 @@ class SimilarityIndex:
         another profile (its attributes changed, or the price scale or a
         constant attribute did, which moves all), the index is built anew."""
         keep = self.top_n + 1
-        checkpoint_dir(products.sparkSession)
+        products = _catalogue(products)
         skus, profiles, members = _profile_table(sku_profiles(products), keep)
-        skus = skus.checkpoint()
         if not self.skus.join(skus, ["sku_id", "pid"], "left_anti").isEmpty():
             return self.build(products, self.top_n)
         fresh = skus.join(self.skus, "sku_id", "left_anti")
@@ -288,9 +297,7 @@ def demand_spillover(products: DataFrame, inventory: DataFrame, query_skus: Data
     that many attributes; the level is the least at which its best possible
     score reaches the threshold (0 compares the short list with every
     profile)."""
-    prof = sku_profiles(products)
-    skus, profiles, _ = _profile_table(prof, 1)
-    checkpoint_dir(products.sparkSession)
+    skus, profiles, _ = _profile_table(sku_profiles(_catalogue(products)), 1)
     profiles = profiles.checkpoint()
     cells = _cells(profiles)
     q = (query_skus.select("sku_id").distinct().join(skus.select("sku_id", "pid"), "sku_id")
@@ -327,8 +334,7 @@ MAX_FEATURES = 4096         # distinct attribute labels a projection may have
 def profile_weights(products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``sku_id, pid`` of every SKU, and each profile once with the number of
     its SKUs: what the catalogue's size adds ends here."""
-    skus, profiles, _ = _profile_table(sku_profiles(products), 1)
-    checkpoint_dir(products.sparkSession)
+    skus, profiles, _ = _profile_table(sku_profiles(_catalogue(products)), 1)
     return skus.select("sku_id", "pid"), profiles.orderBy("pid").checkpoint()
 
 

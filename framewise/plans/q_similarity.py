@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from framewise.operators import recommend as R
 from framewise.operators import similarity as SIM
 from framewise.plans.registry import register
-from framewise.session import checkpoint_dir
+from framewise.session import checkpoint_dir, stage
 
 _ATTRS = SIM.ATTRS
 PROFILE_CTES = [
@@ -60,11 +60,12 @@ def _top_all(a):
 @register("similarity_index_refreshed", floats=["similarity_score"], extra=TOP_CTES, sql="SELECT * FROM top")
 def _index_refreshed(a):
     # indexed before the last year's launches, saved, loaded, then brought up to the whole catalogue
-    spark, launched = a.products.sparkSession, F.col("launch_date").cast("date")
-    last = a.products.agg(F.max(launched).alias("last")).select(F.add_months("last", -12)).scalar()
+    spark, launched = a.t.spark, F.col("launch_date").cast("date")
+    products = stage(a.products.select("sku_id", "price_point", *_ATTRS, "launch_date"), "products")   # a view over all sales
+    last = products.agg(F.max(launched).alias("last")).select(F.add_months("last", -12)).scalar()
     path = f"{checkpoint_dir(spark).rstrip('/')}/similarity-{uuid.uuid4().hex}"
-    SIM.SimilarityIndex.build(a.products.where(launched <= last), 5).save(path)
-    return SIM.SimilarityIndex.load(spark, path).refresh(a.products).similar(a.products)
+    SIM.SimilarityIndex.build(products.where(launched <= last), 5).save(path)
+    return SIM.SimilarityIndex.load(spark, path).refresh(products).similar(products)
 
 
 _TOP_SELLER = ("(SELECT sku_id FROM (SELECT sku_id, sum(quantity_sold) AS q FROM sales GROUP BY sku_id) s "

@@ -117,3 +117,25 @@ def test_index_refresh_builds_anew_where_profiles_move(spark):
     for changed in (rows[:20], rows + [rows[0] | {"sku_id": "T1", "price_point": "luxury"}]):
         now = frame(spark, changed)
         assert lists(index.refresh(now).similar(now)) == lists(SIM.similar_skus_all(now, 3))
+
+
+def counted(spark, rows):
+    """The catalogue as a view that counts the rows it makes."""
+    made = spark.sparkContext.accumulator(0)
+    rdd = spark.sparkContext.parallelize([tuple(r[f] for f in FIELDS) for r in rows], 2).map(lambda r: (made.add(1), r)[1])
+    return spark.createDataFrame(rdd, ", ".join(f"{f} string" for f in FIELDS)), made
+
+
+def test_catalogue_is_made_once(spark, tmp_path):
+    """A catalogue can be a view over all sales: an operator reads it once.
+    Two profiles of many SKUs each: the search ends at its first level."""
+    rows = [{"sku_id": f"S{i:03d}", "price_point": ("budget", "luxury")[i % 2]} | {a: f"{a}{i % 2}" for a in SIM.ATTRS} for i in range(30)]
+    view, made = counted(spark, rows)
+    members, profiles = SIM.profile_weights(view)
+    assert (members.count(), profiles.count(), made.value) == (30, 2, 30)
+    SIM.SimilarityIndex.build(view.where("sku_id < 'S014'"), 5).save(str(tmp_path / "index"))
+    assert made.value == 60
+    index = SIM.SimilarityIndex.load(spark, str(tmp_path / "index")).refresh(view)
+    assert made.value == 90
+    got = lists(index.similar(frame(spark, rows)))
+    assert len(got) == 150 and got[:5] == [("S000", i, f"S{2 * i:03d}", 1.0) for i in range(1, 6)]
