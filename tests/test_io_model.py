@@ -144,3 +144,33 @@ def test_encoder_codes_and_unseen_labels(spark, tmp_path):
     other = spark.createDataFrame([(1, "b", "y"), (2, "new", None), (3, None, "z")], "id int, c string, d string")
     for e in (enc, again):
         assert sorted(map(tuple, e.transform(other).select("id", "c_enc", "d_enc").collect())) == [(1, 1, 1), (2, -1, 0), (3, -1, 2)]
+
+
+def test_future_rows_aggregate_the_last_weeks_alone(spark, small_dir):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from framewise.operators import features as FT
+    from framewise.operators import model as M
+    from framewise.sources.adapters import adapters
+    a = adapters(spark, small_dir)
+    feats = FT.feature_matrix(a.sales_lines, a.products, a.social_signals, a.inventory).where("sku_id <= 'SKU000000000012'")
+    hi = feats.agg(F.max("date")).first()[0]
+    # SKUs that end at different weeks, rows without a SKU, a SKU without any date
+    ends = F.when(F.col("sku_id").endswith("3"), hi - dt.timedelta(days=70)).otherwise(hi)
+    feats = feats.where(F.col("date") <= ends).withColumn("sku_id", F.when(~F.col("sku_id").endswith("5"), F.col("sku_id")))
+    feats = feats.withColumn("date", F.when(~F.col("sku_id").endswith("7") | F.col("sku_id").isNull(), F.col("date"))).localCheckpoint()
+    future = M.future_rows(feats, 14)
+    got = {(r["sku_id"], r["date"]): r for r in future.collect()}
+    weeks = [hi + dt.timedelta(days=7), hi + dt.timedelta(days=14)]
+    skus = {r["sku_id"] for r in feats.select("sku_id").distinct().collect()}
+    assert set(got) == {(s, w) for s in skus for w in weeks} and None in skus and len(skus) > 5
+    last = {}
+    for r in feats.collect():
+        if r["sku_id"] not in last or (r["date"] is not None and r["date"] > last[r["sku_id"]]["date"]):
+            last[r["sku_id"]] = r
+    for (s, w), r in got.items():
+        for c in ("demand", "lag_1w", "lag_52w", "rolling_mean_13w", "ewm_4w", "sku_mean_demand", "days_of_supply"):
+            assert r[c] == (None if last[s]["date"] is None else last[s][c]), (s, w, c)
+    # the filter on the weeks lies below the aggregate of whole rows
+    plan = future._jdf.queryExecution().optimizedPlan().toString()
+    assert f">= {hi - dt.timedelta(days=70)}" in plan
