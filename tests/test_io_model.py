@@ -146,6 +146,19 @@ def test_encoder_codes_and_unseen_labels(spark, tmp_path):
         assert sorted(map(tuple, e.transform(other).select("id", "c_enc", "d_enc").collect())) == [(1, 1, 1), (2, -1, 0), (3, -1, 2)]
 
 
+def test_predictions_are_computed_once(spark):
+    import datetime as dt
+    from framewise.operators import model as M
+    rows = [(f"S{s}", dt.date(2023, 1, 2) + dt.timedelta(days=7 * w), (s + w) % 7, float(w % 5)) for s in range(12) for w in range(60)]
+    feats = spark.createDataFrame(rows, "sku_id string, date date, demand bigint, f double")
+    fc, pred = M.fit_and_test(feats, feature_cols=["f"], max_iter=2, max_depth=2)
+    plan = pred._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "UDF" not in plan
+    _, test = M.time_split(feats)
+    want = fc.predict(test).select("sku_id", "date", "demand", "predicted")
+    assert sorted(map(tuple, pred.collect())) == sorted(map(tuple, want.collect())) and pred.count() > 0
+
+
 def test_future_rows_aggregate_the_last_weeks_alone(spark, small_dir):
     import datetime as dt
     from pyspark.sql import functions as F
