@@ -187,3 +187,30 @@ def test_future_rows_aggregate_the_last_weeks_alone(spark, small_dir):
     # the filter on the weeks lies below the aggregate of whole rows
     plan = future._jdf.queryExecution().optimizedPlan().toString()
     assert f">= {hi - dt.timedelta(days=70)}" in plan
+
+
+MODEL_QUERIES = ["evaluate_test", "feature_importance_top20", "forecast", "forecast_lookup", "forecast_metrics", "test_predictions",
+                 "training_loss_path"]
+
+
+@pytest.mark.parametrize("name", MODEL_QUERIES)
+def test_model_queries_fit_with_the_settings_of_the_library(spark, small_dir, monkeypatch, name):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from framewise.operators import features as FT
+    from framewise.operators import model as M
+    from framewise.plans import REGISTRY, q_model
+    from framewise.sources.adapters import adapters
+    rows = [(f"S{s}", dt.date(2023, 1, 2) + dt.timedelta(days=7 * w), (s + w) % 7) for s in range(12) for w in range(60)]
+    feats = spark.createDataFrame(rows, "sku_id string, date date, demand bigint").select(
+        "*", *[F.col("demand").cast("double").alias(c) for c in FT.FEATURE_COLUMNS])
+    seen = []
+    monkeypatch.setattr(q_model, "_FITS", {})
+    monkeypatch.setattr(FT, "feature_matrix", lambda *_, **__: feats)
+    monkeypatch.setattr(M, "boost", lambda fit, validation, max_iter, patience, **params: seen.append((max_iter, patience, params)) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        REGISTRY[name].build(adapters(spark, small_dir))
+    max_iter, patience, params = seen[0]
+    assert (max_iter, patience) == (800, 40)
+    assert {k: params[k] for k in ("stepSize", "maxDepth", "minInstancesPerNode", "subsamplingRate", "featureSubsetStrategy", "seed")} == dict(
+        stepSize=0.03, maxDepth=8, minInstancesPerNode=5, subsamplingRate=0.75, featureSubsetStrategy="0.7", seed=42)
